@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from .fingerprints import op10_fingerprints
+from . import fingerprints, mixing, secrets_scan, sharding, warc
 
-QUERIES = {"op10_fingerprints": op10_fingerprints}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op2_warc": warc.op2_warc,
+    "op4_sharding": sharding.op4_sharding,
+    "op7_secret_scan": secrets_scan.op7_secret_scan,
+    "op8_mixing": mixing.op8_mixing,
+    "op10_fingerprints": fingerprints.op10_fingerprints,
+}
+ORACLES = {"op2_warc": warc.ORACLE, "op4_sharding": sharding.ORACLE, "op8_mixing": mixing.ORACLE}
