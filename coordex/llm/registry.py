@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, secrets_scan, sharding, warc
+from . import fingerprints, language_id, mixing, packing, secrets_scan, sharding, warc
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_warc": warc.op2_warc,
     "op4_sharding": sharding.op4_sharding,
+    "op6_packing": packing.op6_packing,
     "op7_secret_scan": secrets_scan.op7_secret_scan,
     "op8_mixing": mixing.op8_mixing,
     "op10_fingerprints": fingerprints.op10_fingerprints,
