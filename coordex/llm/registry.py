@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, mixing, packing, secrets_scan, sharding, warc
+from . import fingerprints, language_id, mixing, packing, permutation_index, repeats, secrets_scan, sharding, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_warc": warc.op2_warc,
+    "op3_permutation_index": permutation_index.op3_permutation_index,
     "op4_sharding": sharding.op4_sharding,
+    "op5_repeats": repeats.op5_repeats,
     "op6_packing": packing.op6_packing,
     "op7_secret_scan": secrets_scan.op7_secret_scan,
     "op8_mixing": mixing.op8_mixing,
