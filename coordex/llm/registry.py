@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, mixing, packing, permutation_index, repeats, secrets_scan, sharding, warc
+from . import fingerprints, jaccard_join, language_id, mixing, packing, permutation_index, repeats, secrets_scan, sharding, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_secret_scan": secrets_scan.op7_secret_scan,
     "op8_mixing": mixing.op8_mixing,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_fingerprints": fingerprints.op10_fingerprints,
 }
 ORACLES = {"op2_warc": warc.ORACLE, "op4_sharding": sharding.ORACLE, "op8_mixing": mixing.ORACLE}
