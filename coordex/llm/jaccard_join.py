@@ -350,3 +350,14 @@ def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 
 def op9_jaccard_join(spark, sf_dir):
     return join(table(spark, sf_dir, "documents"))
+
+
+def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """One document (all columns) of each class: the one that names it. Repeated
+    rows are one document; so are rows without doc_id and with equal texts."""
+    from pyspark.sql.window import Window
+
+    leads = join(docs, recall).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_lead")).distinct()
+    kept = docs.join(leads, docs["doc_id"].cast("long").eqNullSafe(F.col("_lead")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text"))
+    return kept.withColumn("_nth", nth).where("_nth = 1").drop("_nth")

@@ -151,3 +151,18 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def op1_language_id(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
+
+
+def drop_unidentified(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The documents with a language (all columns); lang is filled in where it is null."""
+    model = model or learn(docs)
+    at, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rebatched(batches, "text", 1 << 20):
+            found = [p[0] for p in model.predict(b.column(at).to_pylist())]
+            filled = pa.array([f if x is None else x for f, x in zip(found, b.column(lang).to_pylist())], b.schema.field(lang).type)
+            b = pa.record_batch([filled if i == lang else c for i, c in enumerate(b.columns)], schema=b.schema)
+            yield b.filter(pa.array([f != "und" for f in found]))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -151,3 +151,22 @@ def redact(text: str | None) -> str | None:
 
 def op7_secret_scan(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def redact_secrets(docs: DataFrame) -> DataFrame:
+    """All columns, with the spans in text replaced; n_chars follows where it is there."""
+    at = docs.columns.index("text")
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            old = b.column(at).to_pylist()
+            new = [redact(t) for t in old]
+            columns = list(b.columns)
+            columns[at] = pa.array(new, b.schema.field(at).type)
+            if chars is not None:
+                was = b.column(chars).to_pylist()
+                columns[chars] = pa.array([n if a == b_ else len(b_) for n, a, b_ in zip(was, old, new)], b.schema.field(chars).type)
+            yield pa.record_batch(columns, schema=b.schema)
+
+    return docs.mapInArrow(clean, docs.schema)
