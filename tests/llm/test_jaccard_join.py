@@ -82,4 +82,6 @@ def test_empty(spark):
 def test_overlaps_and_forest():
     a = [np.array([1, 2, 3], np.uint64), np.array([2, 9], np.uint64)]
     assert J._overlaps(a, a).tolist() == [[3, 1], [1, 2]]
-    assert J._forest(4, [(3, 2), (0, 3)]) == [0, 1, 0, 0]
+    like = np.zeros((4, 4), bool)
+    like[3, 2] = like[2, 3] = like[0, 3] = like[3, 0] = True
+    assert J._forest(like, np.arange(4), np.arange(4))[0].tolist() == [0, 1, 0, 0]
