@@ -468,3 +468,36 @@ def subject_lengths(spark, d):
 
     s = V.read(spark, d, "supplier").select("s_suppkey", F.col("s_suppkey").cast("string").alias("subject"))
     return subjects(s).select("s_suppkey")
+
+
+@query("unmatched_files", "SELECT a.s_suppkey AS file_id, 'mask' AS missing FROM supplier a WHERE a.s_suppkey % 3 = 0")
+def unmatched_files(spark, d):
+    from coordex.sources.inventory import unmatched
+
+    s = V.read(spark, d, "supplier").select(F.col("s_suppkey").alias("subject"), (F.col("s_suppkey") % 4).alias("session"), F.lit("01").alias("run"))
+    return unmatched(s, s.where("subject % 3 <> 0")).select(F.col("subject").alias("file_id"), "missing")
+
+
+@query("counter_lines", f"WITH RECURSIVE {_CLASSED}, lines AS (SELECT 'processed_images' AS counter, count(*) AS value FROM ch UNION ALL SELECT 'valid_configurations', count(*) FROM ch WHERE valid UNION ALL SELECT 'invalid_configurations', count(*) FROM ch WHERE NOT valid UNION ALL SELECT c, count(*) FILTER (class = c) FROM ch, (SELECT unnest(['no_clusters', 'one_cluster', 'two_clusters', 'three_clusters', 'more_than_four']) AS c) GROUP BY c) SELECT upper(counter[1]) || replace(counter[2:], '_', ' ') || ': ' || value AS value FROM lines")
+def counter_lines(spark, d):
+    from coordex.sources.tables import counter_lines as lines
+
+    return lines(C.extraction_report(_classed(spark, d)))
+
+
+@query("report_text", f"WITH {_LIMITED}, t AS (SELECT count(*) AS total, count(*) FILTER (Difference BETWEEN loa_lo AND loa_hi) AS n FROM pr, s) SELECT unnest([printf('Total points: %d', total), printf('Points within limits: %d (%.2f%%)', n, n * 100.0::DOUBLE / total), printf('Points outside limits: %d', total - n)]) AS value FROM t")
+def report_text(spark, d):
+    return A.report_text(A.loa_report(_pairs(spark, d), "Euclidean_Norm"))
+
+
+@query("paired_in_area", f"WITH {V.V}, {V.pair_sql('Z', FULL, MANUAL)} SELECT Subject, Session, run, {sql_rounded('Difference', 'Mean')} FROM pr WHERE Area = 'lTPJ' AND Electrode = 'Cathode2'")
+def paired_in_area(spark, d):
+    p = A.paired_methods(_vectors(spark, d), "Z", FULL, MANUAL, area_only="lTPJ", electrode="Cathode2")
+    return rounded(p.select("Subject", "Session", "run", "Difference", "Mean"), "Difference", "Mean")
+
+
+@query("shape_filter", "SELECT p_partkey, p_size % 2 = 0 AS ok FROM part")
+def shape_filter(spark, d):
+    z = F.when(F.col("p_size") % 2 == 0, 288).otherwise(100)
+    ok, bad = M.matching_shape(V.read(spark, d, "part").select("p_partkey", F.array(F.lit(224), F.lit(288), z).alias("shape")))
+    return ok.select("p_partkey", F.lit(True).alias("ok")).unionByName(bad.select("p_partkey", F.lit(False).alias("ok")))
