@@ -6,8 +6,9 @@ Nodes carry a fixed-length min-wise sketch; a node of the path tree chooses a
 few of the sketch's tokens by a hash of its path, and a set goes on to every
 chosen token that it holds, so similar sets share paths. Buckets of ``SMALL``
 or fewer are compared all with all on sketches, with a threshold low enough to
-lose no pair; larger ones are split again, down to ``DEPTH``, where those that
-still share a path are joined as candidates. The whole is repeated in as many
+lose no pair; larger ones are split again, unless nearly all members are like
+the first one (then no split would part them) or ``DEPTH`` is reached: such a
+bucket is joined to candidates as a whole. The whole is repeated in as many
 runs as the target recall needs. Candidates form components, whose members are
 compared exactly on their whole shingle sets, in blocks, so that no task holds
 more than two blocks; counts of links and a spanning forest come out, never
@@ -39,9 +40,10 @@ from .components import components
 THRESHOLD, WORDS = 0.8, 5
 SKETCH, CHOSEN = 64, 2.0
 SMALL, DEPTH, RECALL = 128, 5, 0.9999
+ALIKE = 0.9
 #: Of sketches: five standard deviations below the threshold (0.05 each).
 LOOSE = THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SKETCH)
-BLOCK = 1024
+BLOCK = 2048
 _R = np.random.default_rng(9)
 SUBST = _R.integers(1, 1 << 63, 256, dtype=np.uint64)
 SEEDS = _R.integers(1, 1 << 31, SKETCH, dtype=np.uint32)
@@ -195,41 +197,40 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[int]:
-    """For each of n the least of its tree."""
-    up = list(range(n))
-
-    def top(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    for i, j in pairs:
-        i, j = top(i), top(j)
-        if i != j:
-            up[max(i, j)] = min(i, j)
-    return [top(i) for i in range(n)]
+def _forest(like: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least numbers reachable over a table of links between two sides with the
+    given numbers; the sides may be the same."""
+    far = np.int64(1 << 62)
+    while True:
+        new_right = np.minimum(right, np.where(like, left[:, None], far).min(0, initial=far))
+        new_left = np.minimum(left, np.where(like, new_right[None], far).min(1, initial=far))
+        if np.array_equal(new_left, left) and np.array_equal(new_right, right):
+            return left, right
+        left, right = new_left, new_right
 
 
 def _small_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = [], []
     for t in grouped(batches, 1):
         s = _matrix(t.column(2))
-        ids = t.column(1).to_pylist()
+        ids = t.column(1).to_numpy()
         like = (s[:, None, :] == s[None, :, :]).sum(2) >= LOOSE * SKETCH
-        i, j = np.nonzero(np.triu(like, 1))
-        if len(i):
-            for k, root in enumerate(_forest(len(ids), zip(i.tolist(), j.tolist()))):
-                if root != k:
-                    a.append(ids[k])
-                    b.append(ids[root])
+        roots = _forest(like, ids, ids)[0]
+        away = np.flatnonzero(roots != ids)
+        a += ids[away].tolist()
+        b += roots[away].tolist()
         if len(a) > 50_000:
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
             a, b = [], []
     yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _like_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        same = (_matrix(b.column("sketch")) == _matrix(b.column("first"))).sum(1) >= LOOSE * SKETCH
+        yield pa.record_batch([b.column(0), pa.array(same.astype(np.int64))], ["path", "like"])
+
+
 def candidates(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
     """Edges (a, b) that join all nodes which may be similar."""
     sketched = nodes.select("node", "sketch")
@@ -241,8 +242,16 @@ def candidates(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
         small = live.where(F.col("n") <= SMALL).select("path", "node").join(sketched, "node").select("path", "node", "sketch")
         found = small.repartition("path").sortWithinPartitions("path").mapInArrow(_small_buckets, "a long, b long")
         large = live.where(F.col("n") > SMALL)
-        if depth == DEPTH:
-            found = found.unionByName(large.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+        if depth < DEPTH:
+            # Most of the bucket is like its first member: no split would part it.
+            firsts = sketched.select(F.col("node").alias("least"), F.col("sketch").alias("first"))
+            judged = large.select("path", "node", "least").join(sketched, "node").join(firsts, "least").select("path", "sketch", "first")
+            alike = judged.mapInArrow(_like_first, "path long, like long").groupBy("path").agg(F.avg("like").alias("share"))
+            large = materialize(large.join(alike, "path"), "paths-large")
+            whole, large = large.where(F.col("share") >= ALIKE), large.where(F.col("share") < ALIKE)
+        else:
+            whole = large
+        found = found.unionByName(whole.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
         found = materialize(found, "path-edges")
         edges = found if edges is None else edges.unionByName(found)
         if depth == DEPTH or not large.limit(1).count():
@@ -299,22 +308,22 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right = left if i == j else [k for k in ids if held[k][1] == j]
         if not left or not right or (i == j and len(left) < 2):
             continue
-        n = lambda side: np.array([len(sets[k]) for k in side], np.float64)
-        both = _overlaps([sets[k] for k in left], [sets[k] for k in right]).astype(np.float64)
-        like = both * (1 + THRESHOLD) >= THRESHOLD * (n(left)[:, None] + n(right)[None]) - 1e-9
+        n = lambda side: np.array([len(sets[k]) for k in side], np.float32)
+        both = _overlaps([sets[k] for k in left], [sets[k] for k in right])
+        # Whole numbers below 2^24 are exact; the margin is far below one shingle.
+        like = both * np.float32(1 + THRESHOLD) >= np.float32(THRESHOLD) * (n(left)[:, None] + n(right)[None]) - np.float32(0.01)
         if i == j:
             np.fill_diagonal(like, False)
         copies = lambda side: np.array([held[k][0] for k in side], np.int64)
-        degree = dict(zip(left, (like @ copies(right)).tolist()))
+        roots = _forest(like, np.array(left), np.array(right))
+        sides = [(left, like @ copies(right), roots[0])]
         if i != j:
-            degree |= dict(zip(right, (like.T @ copies(left)).tolist()))
-        place = {k: x for x, k in enumerate(ids)}
-        hits = ((place[left[a]], place[right[b]]) for a, b in zip(*[x.tolist() for x in np.nonzero(like)]))
-        for k, r in zip(ids, _forest(len(ids), hits)):
-            if degree.get(k):
-                node.append(k)
-                root.append(ids[r])
-                links.append(degree[k])
+            sides.append((right, like.T @ copies(left), roots[1]))
+        for names, degree, tops in sides:
+            some = np.flatnonzero(degree)
+            node += [names[k] for k in some]
+            root += tops[some].tolist()
+            links += degree[some].tolist()
         if len(node) > 50_000:
             yield pa.record_batch([pa.array(x, pa.int64()) for x in (node, root, links)], ["node", "to", "links"])
             node, root, links = [], [], []
@@ -358,6 +367,13 @@ def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     from pyspark.sql.window import Window
 
     leads = join(docs, recall).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_lead")).distinct()
-    kept = docs.join(leads, docs["doc_id"].cast("long").eqNullSafe(F.col("_lead")), "left_semi")
+    leads = materialize(leads, "join-leads")
+    # One exchange on doc_id serves the join and the window; rows without an id go apart.
+    named = docs.where("doc_id is not null").hint("merge").join(leads, F.col("doc_id") == F.col("_lead"), "left_semi")
+    nameless = docs.where("doc_id is null") if leads.where("_lead is null").limit(1).count() else docs.limit(0)
     nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text"))
-    return kept.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    return _first(named, nth).unionByName(_first(nameless, nth))
+
+
+def _first(rows: DataFrame, nth) -> DataFrame:
+    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
