@@ -112,16 +112,16 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def sketches(hashes: np.ndarray, have: np.ndarray) -> np.ndarray:
-    """16 bits of each of SKETCH minima, a row a text that has shingles."""
+    """SKETCH minima, a row a text that has shingles. All 32 bits: shorter values
+    would make strangers share tokens as the corpus grows."""
     at = (np.cumsum(have) - have)[have > 0]
     low = (hashes >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(at), SKETCH), np.uint16)
+    out = np.empty((len(at), SKETCH), np.uint32)
     for i in range(SKETCH):
         v = (low ^ SEEDS[i]) * FACTORS[i]
         v ^= v >> np.uint32(15)
         v *= np.uint32(0x2C1B3C6D)
-        least = np.minimum.reduceat(v, at)
-        out[:, i] = ((least * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype(np.uint16)
+        out[:, i] = np.minimum.reduceat(v, at)
     return out
 
 
@@ -133,7 +133,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in rebatched(batches, "text", 1 << 20):
         hashes, have, x, y = shingles(_encoded(b.column(1)))
         rows = np.flatnonzero(have > 0)
-        s = sketches(hashes, have) if len(rows) else np.zeros((0, SKETCH), np.uint16)
+        s = sketches(hashes, have) if len(rows) else np.zeros((0, SKETCH), np.uint32)
         sketch: list = [None] * len(have)
         for k, i in enumerate(rows.tolist()):
             sketch[i] = s[k].tobytes()
@@ -145,14 +145,14 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _choose(path: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and new paths: the tokens that each path chooses and the row holds."""
-    token = sketch.astype(np.uint64) | (np.arange(SKETCH, dtype=np.uint64) << np.uint64(16))
+    token = sketch.astype(np.uint64) | (np.arange(SKETCH, dtype=np.uint64) << np.uint64(32))
     h = mix(path[:, None] ^ mix(token * np.uint64(STEP)))
     row, at = np.nonzero(h < np.uint64(int(CHOSEN / SKETCH * (1 << 64))))
     return row, mix(h[row, at] + np.uint64(BASE))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SKETCH)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SKETCH)
 
 
 def _roots(runs: int):
@@ -340,7 +340,8 @@ def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     sizes = likely.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = likely.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     asked = materialize(placed.join(nodes.drop("sketch"), "node").select("least", "x", "y", "node", "copies", "root", "block", "blocks"), "join-asked")
-    texts = docs.join(asked, docs.doc_id.eqNullSafe(asked.least)).select("text", "x", "y", "node", "copies", "root", "block", "blocks")
+    # Merged at any size: a broadcast of the asked would be for small inputs alone.
+    texts = docs.hint("merge").join(asked, docs.doc_id.eqNullSafe(asked.least)).select("text", "x", "y", "node", "copies", "root", "block", "blocks")
     sets = texts.mapInArrow(_sets, "node long, copies long, root long, block int, blocks int, shingles binary")
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "copies", "block", "shingles"
