@@ -118,3 +118,10 @@ def _lengths(array: pa.Array) -> list[int]:
     import pyarrow.compute as pc
 
     return pc.fill_null(pc.binary_length(array), 0).to_pylist()
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this application has written below the shared folder; results
+    that have not been written elsewhere can't be read afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/coordex/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -111,11 +111,11 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, coalesce(
 
 def mix_rows(docs: DataFrame, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """The mixed documents themselves (all columns), each as often as it is taken."""
-    named = docs.withColumn("_text", F.xxhash64("text"))
-    taken = mix(named, epochs, seed, ("_text",)).groupBy("doc_id", "_text").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    taken = taken.withColumnRenamed("doc_id", "_id").withColumnRenamed("_text", "_key")
-    # Of repeated rows the first stands for all.
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("source"))
-    first = named.withColumn("_nth", nth).where("_nth = 1")
-    out = first.join(taken, first["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    row = F.xxhash64("doc_id", "text").alias("_row")
+    taken = mix(docs.select("*", row), epochs, seed, ("_row",)).groupBy("_row", F.col("doc_id").alias("_id")).agg(F.sum("copies").cast("int").alias("_copies"))
+    taken = materialize(taken.where("_copies > 0"), "mix-taken")
+    # One exchange of the rows serves the window and the join; of repeated rows the first stands for all.
+    nth = F.row_number().over(Window.partitionBy("_row", "doc_id").orderBy("source"))
+    first = docs.select("*", row).hint("merge").join(taken.select("_row", "_id", "_copies"), "_row").where(F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    first = first.withColumn("_nth", nth).where("_nth = 1")
+    return first.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
