@@ -6,9 +6,10 @@ Nodes carry a fixed-length min-wise sketch; a node of the path tree chooses a
 few of the sketch's tokens by a hash of its path, and a set goes on to every
 chosen token that it holds, so similar sets share paths. Buckets of ``SMALL``
 or fewer are compared all with all on sketches, with a threshold low enough to
-lose no pair; larger ones are split again, unless nearly all members are like
-the first one (then no split would part them) or ``DEPTH`` is reached: such a
-bucket is joined to candidates as a whole. The whole is repeated in as many
+lose no pair; larger ones are split again, unless their members are alike on the
+whole (two of them agree in ALIKE of the coordinates, which counts of random
+bits tell) or ``DEPTH`` is reached: such a bucket is joined to candidates as a
+whole. The whole is repeated in as many
 runs as the target recall needs. Candidates form components, whose members are
 compared exactly on their whole shingle sets, in blocks, so that no task holds
 more than two blocks; counts of links and a spanning forest come out, never
@@ -40,7 +41,7 @@ from .components import components
 THRESHOLD, WORDS = 0.8, 5
 SKETCH, CHOSEN = 64, 2.0
 SMALL, DEPTH, RECALL = 128, 5, 0.9999
-ALIKE = 0.9
+SIGNS, ALIKE = 32, 0.5
 #: Of sketches: five standard deviations below the threshold (0.05 each).
 LOOSE = THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SKETCH)
 BLOCK = 2048
@@ -155,6 +156,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SKETCH)
 
 
+def _signs(sketch: np.ndarray) -> np.ndarray:
+    """One random bit of each of SIGNS coordinates."""
+    v = (sketch[:, :: SKETCH // SIGNS] * np.uint32(0x9E3779B1)) >> np.uint32(16) & np.uint32(1)
+    return (v << np.arange(SIGNS, dtype=np.uint32)).sum(1).astype(np.int32)
+
+
+def _rows(path: np.ndarray, ids: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    row, deeper = _choose(path, s)
+    return pa.record_batch([pa.array(deeper.view(np.int64)), pa.array(ids[row]), pa.array(_signs(s)[row])], ["path", "node", "signs"])
+
+
 def _roots(runs: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,8 +174,7 @@ def _roots(runs: int):
                 part = b.slice(i, 2048)
                 ids, s = part.column(0).to_numpy(), _matrix(part.column(1))
                 for r in range(runs):
-                    row, path = _choose(np.full(len(s), mix(np.array([r + 1], np.uint64))[0]), s)
-                    yield pa.record_batch([pa.array(path.view(np.int64)), pa.array(ids[row])], ["path", "node"])
+                    yield _rows(np.full(len(s), mix(np.array([r + 1], np.uint64))[0]), ids, s)
 
     return fn
 
@@ -172,8 +183,7 @@ def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, 4096):
             part = b.slice(i, 4096)
-            row, path = _choose(part.column(0).to_numpy().view(np.uint64), _matrix(part.column(2)))
-            yield pa.record_batch([pa.array(path.view(np.int64)), pa.array(part.column(1).to_numpy()[row])], ["path", "node"])
+            yield _rows(part.column(0).to_numpy().view(np.uint64), part.column(1).to_numpy(), _matrix(part.column(2)))
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -225,39 +235,35 @@ def _small_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _like_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        same = (_matrix(b.column("sketch")) == _matrix(b.column("first"))).sum(1) >= LOOSE * SKETCH
-        yield pa.record_batch([b.column(0), pa.array(same.astype(np.int64))], ["path", "like"])
+def likeness():
+    """Aggregate: how likely two members of a bucket agree in a coordinate. If a
+    random bit of the coordinate is set in the share m of them, two disagree in
+    it with 2 m (1 - m), half as often as in the coordinate itself."""
+    shares = [F.avg(F.shiftright("signs", k).bitwiseAND(F.lit(1))) for k in range(SIGNS)]
+    return sum((1 - 4 * m * (1 - m) for m in shares), F.lit(0.0)) / SIGNS
 
 
 def candidates(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
     """Edges (a, b) that join all nodes which may be similar."""
-    sketched = nodes.select("node", "sketch")
-    level = materialize(sketched.mapInArrow(_roots(runs_for(recall)), "path long, node long").distinct(), "paths")
+    sketched, row = nodes.select("node", "sketch"), "path long, node long, signs int"
+    level = materialize(sketched.mapInArrow(_roots(runs_for(recall)), row).distinct(), "paths")
     edges = None
     for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
-        live = materialize(level.join(sizes, "path"), "paths-shared")
+        sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), likeness().alias("like")).where("n > 1")
+        live = materialize(level.drop("signs").join(sizes, "path"), "paths-shared")
         small = live.where(F.col("n") <= SMALL).select("path", "node").join(sketched, "node").select("path", "node", "sketch")
         found = small.repartition("path").sortWithinPartitions("path").mapInArrow(_small_buckets, "a long, b long")
         large = live.where(F.col("n") > SMALL)
-        if depth < DEPTH:
-            # Most of the bucket is like its first member: no split would part it.
-            firsts = sketched.select(F.col("node").alias("least"), F.col("sketch").alias("first"))
-            judged = large.select("path", "node", "least").join(sketched, "node").join(firsts, "least").select("path", "sketch", "first")
-            alike = judged.mapInArrow(_like_first, "path long, like long").groupBy("path").agg(F.avg("like").alias("share"))
-            large = materialize(large.join(alike, "path"), "paths-large")
-            whole, large = large.where(F.col("share") >= ALIKE), large.where(F.col("share") < ALIKE)
-        else:
-            whole = large
-        found = found.unionByName(whole.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+        # Members that are alike on the whole: no split would part them.
+        whole = large if depth == DEPTH else large.where(F.col("like") >= ALIKE)
+        large = large.where(F.col("like") < ALIKE)
+        found = found.unionByName(whole.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
         found = materialize(found, "path-edges")
         edges = found if edges is None else edges.unionByName(found)
         if depth == DEPTH or not large.limit(1).count():
             break
         deeper = large.select("path", "node").join(sketched, "node").select("path", "node", "sketch")
-        level = materialize(deeper.mapInArrow(_deeper, "path long, node long").distinct(), "paths")
+        level = materialize(deeper.mapInArrow(_deeper, row).distinct(), "paths")
     return edges
 
 
