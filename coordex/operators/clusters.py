@@ -53,7 +53,8 @@ def label_components(voxels: DataFrame) -> DataFrame:
         return image.select(["image_id", "i", "j", "k"]).append_column("label", pa.array(labels, pa.int32()))
 
     able = voxels.where("v > 0") if "v" in fields else voxels
-    able = able.select("image_id", "i", "j", "k").distinct()
+    # Dealt by image once: the same exchange serves distinct and the labelling.
+    able = able.select("image_id", "i", "j", "k").repartition("image_id").distinct()
     schema = f"image_id {fields['image_id']}, i {fields['i']}, j {fields['j']}, k {fields['k']}, label int"
     return able.groupBy("image_id").applyInArrow(label, schema)
 
