@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 import xxhash
@@ -42,15 +43,18 @@ def digest(canon: bytes) -> str:
     return xxhash.xxh3_128_hexdigest(canon)
 
 
+Digest = Callable[[bytes], str]
+
+
 def likeness(a: str, b: str) -> float:
     """An exact digest knows equal or not."""
     return float(a == b)
 
 
-def _pair(canon: bytes, other: bytes) -> str:
+def _pair(name: Digest, canon: bytes, other: bytes) -> str:
     """The other text's fingerprint beside this one's; a clash of digests is marked."""
-    d = digest(other)
-    return d + "~" if d == digest(canon) and canon != other else d
+    d = name(other)
+    return d + "~" if d == name(canon) and canon != other else d
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,25 +64,23 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.binary())], ["doc_id", "z"])
 
 
-def _canon_coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _canon_coded(name: Digest, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=LEVEL)
     for b in batches:
         canons = [canonical(t) for t in b.column(1).to_pylist()]
-        yield pa.record_batch([b.column(0), pa.array([digest(c) for c in canons]), pa.array([z.compress(c) for c in canons], pa.binary())], ["doc_id", "digest", "z"])
+        yield pa.record_batch([b.column(0), pa.array([name(c) for c in canons]), pa.array([z.compress(c) for c in canons], pa.binary())], ["doc_id", "digest", "z"])
+
+
+def forms(docs: DataFrame, name: Digest = digest) -> DataFrame:
+    """digest, z (frame of the canonical form), first_id, n_docs. Equal frames
+    are equal canonical bytes: one compressor, one level."""
+    coded = docs.select("doc_id", "text").mapInArrow(partial(_canon_coded, name), "doc_id long, digest string, z binary")
+    return coded.groupBy("digest", "z").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs"))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """digest, n_texts (different canonical forms of that digest), first_id,
-    n_docs, and the frames of the forms where there are several."""
-    coded = docs.select("doc_id", "text").mapInArrow(_canon_coded, "doc_id long, digest string, z binary")
-    forms = coded.groupBy("digest", "z").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs"))
-    # Equal frames are equal canonical bytes: one compressor, one level.
-    return forms.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("n_texts"),
-        F.min("first_id").alias("first_id"),
-        F.sum("n_docs").alias("n_docs"),
-        F.sort_array(F.collect_list(F.struct(F.col("first_id").alias("at"), F.col("z").alias("form")))).alias("forms"),
-    ).withColumn("forms", F.when(F.col("n_texts") > 1, F.col("forms")))
+def classes(forms: DataFrame) -> DataFrame:
+    """digest, n_texts (different canonical forms of that digest), first_id, n_docs."""
+    return forms.groupBy("digest").agg(F.count(F.lit(1)).alias("n_texts"), F.min("first_id").alias("first_id"), F.sum("n_docs").alias("n_docs"))
 
 
 def edit(text: str, following: str) -> str:
@@ -90,13 +92,13 @@ def edit(text: str, following: str) -> str:
 FACTS = "doc_id long, n_chars long, edited_sha256 string, digest string, edited_fingerprint string, same_edited boolean, same_next boolean, side int, part int, z binary"
 
 
-def _facts(doc_id, text: str, following: str) -> tuple:
+def _facts(name: Digest, doc_id, text: str, following: str) -> tuple:
     edited = edit(text, following)
     c, e, n = canonical(text), canonical(edited), canonical(following)
-    return (doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), digest(c), _pair(c, e), c == e, c == n, 0, None, None)
+    return (doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), name(c), _pair(name, c, e), c == e, c == n, 0, None, None)
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _neighbours(name: Digest, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one range in order: facts for each row but the last, which waits
     for the first row of the next range; both ends are passed on (side 1 and 2)."""
     from pyspark import TaskContext
@@ -114,7 +116,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if last is None:
                 out.append((doc_id, *[None] * 6, 1, part, z))
             else:
-                out.append(_facts(last[0], last[1], text))
+                out.append(_facts(name, last[0], last[1], text))
             last, held = (doc_id, text, z), held + 1
             if held % 2000 == 0:
                 yield batch_of(out)
@@ -125,16 +127,16 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of([(last[0], *[None] * 6, 2, part, last[2])])
 
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ends(name: Digest, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     d = zstandard.ZstdDecompressor()
     for b in batches:
-        rows = [_facts(i, d.decompress(z).decode("utf-8", "surrogatepass"), d.decompress(n).decode("utf-8", "surrogatepass"))[:7] for i, z, n in zip(*[c.to_pylist() for c in b.columns])]
+        rows = [_facts(name, i, d.decompress(z).decode("utf-8", "surrogatepass"), d.decompress(n).decode("utf-8", "surrogatepass"))[:7] for i, z, n in zip(*[c.to_pylist() for c in b.columns])]
         if rows:
             names = [x.split()[0] for x in FACTS.split(", ")][:7]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_()])], names)
 
 
-def fingerprint(docs: DataFrame) -> DataFrame:
+def fingerprint(docs: DataFrame, name: Digest = digest) -> DataFrame:
     """A row per document: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next, class_first_id, class_docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -142,7 +144,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = coded.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "z")
-    facts = materialize(ranged.mapInArrow(_neighbours, FACTS), "fingerprint-facts")
+    facts = materialize(ranged.mapInArrow(partial(_neighbours, name), FACTS), "fingerprint-facts")
     columns = ["doc_id", "n_chars", "edited_sha256", "digest", "edited_fingerprint", "same_edited", "same_next"]
     inner = facts.where("side = 0").select(*columns)
     # As many rows as ranges: the next range that has rows, the first after the last.
@@ -151,15 +153,17 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     order = Window.orderBy("part")
     follow = heads.select("part").withColumn("to", F.lead("part").over(order)).withColumn("to", F.coalesce("to", F.min("part").over(Window.partitionBy())))
     pairs = tails.join(follow, "part").join(heads.withColumnRenamed("part", "to"), "to").select("doc_id", "z", "next_z")
-    ends = pairs.mapInArrow(_ends, "doc_id long, n_chars long, edited_sha256 string, digest string, edited_fingerprint string, same_edited boolean, same_next boolean")
-    found = materialize(classes(docs), "fingerprint-classes")
-    rows = inner.unionByName(ends).join(found.select("digest", "n_texts", "first_id", "n_docs"), "digest", "left")
-    rows = rows.withColumn("fingerprint", F.col("digest"))
+    ends = pairs.mapInArrow(partial(_ends, name), "doc_id long, n_chars long, edited_sha256 string, digest string, edited_fingerprint string, same_edited boolean, same_next boolean")
+    apart = forms(docs, name)
+    found = materialize(classes(apart), "fingerprint-classes")
+    rows = inner.unionByName(ends).join(found, "digest", "left").withColumn("fingerprint", F.col("digest"))
     # Different texts under one digest: they get ordinals by their bytes.
-    if found.where("n_texts > 1").limit(1).count():
-        clash = found.where("n_texts > 1").select("digest", F.posexplode("forms").alias("ordinal", "f")).select("digest", "ordinal", F.col("f.form").alias("z"))
-        members = docs.mapInArrow(_canon_coded, "doc_id long, digest string, z binary").join(clash, ["digest", "z"]).select("doc_id", "digest", "ordinal").distinct()
-        rows = rows.join(members, ["doc_id", "digest"], "left").withColumn("fingerprint", F.when(F.col("ordinal") > 0, F.concat_ws("-", "digest", "ordinal")).otherwise(F.col("digest")))
+    clash = found.where("n_texts > 1").select("digest")
+    if clash.limit(1).count():
+        ordinal = F.row_number().over(Window.partitionBy("digest").orderBy("first_id", "z")) - 1
+        told = apart.join(clash, "digest").withColumn("ordinal", ordinal).select("digest", "z", "ordinal")
+        members = docs.mapInArrow(partial(_canon_coded, name), "doc_id long, digest string, z binary").join(told, ["digest", "z"]).select("doc_id", "digest", "ordinal").distinct()
+        rows = rows.join(members.withColumnsRenamed({"doc_id": "_id", "digest": "_digest"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").withColumn("fingerprint", F.when(F.col("ordinal") > 0, F.concat_ws("-", "digest", "ordinal")).otherwise(F.col("digest")))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         F.col("same_edited").cast("double").alias("near_edited"),

@@ -35,9 +35,10 @@ def test_empty_one_and_null_ids(spark):
     assert len(twice) == 4 and len({r.fingerprint for r in twice}) == 1
 
 
-def test_clash_of_digests_is_told_apart(spark, monkeypatch):
-    import coordex.llm.fingerprints as m
-
-    assert m._pair(b"a", b"a") == m.digest(b"a")
-    monkeypatch.setattr(m, "digest", lambda c: "same")
-    assert m._pair(b"a", b"b") == "same~" and m._pair(b"a", b"a") == "same"
+def test_clash_of_digests_is_told_apart(spark):
+    same = lambda c: "same"
+    assert fp._pair(same, b"a", b"a") == "same" and fp._pair(same, b"a", b"b") == "same~"
+    rows = [(1, "One text", None, None), (2, "two texts", None, None), (3, "one  TEXT", None, None), (4, "three", None, None)]
+    got = {r.doc_id: r for r in fp.fingerprint(spark.createDataFrame(rows, SCHEMA), same).collect()}
+    assert got[1].fingerprint == got[3].fingerprint and len({r.fingerprint for r in got.values()}) == 3
+    assert all(r.near_edited == 0 for r in got.values())
