@@ -20,6 +20,7 @@ as narrow rows, and ranks within a hot length class come from prefix sums.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ from .common import buckets_for, materialize, prefix_rank, rebatched, seeded, ta
 
 CAPACITY, STEP, CLOSING, SEED = 2048, 8, 1, "pack-1"
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 500_000
+CACHE = 300_000
 #: Stands between words that are encoded together; texts that hold it, or other
 #: control or rare white space that splits differently, are encoded whole.
 MARK = "\x01"
@@ -113,24 +114,68 @@ def fill(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]
 
 class Encoder:
     """Texts to ids as little-endian 32-bit bytes. Words between blanks are
-    encoded once and kept (a bounded number): the tokenizer never joins across
-    white space. Texts with unusual control characters are encoded whole."""
+    encoded once and kept: the tokenizer never joins across white space. Kept
+    words are in two generations, so that frequent ones survive when the older
+    one is dropped. Texts with unusual control characters are encoded whole.
+
+    Plain words (Latin letters, then at most one mark) need no normalisation but
+    lower case and are one pre-token each, so they go to the tokenizer's model by
+    a short cut, where the tokenizer is of that kind."""
 
     def __init__(self, path: str):
+        import json
+
         import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.odd = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f᠎​-‏  ⁠﻿Σ]|\p{M}")
+        self.odd = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\u180e\u200b-\u200f\u2028\u2029\u2060\ufeff\u03a3]|\p{M}")
+        self.usual = re.compile(r"[^\t-\r -~\u00a0-\u02ff]")
+        self.plain = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+)([.,;:!?|])?")
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         mark = self.tok.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        spec = json.load(open(path, encoding="utf-8"))
+        steps = lambda x, k: [i["type"] for i in (x or {}).get(k, [])]
+        model = spec["model"]
+        suffix = model.get("end_of_word_suffix")
+        self.short = None
+        if steps(spec["normalizer"], "normalizers") == ["NFC", "Replace", "Lowercase"] and steps(spec["pre_tokenizer"], "pretokenizers") == ["Split", "ByteLevel"] and suffix:
+            self.short = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
+            self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.ends[[i for w, i in model["vocab"].items() if w.endswith(suffix)]] = True
+            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+            hidden = [b for b in range(256) if b not in shown]
+            self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _shortly(self, words: list[str], parts: list) -> list[str]:
+        """Keeps plain words; gives back those it could not tell apart."""
+        rest: list[str] = []
+        for i in range(0, len(words), 512):
+            part, split = words[i : i + 512], parts[i : i + 512]
+            text = " ".join(f"{core} {mark}" if mark else core for core, mark in split).lower()
+            coded = " ".join(x.encode().decode("latin-1").translate(self.letters) for x in text.split(" "))
+            ids = np.array(self.short.encode_batch_fast([coded], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum([2 if mark else 1 for _, mark in split])
+            if len(at) != last[-1] or at[-1] != len(ids):
+                rest += part
+                continue
+            data, s = ids.tobytes(), 0
+            for w, e in zip(part, (at[last - 1] * 4).tolist()):
+                self.kept[w], s = data[s:e], e
+        return rest
+
     def words(self, words: list[str]) -> None:
+        if self.short is not None:
+            found = list(map(self.plain.fullmatch, words))
+            able = [m for m in found if m]
+            words = [w for w, m in zip(words, found) if not m] + self._shortly([m[0] for m in able], [m.groups() for m in able])
         sep = f" {MARK} "
         for i in range(0, len(words), 256):
             part = words[i : i + 256]
@@ -144,12 +189,15 @@ class Encoder:
                 self.kept[w], at = data[at:e], e + 4
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.mark is None or self.odd.search(t) else t.split() for t in texts]
-        new = list({w for s in split if s for w in s if w not in self.kept})
-        if len(self.kept) + len(new) > CACHE:
-            self.kept = {}
-            new = list({w for s in split if s for w in s})
-        self.words(new)
+        odd = lambda t: self.mark is None or (not t.isascii() or not t.isprintable()) and self.usual.search(t) and self.odd.search(t)
+        split = [None if odd(t) else t.split() for t in texts]
+        missing = set().union(*filter(None, split)) - self.kept.keys()
+        if len(self.kept) + len(missing) > CACHE:
+            self.older, self.kept = self.kept, {}
+            missing = set().union(*filter(None, split))
+        older = self.older
+        self.kept.update((w, older[w]) for w in missing if w in older)
+        self.words([w for w in missing if w not in older])
         get = self.kept.__getitem__
         return [self.whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
 
