@@ -1,14 +1,14 @@
 """Secret scans: multipart credential linking.
 
 Strong findings (``assign``, ``access``, ``hex``) stand alone. Weak candidates
-are parts of a credential: identifiers (``id``: user, login, client or key ids,
-mail addresses), keys (``key``: mixed runs of 20 or more letters and digits,
-high in entropy) and endpoints (``endpoint``: URLs, host names with ports, IPv4
-addresses). Parts are linked by an interval join inside a scope: a line block
-(text between blank lines) and at most ``REACH`` code points apart. A weak
-candidate is reported only if it is linked to complementary parts: a key needs
-an identifier, an identifier or an endpoint needs a secret (key or strong
-finding).
+are parts of a credential: identifiers (``id``: user, login, account, client or
+key ids, their names in any case, and mail addresses), keys (``key``: mixed runs
+of 20 or more letters and digits, high in entropy, bare or behind ``NAME=``) and
+endpoints (``endpoint``: URLs, host names with ports, IPv4 addresses). Parts are
+linked by an interval join inside a scope: a line block (text between blank
+lines) and at most ``REACH`` code points apart. A weak candidate is reported
+only if it is linked to complementary parts: a key needs an identifier, an
+identifier or an endpoint needs a secret (key or strong finding).
 
 Defined results: a null or empty text has no spans; repeated rows are scanned
 each; very long texts are swept once in order (sorted starts and a moving
@@ -35,8 +35,8 @@ from .common import table
 ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss](?:[Ww][Oo][Rr][Dd]|[Ww][Dd])|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-IDENT = re.compile(r"""(?:[Uu]ser(?:name)?|[Ll]ogin|[Aa]ccount|[Cc]lient_?[Ii][Dd]|[Kk]ey_?[Ii][Dd])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+""")
-KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+IDENT = re.compile(r"""(?:[Uu][Ss][Ee][Rr](?:[Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd]|[Kk][Ee][Yy]_?[Ii][Dd])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+""")
+KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,9}://[^\s\"'<>]+|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?\b|\b(?:[a-z0-9-]+\.)+[a-z]{2,}:[0-9]{2,5}\b")
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 STRONG = KINDS[:3]
