@@ -11,9 +11,10 @@ in double precision.
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do vectors of another dimension than the most
 frequent one (ties: the smaller); repeated vectors are indexed once and answer
-with their least ids; repeated vec_ids are separate rows; null vec_ids take no
-part; fewer candidates than ``k`` give them all; an empty table gives an empty
-table; extra columns are ignored.
+with their least ids; a vec_id that is repeated is asked once and answers once,
+at the best cosine of its vectors; null vec_ids take no part; fewer candidates
+than ``k`` give them all; an empty table gives an empty table; extra columns are
+ignored.
 
 Scale: the stated queries (vec_id divisible by 50) meet the index in blocks, a
 task for each pair of blocks; equal vectors are folded before anything moves
@@ -86,9 +87,18 @@ def search_block(ids: list, x: np.ndarray, q: np.ndarray, pivots: np.ndarray, k:
         d = footrule(order, files, len(x))
         near = np.flatnonzero(d <= np.partition(d, keep - 1)[keep - 1])
         score = (x[near] * v).sum(1) / (norms[near] * size)
-        best = near[score >= (np.partition(score, len(score) - k - 1)[len(score) - k - 1] if len(score) > k + 1 else -np.inf)]
-        hits = [(i, s) for j, s in zip(best, (x[best] * v).sum(1) / (norms[best] * size)) for i in ids[j]]
-        out.append(sorted(hits, key=lambda h: (-h[1], h[0]))[: k + 1])
+        most = k + 1
+        while True:
+            best = score >= np.partition(score, len(score) - most)[len(score) - most] if len(score) > most else np.ones(len(score), bool)
+            hits = {}
+            for s, j in zip(score[best].tolist(), near[best].tolist()):
+                for i in ids[j]:
+                    hits[i] = max(s, hits.get(i, s))
+            # Vectors that share ids: as many more as it takes for k + 1 ids.
+            if len(hits) > k or best.all():
+                break
+            most *= 2
+        out.append(sorted(hits.items(), key=lambda h: (-h[1], h[0]))[: k + 1])
     return out
 
 
@@ -96,6 +106,8 @@ def nearest(rows: DataFrame, queries: DataFrame | None = None, k: int = K, share
     """query_id, rank, vec_id, score. Queries: the rows whose id is divisible by 50."""
     spark = rows.sparkSession
     rows = materialize(usable(rows).withColumn("key", F.xxhash64("v")), "ann-rows")
+    if rows.groupBy("id").count().where("count > 1").limit(1).count():
+        rows = materialize(rows.distinct(), "ann-distinct")
     # Equal vectors fold; a window limit is applied before and after the shuffle.
     least = Window.partitionBy("key", "v").orderBy("id")
     folded = rows.withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1).groupBy("key", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
@@ -108,7 +120,7 @@ def nearest(rows: DataFrame, queries: DataFrame | None = None, k: int = K, share
     pivots = np.array(chosen)
     pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
     asked = rows.where("id % 50 = 0") if queries is None else usable(queries).withColumn("key", F.xxhash64("v"))
-    asked = materialize(asked.select(F.col("id").alias("query_id"), "key", "v"), "ann-queries")
+    asked = materialize(asked.select(F.col("id").alias("query_id"), "key", "v").distinct(), "ann-queries")
     vectors = materialize(asked.select("key", "v").distinct().withColumn("qid", F.monotonically_increasing_id()), "ann-query-vectors")
     nq = vectors.count()
     blocks, qblocks = -(-n // INDEX_BLOCK), max(1, -(-nq // QUERY_BLOCK))
@@ -126,10 +138,11 @@ def nearest(rows: DataFrame, queries: DataFrame | None = None, k: int = K, share
         return pa.table([pa.array(c, t) for c, t in zip(zip(*hits), kinds.types)], schema=kinds)
 
     hits = index.groupBy("ib", "qb").cogroup(probes.groupBy("ib", "qb")).applyInArrow(search, "qid long, vec_id long, score double")
+    hits = hits.groupBy("qid", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     hits = hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
     named = asked.join(vectors, ["key", "v"]).select("query_id", "qid")
-    ranked = named.join(hits, "qid").where("query_id <> vec_id")
+    ranked = named.join(hits, "qid").where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return ranked.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

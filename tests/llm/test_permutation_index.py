@@ -47,6 +47,25 @@ def test_copies_answer_with_their_least_ids(spark):
     assert [j for j, _ in mine[0]] == [1, 2, 3, 4, 5] and [j for j, _ in mine[150]] == [0, 1, 2, 3, 4]
 
 
+def test_repeated_ids_cost_no_neighbours(spark):
+    rows = vectors(30, 5)
+    apart = [(7, [-x for x in rows[7][1]], 0, None, None)] + [(9, [x + 0.01 * k for x in rows[0][1]], 0, None, None) for k in range(1, 20)]
+    again = rows[:1] * 6 + rows[3:6] * 4 + [(0, rows[12][1], 0, None, None)] + apart
+    f32 = lambda v: np.array(v, np.float32).astype(float)
+    table = [(i, f32(v)) for i, v, *_ in rows + again]
+    like = lambda a, b: float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b)))
+    best = {}
+    for i, v in table:
+        if i == 0:
+            for j, w in table:
+                if j != 0:
+                    best[j] = max(like(v, w), best.get(j, -2.0))
+    want = sorted(best.items(), key=lambda h: (-h[1], h[0]))[:5]
+    mine = got(spark.createDataFrame(rows + again, SCHEMA))
+    assert list(mine) == [0] and [j for j, _ in mine[0]] == [j for j, _ in want]
+    assert np.allclose([s for _, s in mine[0]], [s for _, s in want], atol=1e-12)
+
+
 def test_few_and_none(spark):
     assert got(spark.createDataFrame([(0, [1.0, 0.0], 1, None, None)], SCHEMA)) == {}
     assert [j for j, _ in got(spark.createDataFrame([(0, [1.0, 0.0], 1, None, None), (3, [0.0, 1.0], 1, None, None)], SCHEMA))[0]] == [3]
