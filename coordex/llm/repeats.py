@@ -10,8 +10,10 @@ bytes they cover. There, equal runs are joined first; the remaining ones get a
 suffix array (prefix doubling) with its common-prefix lengths, whose intervals a
 stack scan finds. An interval's suffixes share ``LENGTH`` bytes or more; the
 one that starts first (smaller doc_id, then earlier start) stays and every other
-is marked, not just neighbours. ``maximal_repeats`` gives the intervals that are
-diverse to the left, with all occurrences.
+is marked, not just neighbours. The marks need groups of equal windows only, so
+common prefixes are counted up to ``LENGTH`` there. ``maximal_repeats``, which no
+query calls, counts them on to the end of a run and gives the intervals that are
+diverse to the left inside their runs, with all occurrences.
 
 Defined results: a null or empty text has no bytes; matches never cross
 documents; where doc_id repeats, rows are ordered as they were read; null doc_ids
