@@ -154,7 +154,9 @@ def op1_language_id(spark, sf_dir):
 
 
 def drop_unidentified(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The documents with a language (all columns); lang is filled in where it is null."""
+    """The documents with a language (all columns); lang is filled in where it is null.
+    Only ``und`` goes: ambiguity and score have no effect, and a lang that is there
+    stays even against the prediction."""
     model = model or learn(docs)
     at, lang = docs.columns.index("text"), docs.columns.index("lang")
 
