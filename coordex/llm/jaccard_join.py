@@ -336,8 +336,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(x, pa.int64()) for x in (node, root, links)], ["node", "to", "links"])
 
 
-def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links, copies per row."""
+def _classed(docs: DataFrame, recall: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, x, y, sketch per row; x, y, least, copies, root, class_id, links per text with words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialize(docs.mapInArrow(_profiles, "doc_id long, x long, y long, sketch binary"), "join-profiles")
     nodes = rows.where("sketch is not null").groupBy("x", "y", "sketch").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
@@ -358,7 +358,13 @@ def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     degree = verdicts.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.drop("sketch").join(classes, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = known.groupBy("root").agg(F.min("least").alias("class_id"))
-    known = materialize(known.join(named, "root").select("x", "y", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "join-classes")
+    return rows, known.join(named, "root")
+
+
+def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, n_links, copies per row."""
+    rows, known = _classed(docs, recall)
+    known = materialize(known.select("x", "y", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "join-classes")
     with_words = rows.where("sketch is not null").select("doc_id", "x", "y").join(known, ["x", "y"])
     none = rows.where("sketch is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
     return with_words.select("doc_id", "class_id", "n_links", "copies").unionByName(none)
@@ -369,18 +375,35 @@ def op9_jaccard_join(spark, sf_dir):
 
 
 def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """One document (all columns) of each class: the one that names it. Repeated
-    rows are one document; so are rows without doc_id and with equal texts."""
+    """One document (all columns) of each class: the one that names it, or of a
+    class without any doc_id the one whose words come first by hash. Repeated rows
+    without words are one document."""
     from pyspark.sql.window import Window
 
-    leads = join(docs, recall).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_lead")).distinct()
+    no_id = lambda c: [F.coalesce(c, F.lit(0)).alias("_id"), c.isNull().alias("_null")]
+    _, known = _classed(docs, recall)
+    lead = F.min(F.struct(F.col("least").isNull(), "least", "x", "y")).alias("lead")
+    leads = known.groupBy("root").agg(lead).select(*no_id(F.col("lead.least")), F.col("lead.x").alias("_x"), F.col("lead.y").alias("_y"), F.lit(True).alias("_leads"))
     leads = materialize(leads, "join-leads")
-    # One exchange on doc_id serves the join and the window; rows without an id go apart.
-    named = docs.where("doc_id is not null").hint("merge").join(leads, F.col("doc_id") == F.col("_lead"), "left_semi")
-    nameless = docs.where("doc_id is null") if leads.where("_lead is null").limit(1).count() else docs.limit(0)
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text"))
-    return _first(named, nth).unionByName(_first(nameless, nth))
+    # One exchange on doc_id and words serves the join and the window.
+    keys = ["_id", "_null", "_x", "_y"]
+    worded = _worded(docs).select("*", *no_id(F.col("doc_id").cast("long"))).hint("merge").join(leads, keys, "left")
+    blank = F.when(~F.col("_words"), F.col("text").cast("string"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "_words", blank).orderBy("text"))
+    kept = worded.where("_leads or not _words").withColumn("_nth", nth).where("_nth = 1")
+    return kept.select(*docs.columns)
+
+
+def _worded(docs: DataFrame) -> DataFrame:
+    """All columns, with what stands for the text's words and whether it has any."""
+    from pyspark.sql.types import BooleanType, LongType, StructType
+
+    schema = StructType([*docs.schema.fields]).add("_x", LongType()).add("_y", LongType()).add("_words", BooleanType())
+    at = docs.columns.index("text")
 
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rebatched(batches, "text", 1 << 20):
+            _, have, x, y = shingles(_encoded(b.column(at)))
+            yield pa.record_batch([*b.columns, pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(have > 0)], [*b.schema.names, "_x", "_y", "_words"])
 
-def _first(rows: DataFrame, nth) -> DataFrame:
-    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    return docs.mapInArrow(named, schema)

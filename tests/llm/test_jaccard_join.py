@@ -75,6 +75,27 @@ def test_large_groups_are_split_and_counted(spark):
     assert got(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
 
 
+def test_one_document_of_each_class(spark):
+    rng = random.Random(8)
+    say = lambda k: [f"v{rng.randrange(500)}" for _ in range(k)]
+    near = lambda w: [*w[:-1], "other"]
+    a, b, c, d = say(80), say(80), say(80), say(80)
+    kept = [(3, a), (5, b), (None, c), (8, d)]
+    gone = [(None, near(a)), (5, near(a)), (None, near(c)), (None, near(c)), (9, near(d)), (8, near(d)), (None, d)]
+    # Of classes without ids, and of a doc_id with two near texts, either may stay.
+    either = {"c": {" ".join(c), " ".join(near(c))}, "d": {" ".join(d), " ".join(near(d))}}
+    rows = [(i, " ".join(w), None, 1) for i, w in kept + gone] + [(5, "  ".join(b), None, 1), (None, "", None, 1), (None, "", None, 2), (None, None, None, 1), (11, " ", None, 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    out = [(r.doc_id, r.text) for r in J.keep_one(df).collect()]
+    assert J.keep_one(df).columns == df.columns
+    blank = [r for r in out if not (r[1] or "").strip()]
+    assert sorted(blank, key=str) == sorted([(None, ""), (None, None), (11, " ")], key=str)
+    left = [r for r in out if r not in blank]
+    assert len(left) == 4
+    assert (3, " ".join(a)) in left and [i for i, t in left if t.split() == b] == [5]
+    assert [i for i, t in left if t in either["c"]] == [None] and [i for i, t in left if t in either["d"]] == [8]
+
+
 def test_empty(spark):
     assert got(spark.createDataFrame([], SCHEMA)) == []
 
