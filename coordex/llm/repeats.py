@@ -6,24 +6,36 @@ that can begin a repeat of ``LENGTH`` bytes are routed to the place where they
 are sorted: of the 32-byte grams in each 100-byte window the least by hash is
 its anchor, so equal windows have equal anchors. Windows in a row with one
 anchor form a run; only runs whose anchor occurs elsewhere travel on, with the
-bytes they cover. There, equal runs are joined first; the remaining ones get a
-suffix array (prefix doubling) with its common-prefix lengths, whose intervals a
-stack scan finds. An interval's suffixes share ``LENGTH`` bytes or more; the
-one that starts first (smaller doc_id, then earlier start) stays and every other
-is marked, not just neighbours. The marks need groups of equal windows only, so
-common prefixes are counted up to ``LENGTH`` there. ``maximal_repeats``, which no
-query calls, counts them on to the end of a run and gives the intervals that are
-diverse to the left inside their runs, with all occurrences.
+bytes they cover. There, equal runs are folded, and the others get a suffix array
+(prefix doubling up to the run's end, which sorts before any byte) with its
+common-prefix lengths. A stack scan gives the intervals of the common-prefix
+tree, children first. Of an interval's suffixes the one that starts first
+(smaller doc_id, then earlier start) leads; each child's leader that loses the
+lead is an occurrence of that interval's repeat. Intervals whose suffixes all
+have the same byte to their left are left out: the same repeat, one byte longer,
+is found one place to the left.
+
+A run is shorter than many repeats, so the occurrences come back to their batch
+and are joined there: neighbours that point to one leader at one distance are one
+occurrence, as long as they overlap. Joined occurrences with the same leader and
+length are a group of equal strings (``repeat_occurrences``, ``maximal_repeats``),
+and what they cover, leaders apart, is removed (``remove_repeats``).
+
+Limits of the groups: inside a long repeat whose middle also occurs in an earlier
+document the leader changes, so the long repeat comes in parts, each whole for
+its leader. The bytes removed do not depend on that.
 
 Defined results: a null or empty text has no bytes; matches never cross
 documents; where doc_id repeats, rows are ordered as they were read; null doc_ids
 come first; a text of any length is handled in one batch of its own; an empty
 table gives an empty table; extra columns are ignored.
 
-Scale: texts move twice, as Zstandard frames of about ``BATCH`` bytes; anchors
-are 8 bytes each and unique within a batch, runs unique within a batch, so a
-passage that a third of all documents share is sent once a batch. The number of
-sorting places grows with the input; nothing is sent to the driver.
+Scale: the batches are written once and dealt out once, as Zstandard frames of
+about ``BATCH`` bytes; anchors are 8 bytes each and unique within a batch, runs
+unique within a batch, so a passage that a third of all documents share is sent
+once a batch. If an anchor occurs in more than ``HOT`` batches, its runs are
+folded in ``SALTS`` parts before they meet. The number of sorting places grows
+with the input; nothing but its size is sent to the driver.
 """
 
 from __future__ import annotations
@@ -45,8 +57,13 @@ POS = np.uint64((1 << 31) - 1)
 _RNG = np.random.default_rng(5)
 SUBST = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
+HOT, SALTS = 4096, 64
 RUN = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("pos", "<i8"), ("at", "<i8"), ("n", "<i4")])
-NULL_ID = -(1 << 63)
+#: An occurrence: where it starts in its batch, how long it is, where its leader
+#: starts. A leader in the same batch is told by its place there (doc is LOCAL).
+MARK = np.dtype([("at", "<i8"), ("n", "<i8"), ("doc", "<i8"), ("pos", "<i8")])
+NULL_ID, LOCAL = -(1 << 63), -(1 << 63) + 1
+ROUTED = "place long, batch_id long, blob binary"
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -89,35 +106,38 @@ def runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, length: int
 # ---- batches of texts
 
 
-def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+def _batches_to(limit: int):
+    def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    part, z, count = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=3), 0
-    held, size = [], 0
+        part, z, count = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=3), 0
+        held, size = [], 0
 
-    def out():
-        held.sort(key=lambda r: (r[0] is not None, r[0] or 0))
-        joined = b"".join(r[1] for r in held)
-        return pa.record_batch(
-            [pa.array([part + count]), pa.array([len(joined)]), pa.array([z.compress(joined)], pa.binary()), pa.array([[r[0] for r in held]], pa.list_(pa.int64())), pa.array([[len(r[1]) for r in held]], pa.list_(pa.int64()))],
-            ["batch_id", "n_bytes", "z", "doc_ids", "lengths"],
-        )
+        def out():
+            held.sort(key=lambda r: (r[0] is not None, r[0] or 0))
+            joined = b"".join(r[1] for r in held)
+            return pa.record_batch(
+                [pa.array([part + count]), pa.array([len(joined)]), pa.array([z.compress(joined)], pa.binary()), pa.array([[r[0] for r in held]], pa.list_(pa.int64())), pa.array([[len(r[1]) for r in held]], pa.list_(pa.int64()))],
+                ["batch_id", "n_bytes", "z", "doc_ids", "lengths"],
+            )
 
-    for b in batches:
-        for doc_id, text in zip(b.column(0), b.column(1)):
-            data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            if held and size + len(data) > BATCH:
-                yield out()
-                held, size, count = [], 0, count + 1
-            held.append((doc_id.as_py(), data))
-            size += len(data)
-    if held:
-        yield out()
+        for b in batches:
+            for doc_id, text in zip(b.column(0), b.column(1)):
+                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                if held and size + len(data) > limit:
+                    yield out()
+                    held, size, count = [], 0, count + 1
+                held.append((doc_id.as_py(), data))
+                size += len(data)
+        if held:
+            yield out()
+
+    return batched
 
 
 def batches_of(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(_batched, "batch_id long, n_bytes long, z binary, doc_ids array<long>, lengths array<long>"), "repeat-batches")
+    return materialize(rows.mapInArrow(_batches_to(BATCH), "batch_id long, n_bytes long, z binary, doc_ids array<long>, lengths array<long>"), "repeat-batches")
 
 
 def _opened(row: dict) -> tuple[bytes, np.ndarray, np.ndarray, list]:
@@ -156,59 +176,101 @@ def _anchors_by(places: int):
     return fn
 
 
-def _shared(group: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(x.as_py(), "<u8") for x in group.column("hashes")]
-    several = group.column("several").to_numpy()
-    everything = np.concatenate(parts)
-    weight = np.concatenate([np.where(np.arange(len(p)) >= len(p) - k, 2, 1) for p, k in zip(parts, several)])
-    _, inverse = np.unique(everything, return_inverse=True)
-    common = (np.bincount(inverse, weight) > 1)[inverse]
-    ends = np.cumsum([len(p) for p in parts])
-    found = [p[common[e - len(p) : e]] for p, e in zip(parts, ends)]
-    keep = [i for i, f in enumerate(found) if len(f)]
-    return pa.table({"batch_id": pa.array(group.column("batch_id").to_numpy()[keep], pa.int64()), "hashes": pa.array([found[i].tobytes() for i in keep], pa.binary())})
+def _shared_by(hot_from: int):
+    def shared(group: pa.Table) -> pa.Table:
+        """Of each batch the anchors that occur elsewhere, hot ones last."""
+        parts = [np.frombuffer(x.as_py(), "<u8") for x in group.column("hashes")]
+        several = group.column("several").to_numpy()
+        everything = np.concatenate(parts)
+        weight = np.concatenate([np.where(np.arange(len(p)) >= len(p) - k, 2, 1) for p, k in zip(parts, several)])
+        _, inverse, batches = np.unique(everything, return_inverse=True, return_counts=True)
+        common, hot = (np.bincount(inverse, weight) > 1)[inverse], (batches > hot_from)[inverse]
+        ends = np.cumsum([len(p) for p in parts])
+        out = {"batch_id": [], "hashes": [], "hot": []}
+        for b, p, e in zip(group.column("batch_id").to_pylist(), parts, ends.tolist()):
+            mine = slice(e - len(p), e)
+            cold, warm = p[common[mine] & ~hot[mine]], p[common[mine] & hot[mine]]
+            if len(cold) or len(warm):
+                out["batch_id"].append(b)
+                out["hashes"].append(np.concatenate([cold, warm]).tobytes())
+                out["hot"].append(len(warm))
+        return pa.table([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.binary(), pa.int32()))], list(out))
+
+    return shared
 
 
 # ---- the runs of those anchors, with the bytes they cover
 
 
-def _runs_by(places: int, fold: bool = True):
-    kinds = pa.schema([("kind", pa.int32()), ("place", pa.int32()), ("batch_id", pa.int64()), ("blob", pa.binary())])
+def _blob(rec: np.ndarray, texts: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<q", len(rec)) + rec.tobytes() + b"".join(texts))
+
+
+def _opened_runs(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    k = struct.unpack_from("<q", raw)[0]
+    rec, at = np.frombuffer(raw, RUN, k, 8), 8 + k * RUN.itemsize
+    ends = at + np.cumsum(rec["n"].astype(np.int64) + LENGTH - 1)
+    return rec, [raw[s:e] for s, e in zip([at, *ends[:-1].tolist()], ends.tolist())]
+
+
+def _mark_rows(batch: np.ndarray, marks: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """A row a batch: marks have the place -1."""
+    order = np.lexsort((marks["at"], batch))
+    batch, marks = batch[order], marks[order]
+    cuts = np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1]])).tolist() if len(batch) else []
+    z = zstandard.ZstdCompressor(level=1)
+    return [(-1, int(batch[s]), z.compress(marks[s:e].tobytes())) for s, e in zip(cuts, [*cuts[1:], len(batch)])]
+
+
+def _table(rows: list[tuple], kinds: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds.types)], schema=kinds) if rows else kinds.empty_table()
+
+
+ROUTES = pa.schema([("place", pa.int64()), ("batch_id", pa.int64()), ("blob", pa.binary())])
+
+
+def _runs_by(places: int, salts: int):
+    """The runs of common anchors, a row a place; equal runs of the batch are
+    marked here and sent once. Hot anchors have places of their own, SALTS each."""
 
     def fn(batch: pa.Table, replies: pa.Table) -> pa.Table:
         if not batch.num_rows or not replies.num_rows:
-            return kinds.empty_table()
+            return ROUTES.empty_table()
         row = batch.to_pylist()[0]
         data, starts, lengths, ids = _opened(row)
         hashes, at, n = runs(np.frombuffer(data, np.uint8), starts, lengths)
-        common = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in replies.column("hashes")])
-        pick = np.flatnonzero(np.isin(hashes, common))
+        parts = [np.frombuffer(x.as_py(), "<u8") for x in replies.column("hashes")]
+        warm = np.concatenate([p[len(p) - k :] for p, k in zip(parts, replies.column("hot").to_pylist())])
+        pick = np.flatnonzero(np.isin(hashes, np.concatenate(parts)))
         hashes, at, n = hashes[pick], at[pick], n[pick]
         doc = np.searchsorted(starts, at, "right") - 1
         seen: dict[bytes, int] = {}
-        first, again = [], []
+        first, again, lead = [], [], []
         for i, (s, k) in enumerate(zip(at.tolist(), n.tolist())):
-            covered = data[s : s + k + LENGTH - 1]
-            (first if not fold or seen.setdefault(covered, i) == i else again).append(i)
-        again = np.array(again, np.int64)
-        marks = np.stack([at[again], at[again] + n[again] - 1], 1)
-        out = {"kind": [1], "place": [-1], "batch_id": [row["batch_id"]], "blob": [marks.astype("<i8").tobytes()]}
+            j = seen.setdefault(data[s : s + k + LENGTH - 1], i)
+            if j == i:
+                first.append(i)
+            else:
+                again.append(i)
+                lead.append(j)
+        marks = np.zeros(len(again), MARK)
+        marks["at"], marks["n"], marks["doc"], marks["pos"] = at[again], n[again] + LENGTH - 1, LOCAL, at[lead]
+        out = _mark_rows(np.full(len(again), row["batch_id"]), marks)
         first = np.array(first, np.int64)
-        order = first[np.argsort(hashes[first] % np.uint64(places), kind="stable")]
-        rec = np.zeros(len(order), RUN)
+        place = (hashes[first] % np.uint64(places)).astype(np.int64)
+        hot = np.isin(hashes[first], warm)
+        place[hot] = places + place[hot] * salts + row["batch_id"] % salts
+        order = np.argsort(place, kind="stable")
+        first, place = first[order], place[order]
+        rec = np.zeros(len(first), RUN)
         ids = np.array([NULL_ID if i is None else i for i in ids], np.int64)
-        rec["hash"], rec["doc"], rec["row"], rec["pos"], rec["at"], rec["n"] = hashes[order], ids[doc[order]], doc[order], at[order] - starts[doc[order]], at[order], n[order]
-        place = (rec["hash"] % np.uint64(places)).astype(np.int64)
+        rec["hash"], rec["doc"], rec["row"], rec["pos"], rec["at"], rec["n"] = hashes[first], ids[doc[first]], doc[first], at[first] - starts[doc[first]], at[first], n[first]
         cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else []
-        z = zstandard.ZstdCompressor(level=1)
         for s, e in zip(cuts, [*cuts[1:], len(place)]):
-            part = rec[s:e]
-            texts = b"".join(data[a : a + k + LENGTH - 1] for a, k in zip(part["at"].tolist(), part["n"].tolist()))
-            out["kind"].append(0)
-            out["place"].append(int(place[s]))
-            out["batch_id"].append(row["batch_id"])
-            out["blob"].append(z.compress(struct.pack("<q", e - s) + part.tobytes() + texts))
-        return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds.types)], schema=kinds)
+            texts = [data[a : a + k + LENGTH - 1] for a, k in zip(rec["at"][s:e].tolist(), rec["n"][s:e].tolist())]
+            out.append((int(place[s]), row["batch_id"], _blob(rec[s:e], texts)))
+        return _table(out, ROUTES)
 
     return fn
 
@@ -234,179 +296,264 @@ def suffix_array(data: np.ndarray, places: np.ndarray, length: int = LENGTH) ->
     return places[order], ranks[order]
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, ranks: np.ndarray, limit: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Bytes that each suffix shares with the one before it: 0 where fewer than
-    ``length``, else counted up to where either run of bytes ends."""
+def common_prefixes(data: np.ndarray, order: np.ndarray, limit: np.ndarray, most: int) -> np.ndarray:
+    """Bytes that each suffix shares with the one before it, counted up to where
+    either run of bytes ends (``most`` bytes at most)."""
     lcp = np.zeros(len(order), np.int64)
-    live = np.flatnonzero(ranks[1:] == ranks[:-1]) + 1
-    lcp[live] = length
+    a, b = order[:-1], order[1:]
+    room = np.minimum(limit[:-1] - a, limit[1:] - b)
+    live = np.flatnonzero(room > 0)
     while len(live):
-        a, b = order[live - 1] + lcp[live], order[live] + lcp[live]
-        inside = (a < limit[live - 1]) & (b < limit[live])
-        live, a, b = live[inside], a[inside], b[inside]
-        same = data[a] == data[b]
+        same = data[a[live] + lcp[live + 1]] == data[b[live] + lcp[live + 1]]
         live = live[same]
-        lcp[live] += 1
+        lcp[live + 1] += 1
+        live = live[lcp[live + 1] < np.minimum(room[live], most)]
     return lcp
 
 
 def intervals(lcp: np.ndarray, least: int = LENGTH) -> Iterator[tuple[int, int, int, bool]]:
     """Stack scan: (from, to, common prefix, outermost) of each interval of the
     common-prefix interval tree with ``least`` bytes or more, children first."""
-    stack: list[list[int]] = []
-    n = len(lcp)
+    stack: list[tuple[int, int]] = []
+    n, last = len(lcp), -2
     for i in [*np.flatnonzero(lcp >= least).tolist(), n]:
-        if stack and (i == n or stack[-1][2] != i - 1):  # the prefix was too short in between
-            end = stack[-1][2]
+        if i == n or i != last + 1:  # the prefix was too short in between
             while stack:
-                left, depth, _ = stack.pop()
-                yield left, end, depth, not stack
+                left, depth = stack.pop()
+                yield left, last, depth, not stack
         if i == n:
             break
         left, depth = i - 1, int(lcp[i])
         while stack and stack[-1][1] > depth:
-            low, deep, _ = stack.pop()
-            yield low, i - 1, deep, False
-            left = low
-        if stack and stack[-1][1] == depth:
-            stack[-1][2] = i
-        else:
-            stack.append([left, depth, i])
-        for s in stack:
-            s[2] = i
-
-
-def _gathered(group: pa.Table):
+            left, deep = stack.pop()
+            yield left, i - 1, deep, False
+        if not stack or stack[-1][1] < depth:
+            stack.append((left, depth))
+        last = i
+
+
+def leaders(lcp: np.ndarray, rank: np.ndarray, left: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """From the tree: suffixes (by rank) that lose the lead in an interval, the
+    interval's common prefix and its leader. Intervals whose suffixes all have one
+    byte to their left are passed over; ``left`` is -1 where a run begins."""
+    best, byte, after = rank.tolist(), left.tolist(), list(range(1, len(rank) + 1))
+    losers, depths, tops = [], [], []
+    for lo, hi, depth, _ in intervals(lcp):
+        members, bytes_, i = [], set(), lo
+        while i <= hi:
+            members.append(best[i])
+            bytes_.add(byte[i])
+            i = after[i]
+        top, diverse = min(members), len(bytes_) > 1 or -1 in bytes_
+        best[lo], after[lo] = top, hi + 1
+        if diverse:
+            byte[lo] = -1
+            for m in members:
+                if m != top:
+                    losers.append(m)
+                    depths.append(depth)
+                    tops.append(top)
+    return losers, depths, tops
+
+
+def _folded(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Different runs in order of document and start, with their batches and bytes;
+    the others as marks (batch, mark) of the first of their kind."""
     recs, texts, batch = [], [], []
-    d = zstandard.ZstdDecompressor()
     for b, blob in zip(group.column("batch_id").to_pylist(), group.column("blob")):
-        raw = d.decompress(blob.as_py())
-        k = struct.unpack_from("<q", raw)[0]
-        rec, at = np.frombuffer(raw, RUN, k, 8), 8 + k * RUN.itemsize
+        rec, own = _opened_runs(blob.as_py())
         recs.append(rec)
-        batch += [b] * k
-        for n in rec["n"].tolist():
-            texts.append(raw[at : at + n + LENGTH - 1])
-            at += n + LENGTH - 1
-    return np.concatenate(recs), np.array(batch, np.int64), texts
-
-
-def _scan_place(group: pa.Table, repeats: bool = False):
-    """Marks (batch, first and last window) and, if asked for, maximal repeats."""
-    rec, batch, texts = _gathered(group)
+        texts += own
+        batch += [b] * len(rec)
+    rec, batch = np.concatenate(recs), np.array(batch, np.int64)
     order = np.lexsort((rec["pos"], rec["row"], batch, rec["doc"]))
     rec, batch, texts = rec[order], batch[order], [texts[i] for i in order]
     seen: dict[bytes, int] = {}
-    same: dict[int, list[int]] = {}
-    first, marks = [], []
+    first, again, lead = [], [], []
     for i, t in enumerate(texts):
         j = seen.setdefault(t, i)
         if j == i:
             first.append(i)
         else:
-            marks.append((batch[i], rec["at"][i], rec["at"][i] + rec["n"][i] - 1))
-            if repeats:
-                same.setdefault(j, []).append(i)
-    _, inverse, times = np.unique(rec["hash"][first], return_inverse=True, return_counts=True)
+            again.append(i)
+            lead.append(j)
+    marks = np.zeros(len(again), MARK)
+    marks["at"], marks["n"], marks["doc"], marks["pos"] = rec["at"][again], rec["n"][again] + LENGTH - 1, rec["doc"][lead], rec["pos"][lead]
+    return rec[first], batch[first], [texts[i] for i in first], batch[again], marks
+
+
+def _scan_place(group: pa.Table) -> pa.Table:
+    """Marks of all runs that meet here but the leaders."""
+    if group.column("place")[0].as_py() < 0:
+        return group.select(ROUTES.names)
+    rec, batch, texts, far, marks = _folded(group)
     # A run that stands alone under its anchor shares no window with another.
-    first = [i for i, k in zip(first, times[inverse]) if k > 1 or (repeats and i in same)]
-    found = []
-    if first:
-        data = np.frombuffer(b"".join(texts[i] for i in first), np.uint8)
-        n = rec["n"][first].astype(np.int64)
-        begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
-        owner = np.repeat(np.arange(len(first)), n)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        places = begin[owner] + inside
-        sa, ranks = suffix_array(data, places)
-        at = np.searchsorted(places, sa)  # places grow
-        who, off = owner[at], inside[at]
-        limit = begin[who] + n[who] + LENGTH - 1
-        lcp = common_prefixes(data, sa, ranks, limit) if repeats else np.where(np.concatenate([[False], ranks[1:] == ranks[:-1]]), LENGTH, 0)
-        for lo, hi, length, outermost in intervals(lcp):
-            members = range(lo, hi + 1)
-            if outermost:
-                # Runs are in order of document and start; of one run the earlier window.
-                lead = min(members, key=lambda k: (who[k], off[k]))
-                marks += [(batch[first[who[k]]], rec["at"][first[who[k]]] + off[k], rec["at"][first[who[k]]] + off[k]) for k in members if k != lead]
-            if repeats:
-                before = {int(data[sa[k] - 1]) if off[k] else None for k in members}
-                if len(before) > 1 or None in before:
-                    hits = [(int(rec["doc"][x]), int(rec["pos"][x] + off[k])) for k in members for x in (first[who[k]], *same.get(first[who[k]], []))]
-                    found.append((length, sorted(hits)))
-        if repeats:
-            for k in set(range(len(first))):
-                if first[k] in same:
-                    found.append((int(n[k] + LENGTH - 1), sorted((int(rec["doc"][x]), int(rec["pos"][x])) for x in (first[k], *same[first[k]]))))
-    return marks, found
-
-
-def _marked(group: pa.Table) -> pa.Table:
-    marks, _ = _scan_place(group)
-    by: dict[int, list] = {}
-    for b, s, e in marks:
-        by.setdefault(int(b), []).append((s, e))
-    return pa.table({"batch_id": pa.array(list(by), pa.int64()), "blob": pa.array([np.array(v, "<i8").tobytes() for v in by.values()], pa.binary())})
-
-
-def _repeats(group: pa.Table) -> pa.Table:
-    found = [f for f in _scan_place(group, True)[1] if len(f[1]) > 1]
-    hit = pa.struct([("doc_id", pa.int64()), ("start", pa.int64())])
-    return pa.table({"length": pa.array([f[0] for f in found], pa.int64()), "occurrences": pa.array([[{"doc_id": None if d == NULL_ID else d, "start": s} for d, s in f[1]] for f in found], pa.list_(hit))})
+    _, inverse, times = np.unique(rec["hash"], return_inverse=True, return_counts=True)
+    some = np.flatnonzero(times[inverse] > 1)
+    out = _mark_rows(far, marks)
+    if len(some):
+        rec, batch = rec[some], batch[some]
+        # Bytes of UTF-8 stay below 255: one more makes room for an end that sorts first.
+        n = rec["n"].astype(np.int64)
+        covered = n + LENGTH - 1
+        most = int(covered.max())
+        data = np.frombuffer(b"\xff".join(texts[i] for i in some) + b"\xff" * (most + 8), np.uint8) + np.uint8(1)
+        begin = np.cumsum(covered + 1) - (covered + 1)
+        who = np.repeat(np.arange(len(rec)), n)
+        off = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+        places = begin[who] + off  # in order of document and start
+        sa, _ = suffix_array(data, places, most)
+        rank = np.searchsorted(places, sa)
+        lcp = common_prefixes(data, sa, (begin + covered)[who[rank]], most)
+        left = np.where(off[rank] > 0, data[np.maximum(sa - 1, 0)].astype(np.int64), -1)
+        losers, depths, tops = leaders(lcp, rank, left)
+        if losers:
+            losers, tops = np.array(losers), np.array(tops)
+            marks = np.zeros(len(losers), MARK)
+            marks["at"], marks["n"] = rec["at"][who[losers]] + off[losers], depths
+            marks["doc"], marks["pos"] = rec["doc"][who[tops]], rec["pos"][who[tops]] + off[tops]
+            out += _mark_rows(batch[who[losers]], marks)
+    return _table(out, ROUTES)
+
+
+def _fold_place(places: int):
+    """Places of hot anchors give marks for equal runs and send one of each on;
+    others are scanned."""
+
+    def fn(group: pa.Table) -> pa.Table:
+        if group.column("place")[0].as_py() < places:
+            return _scan_place(group)
+        rec, batch, texts, far, marks = _folded(group)
+        out = _mark_rows(far, marks)
+        to = (rec["hash"] % np.uint64(places)).astype(np.int64)
+        order = np.lexsort((batch, to))
+        cuts = np.flatnonzero(np.concatenate([[True], (to[order][1:] != to[order][:-1]) | (batch[order][1:] != batch[order][:-1])]))
+        for s, e in zip(cuts, [*cuts[1:], len(order)]):
+            mine = order[s:e]
+            out.append((int(to[mine[0]]), int(batch[mine[0]]), _blob(rec[mine], [texts[i] for i in mine])))
+        return _table(out, ROUTES)
+
+    return fn
 
 
 # ---- removal
 
 
+def joined(marks: np.ndarray, starts: np.ndarray, ids: list) -> np.ndarray:
+    """Occurrences whole: marks of one document that point to one leader at one
+    distance and overlap become one. A leader in this batch that is itself an
+    occurrence of another gives way to that one."""
+    own = marks["doc"] == LOCAL
+    far = np.sort(marks[~own], order=["at", "n"])
+    local = marks[own].copy()
+    if len(local):
+        ends = far["at"] + far["n"]
+        # Of the marks that start no later, the one that ends last.
+        top = np.maximum.accumulate(ends * len(far) + np.arange(len(far))) % max(1, len(far)) if len(far) else np.zeros(0, np.int64)
+        k = np.searchsorted(far["at"], local["pos"], "right") - 1
+        by = top[np.maximum(k, 0)] if len(far) else np.zeros(len(local), np.int64)
+        inside = (k >= 0) & (ends[by] >= local["pos"] + local["n"]) if len(far) else np.zeros(len(local), bool)
+        doc = np.searchsorted(starts, local["pos"], "right") - 1
+        names = np.array([NULL_ID if i is None else i for i in ids], np.int64)
+        place = local["pos"].copy()
+        local["doc"], local["pos"] = names[doc], place - starts[doc]
+        if inside.any():
+            source = far[by[inside]]
+            local["doc"][inside], local["pos"][inside] = source["doc"], source["pos"] + place[inside] - source["at"]
+    every = np.concatenate([far, local])
+    if not len(every):
+        return every
+    row, lag = np.searchsorted(starts, every["at"], "right") - 1, every["pos"] - every["at"]
+    order = np.lexsort((every["at"], lag, every["doc"], row))
+    every, row, lag = every[order], row[order], lag[order]
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (lag[1:] != lag[:-1]) | (every["doc"][1:] != every["doc"][:-1])])
+    line = np.cumsum(new)
+    wide = int((every["at"] + every["n"]).max()) + 1
+    reach = np.maximum.accumulate(every["at"] + every["n"] + line * wide) - line * wide
+    begin = np.flatnonzero(new | np.concatenate([[True], every["at"][1:] > reach[:-1]]))
+    out = every[begin].copy()
+    out["n"] = reach[np.concatenate([begin[1:], [len(every)]]) - 1] - out["at"]
+    return out
+
+
+CUT = "doc_id long, n_bytes long, n_removed long, spans array<long>, kept binary, found array<long>"
+
+
 def _removed(batch: pa.Table, marks: pa.Table) -> pa.Table:
-    kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
+    numbers = pa.list_(pa.int64())
+    kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", numbers), ("kept", pa.binary()), ("found", numbers)])
     if not batch.num_rows:
         return kinds.empty_table()
     data, starts, lengths, ids = _opened(batch.to_pylist()[0])
+    z = zstandard.ZstdDecompressor()
+    held = [np.frombuffer(z.decompress(x.as_py()), MARK) for x in marks.column("blob")]
+    found = joined(np.concatenate(held) if held else np.zeros(0, MARK), starts, ids)
     cover = np.zeros(len(data) + 1, np.int32)
-    for x in marks.column("blob"):
-        m = np.frombuffer(x.as_py(), "<i8").reshape(-1, 2)
-        np.add.at(cover, m[:, 0], 1)
-        np.add.at(cover, m[:, 1] + LENGTH, -1)
+    np.add.at(cover, found["at"], 1)
+    np.add.at(cover, found["at"] + found["n"], -1)
     gone = np.cumsum(cover[:-1]) > 0
     total = np.concatenate([[0], np.cumsum(gone)])
     array = np.frombuffer(data, np.uint8)
+    found = found[np.argsort(found["at"], kind="stable")]
+    first = np.searchsorted(found["at"], np.concatenate([starts, [len(data)]])).tolist()
     rows = []
-    for doc_id, s, n in zip(ids, starts.tolist(), lengths.tolist()):
+    for i, (doc_id, s, n) in enumerate(zip(ids, starts.tolist(), lengths.tolist())):
         k = int(total[s + n] - total[s])
         if not k:
-            rows.append((doc_id, n, 0, [], data[s : s + n]))
+            rows.append((doc_id, n, 0, [], data[s : s + n], []))
             continue
         own = gone[s : s + n]
         edges = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
-        rows.append((doc_id, n, k, edges.tolist(), array[s : s + n][~own].tobytes()))
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds.types)], schema=kinds)
+        mine = found[first[i] : first[i + 1]]
+        rows.append((doc_id, n, k, edges.tolist(), array[s : s + n][~own].tobytes(), np.stack([mine["at"] - s, mine["n"], mine["doc"], mine["pos"]], 1).ravel().tolist()))
+    return _table(rows, kinds)
 
 
-def _found_runs(docs: DataFrame, fold: bool = True) -> tuple[DataFrame, DataFrame]:
+def _cut(docs: DataFrame) -> DataFrame:
+    """A row per document, as remove_repeats, with ``found``: start, length,
+    leader's doc_id and leader's start of each occurrence, one after the other."""
     batches = batches_of(docs)
     total = batches.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     anchors = batches.mapInArrow(_anchors_by(max(1, -(-total // (32 << 20)))), "place int, batch_id long, several int, hashes binary")
-    shared = anchors.groupBy("place").applyInArrow(_shared, "batch_id long, hashes binary")
-    routed = batches.groupBy("batch_id").cogroup(shared.groupBy("batch_id")).applyInArrow(_runs_by(max(1, -(-total // (4 << 20))), fold), "kind int, place int, batch_id long, blob binary")
-    return batches, materialize(routed, "repeat-runs")
+    shared = materialize(anchors.groupBy("place").applyInArrow(_shared_by(HOT), "batch_id long, hashes binary, hot int"), "repeat-anchors")
+    places = max(1, -(-total // (4 << 20)))
+    # The batches are dealt out once: both joins below read the same exchange.
+    dealt = batches.groupBy("batch_id")
+    marks = dealt.cogroup(shared.groupBy("batch_id")).applyInArrow(_runs_by(places, SALTS), ROUTED)
+    # Marks have the place -1; they are spread by batch on their way.
+    by = ["place", F.when(F.col("place") < 0, F.col("batch_id")).alias("of")]
+    if shared.where("hot > 0").limit(1).count():
+        marks = marks.groupBy(*by).applyInArrow(_fold_place(places), ROUTED)
+    marks = marks.groupBy(*by).applyInArrow(_scan_place, ROUTED)
+    return dealt.cogroup(marks.groupBy("batch_id")).applyInArrow(_removed, CUT)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (start, end, start, end ... of what goes), kept (bytes)."""
-    batches, routed = _found_runs(docs)
-    far = routed.where("kind = 0").groupBy("place").applyInArrow(_marked, "batch_id long, blob binary")
-    marks = routed.where("kind = 1").select("batch_id", "blob").unionByName(far)
-    return batches.groupBy("batch_id").cogroup(marks.groupBy("batch_id")).applyInArrow(_removed, "doc_id long, n_bytes long, n_removed long, spans array<long>, kept binary")
+    return _cut(docs).drop("found")
+
+
+def repeat_occurrences(docs: DataFrame) -> DataFrame:
+    """lead_doc, lead_start, length, doc_id, start: each occurrence of each group
+    but its leader's own, a row each."""
+    rows = _cut(docs).where(F.size("found") > 0).select("doc_id", "found", F.explode(F.sequence(F.lit(0), F.size("found") - 1, F.lit(4))).alias("k"))
+    at = lambda i: F.element_at("found", (F.col("k") + i + 1).cast("int"))
+    return rows.select(F.when(at(2) != NULL_ID, at(2)).alias("lead_doc"), at(3).alias("lead_start"), at(1).alias("length"), "doc_id", at(0).alias("start"))
 
 
 def maximal_repeats(docs: DataFrame) -> DataFrame:
-    """length, occurrences (doc_id, start): groups of repeats that are diverse to
-    the left, as far as the bytes of a run reach (a longer repeat is a chain of
-    groups that overlap). Runs are not joined within a batch here, so that every
-    occurrence is listed."""
-    _, routed = _found_runs(docs, fold=False)
-    return routed.where("kind = 0").groupBy("place").applyInArrow(_repeats, "length long, occurrences array<struct<doc_id:long,start:long>>")
+    """length, occurrences (doc_id, start), the leader's own first: a row a group
+    (one string and all places where it occurs, those in longer repeats of the same
+    leader included). ``repeat_occurrences`` gives the same as narrow rows, where
+    a group may be too large for one row."""
+    rows = materialize(repeat_occurrences(docs), "repeat-occurrences").withColumn("lead", F.coalesce("lead_doc", F.lit(NULL_ID)))
+    groups = rows.select("lead", "lead_start", "length").distinct()
+    longer = rows.select("lead", "lead_doc", F.col("lead_start").alias("s"), F.col("length").alias("n"), "doc_id", "start")
+    inside = (F.col("s") <= F.col("lead_start")) & (F.col("s") + F.col("n") >= F.col("lead_start") + F.col("length"))
+    every = groups.join(longer, "lead").where(inside).withColumn("start", F.col("start") + F.col("lead_start") - F.col("s"))
+    hits = F.sort_array(F.collect_set(F.struct("doc_id", "start")))
+    lead = F.array(F.struct(F.first("lead_doc").alias("doc_id"), F.col("lead_start").alias("start")))
+    return every.groupBy("lead", "lead_start", "length").agg(F.concat(lead, hits).alias("occurrences")).select("length", "occurrences")
 
 
 def op5_repeats(spark, sf_dir):

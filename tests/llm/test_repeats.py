@@ -69,3 +69,49 @@ def test_maximal_repeats_list_every_occurrence(spark):
     text = {r[0]: r[1] for r in rows}
     for r in found:
         assert r.length >= 100 and len({text[o.doc_id][o.start : o.start + r.length] for o in r.occurrences}) == 1 and len(r.occurrences) == 4
+
+
+def groups(df):
+    return {(r.length, tuple((o.doc_id, o.start) for o in r.occurrences)) for r in R.maximal_repeats(df).collect()}
+
+
+def test_a_long_passage_is_one_group(spark, monkeypatch):
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(1000))
+    rows = [(i, f"{chr(65 + i)}" * 30 + passage + f"{chr(75 + i)}" * 30, None, None) for i in range(5)]
+    want = {(1000, tuple((i, 30) for i in range(5)))}
+    for batch in (R.BATCH, 1100):  # all documents together, and each in a batch of its own
+        monkeypatch.setattr(R, "BATCH", batch)
+        assert groups(spark.createDataFrame(rows, SCHEMA).coalesce(1)) == want
+    # A part of it in two more documents, later ones: both strings, each with all its places.
+    rows += [(i, f"{chr(65 + i)}" * 30 + passage[200:500] + f"{chr(75 + i)}" * 30, None, None) for i in (8, 9)]
+    assert groups(spark.createDataFrame(rows, SCHEMA).repartition(3)) == want | {(300, tuple((i, 230 if i < 8 else 30) for i in (0, 1, 2, 3, 4, 8, 9)))}
+
+
+def test_groups_are_diverse_to_the_left_and_right(spark):
+    rng = random.Random(8)
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (260, 400))
+    rows = [(1, "1" + a + "5", None, None), (2, "2" + a + "6" + b, None, None), (3, "3" + b + "7", None, None), (4, "4" + b + "8", None, None)]
+    assert groups(spark.createDataFrame(rows, SCHEMA)) == {(260, ((1, 1), (2, 1))), (400, ((2, 262), (3, 1), (4, 1)))}
+
+
+def test_hot_passages_are_split(spark, monkeypatch):
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 300))) + passage[: rng.randint(500, 700)] + str(i) * 9, None, None) for i in range(60)]
+    for name, value in (("BATCH", 1500), ("HOT", 3), ("SALTS", 4)):
+        monkeypatch.setattr(R, name, value)
+    assert got(spark.createDataFrame(rows, SCHEMA).repartition(5)) == brute(rows)
+
+
+def test_tree_of_leaders():
+    # Suffixes 0..4 in sorted order with ranks 3, 0, 4, 1, 2: one interval of 100 bytes, one of 120 inside.
+    lcp, rank, left = np.array([0, 100, 120, 120, 100]), np.array([3, 0, 4, 1, 2]), np.array([-1, 5, 5, 6, 7])
+    found = sorted(zip(*R.leaders(lcp, rank, left)))
+    assert found == [(1, 120, 0), (2, 100, 0), (3, 100, 0), (4, 120, 0)]
+    assert R.leaders(np.array([0, 110]), np.array([0, 1]), np.array([7, 7])) == ([], [], [])
+
+
+def test_periodic_and_long_texts(spark):
+    rows = [(1, "x" * 20_000, None, None), (2, "ab" * 15_000 + "x" * 500, None, None), (3, "ab" * 200, None, None), (None, "y" * 400, None, None), (None, "y" * 400, None, None)]
+    assert got(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
