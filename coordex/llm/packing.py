@@ -38,6 +38,9 @@ CACHE = 300_000
 #: Stands between words that are encoded together; texts that hold it, or other
 #: control or rare white space that splits differently, are encoded whole.
 MARK = "\x01"
+#: Marks (ASCII, no apostrophe, letter, digit or blank) and plain words, for Arrow's patterns.
+MARKS = r"[!-&(-/:-@\[-`{-~]"
+PLAIN = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{148}\x{14a}-\x{17e}]+" + MARKS + "*$"
 
 
 def solve(demand: dict[int, int], capacity: int, gap: float = 1e-3) -> list[tuple[dict[int, int], int]]:
@@ -113,14 +116,16 @@ def fill(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]
 
 
 class Encoder:
-    """Texts to ids as little-endian 32-bit bytes. Words between blanks are
-    encoded once and kept: the tokenizer never joins across white space. Kept
-    words are in two generations, so that frequent ones survive when the older
-    one is dropped. Texts with unusual control characters are encoded whole.
+    """Texts to ids as little-endian 32-bit bytes. Texts are split at white space,
+    which the tokenizer never joins across; each different word of a batch is looked
+    up or encoded once, and the texts' ids are gathered from one buffer, all in
+    arrays. When more than CACHE words are kept, only those of the batch at hand
+    stay. Texts with unusual control characters or with what may be the string of a
+    special token (which has an id of its own) are encoded whole.
 
-    Plain words (Latin letters, then at most one mark) need no normalisation but
-    lower case and are one pre-token each, so they go to the tokenizer's model by
-    a short cut, where the tokenizer is of that kind."""
+    Plain words (Latin letters, then marks) need no normalisation but lower case and
+    are a pre-token each for letters and marks, so they go to the tokenizer's model
+    by a short cut, where the tokenizer is of that kind."""
 
     def __init__(self, path: str):
         import json
@@ -129,15 +134,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.odd = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\u180e\u200b-\u200f\u2028\u2029\u2060\ufeff\u03a3]|\p{M}")
         self.usual = re.compile(r"[^\t-\r -~\u00a0-\u02ff]")
-        self.plain = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+)([.,;:!?|])?")
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         mark = self.tok.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         spec = json.load(open(path, encoding="utf-8"))
+        special = [x["content"] for x in spec.get("added_tokens") or []]
+        self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
         steps = lambda x, k: [i["type"] for i in (x or {}).get(k, [])]
         model = spec["model"]
         suffix = model.get("end_of_word_suffix")
@@ -146,60 +149,105 @@ class Encoder:
             self.short = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
             self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
             self.ends[[i for w, i in model["vocab"].items() if w.endswith(suffix)]] = True
-            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
-            hidden = [b for b in range(256) if b not in shown]
-            self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+            shown = [*range(32, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves, and the blank
+            self.letters = np.arange(256, dtype="<u2")
+            hidden = np.array([b for b in range(256) if b not in shown or b == 32])
+            self.letters[hidden] = np.where(hidden == 32, 32, 256 + np.arange(len(hidden)))
+        self.forget()
+
+    def forget(self) -> None:
+        """Kept words, how many ids each has, and their ids one after the other."""
+        self.known = pa.array([], pa.large_string())
+        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _shortly(self, words: list[str], parts: list) -> list[str]:
-        """Keeps plain words; gives back those it could not tell apart."""
-        rest: list[str] = []
-        for i in range(0, len(words), 512):
-            part, split = words[i : i + 512], parts[i : i + 512]
-            text = " ".join(f"{core} {mark}" if mark else core for core, mark in split).lower()
-            coded = " ".join(x.encode().decode("latin-1").translate(self.letters) for x in text.split(" "))
-            ids = np.array(self.short.encode_batch_fast([coded], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum([2 if mark else 1 for _, mark in split])
-            if len(at) != last[-1] or at[-1] != len(ids):
-                rest += part
-                continue
-            data, s = ids.tobytes(), 0
-            for w, e in zip(part, (at[last - 1] * 4).tolist()):
-                self.kept[w], s = data[s:e], e
-        return rest
-
-    def words(self, words: list[str]) -> None:
-        if self.short is not None:
-            found = list(map(self.plain.fullmatch, words))
-            able = [m for m in found if m]
-            words = [w for w, m in zip(words, found) if not m] + self._shortly([m[0] for m in able], [m.groups() for m in able])
-        sep = f" {MARK} "
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+        """How many ids each word has, and the ids in runs of words."""
+        import pyarrow.compute as pc
+
+        pieces = (1 + pc.match_substring_regex(words, f"{MARKS}$").to_numpy(zero_copy_only=False)).astype(np.int64)
+        apart = pc.replace_substring_regex(pc.utf8_lower(words), f"({MARKS}+)$", r" \1")
+        cuts = pa.array([*range(0, len(words), 512), len(words)], pa.int32())
+        sizes, flat = [np.zeros(0, np.int64)], []
+        for i, joined in zip(range(0, len(words), 512), pc.binary_join(pa.ListArray.from_arrays(cuts, apart.cast(pa.string())), " ").to_pylist()):
+            if not joined.isascii():
+                joined = self.letters[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-16-le")
+            ids = np.array(self.short.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            at, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(pieces[i : i + 512])
+            if len(at) == last[-1] and at[-1] == len(ids):
+                sizes.append(np.diff(at[last - 1], prepend=0))
+                flat.append(ids)
+            else:
+                own = [self.whole(w) for w in words[i : i + 512].to_pylist()]
+                sizes.append(np.array([len(x) // 4 for x in own], np.int64))
+                flat.append(np.frombuffer(b"".join(own), "<u4"))
+        return np.concatenate(sizes), flat
+
+    def _other(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        sizes, flat, sep = [np.zeros(0, np.int64)], [], f" {MARK} "
         for i in range(0, len(words), 256):
             part = words[i : i + 256]
             ids = np.array(self.tok.encode_batch_fast([sep.join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(ids == self.mark)
-            if len(ends) != len(part) - 1:
-                self.kept.update((w, self.whole(w)) for w in part)
-                continue
-            data, at = ids.tobytes(), 0
-            for w, e in zip(part, [*(ends * 4).tolist(), len(data)]):
-                self.kept[w], at = data[at:e], e + 4
+            if len(ends) == len(part) - 1:
+                sizes.append(np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1)
+                flat.append(ids[ids != self.mark])
+            else:
+                own = [self.whole(w) for w in part]
+                sizes.append(np.array([len(x) // 4 for x in own], np.int64))
+                flat.append(np.frombuffer(b"".join(own), "<u4"))
+        return np.concatenate(sizes), flat
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the words are kept; new ones are encoded."""
+        import pyarrow.compute as pc
+
+        place = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        if not len(new):
+            return place
+        if len(self.known) + len(new) > CACHE:
+            old = np.flatnonzero(place >= 0)
+            kept = place[old]
+            starts, sizes = (np.cumsum(self.sizes) - self.sizes)[kept], self.sizes[kept]
+            self.known, self.sizes, self.flat = self.known.take(pa.array(kept)), sizes, self.flat[spread(starts, sizes)]
+            place[old] = np.arange(len(old))
+        novel = words.take(pa.array(new))
+        plain = pc.match_substring_regex(novel, PLAIN).to_numpy(zero_copy_only=False) if self.short is not None else np.zeros(len(new), bool)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        place[new[order]] = len(self.known) + np.arange(len(new))
+        novel, n = novel.take(pa.array(order)), int(plain.sum())
+        (a, x), (b, y) = self._plain(novel[:n]), self._other(novel[n:].to_pylist())
+        self.known = pa.concat_arrays([self.known, novel])
+        self.sizes, self.flat = np.concatenate([self.sizes, a, b]), np.concatenate([self.flat, *x, *y])
+        return place
+
+    def _odd(self, text: str) -> bool:
+        if self.mark is None or self.special is not None and "<" in text and self.special.search(text):
+            return True
+        return (not text.isascii() or not text.isprintable()) and self.usual.search(text) is not None and self.odd.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = lambda t: self.mark is None or (not t.isascii() or not t.isprintable()) and self.usual.search(t) and self.odd.search(t)
-        split = [None if odd(t) else t.split() for t in texts]
-        missing = set().union(*filter(None, split)) - self.kept.keys()
-        if len(self.kept) + len(missing) > CACHE:
-            self.older, self.kept = self.kept, {}
-            missing = set().union(*filter(None, split))
-        older = self.older
-        self.kept.update((w, older[w]) for w in missing if w in older)
-        self.words([w for w in missing if w not in older])
-        get = self.kept.__getitem__
-        return [self.whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
+        import pyarrow.compute as pc
+
+        odd = [self._odd(t) for t in texts]
+        split = pc.utf8_split_whitespace(pa.array(["" if o else t for o, t in zip(odd, texts)], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        place = self._places(coded.dictionary)
+        starts, sizes = (np.cumsum(self.sizes) - self.sizes)[place], self.sizes[place]
+        index = coded.indices.to_numpy()
+        ids = self.flat[spread(starts[index], sizes[index])].tobytes()
+        ends = np.concatenate([[0], np.cumsum(sizes[index])])
+        cuts = (ends[split.offsets.to_numpy()] * 4).tolist()
+        return [self.whole(t) if o else ids[s:e] for o, t, s, e in zip(odd, texts, cuts[:-1], cuts[1:])]
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1 ... for each start, as many as its size."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -227,7 +275,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False
 
             path = public_tokenizers.path(name)
         enc, closing = encoder(path), np.array([CLOSING], "<u4").tobytes()
-        for b in rebatched(batches, "text", 1 << 20):
+        for b in rebatched(batches, "text", 2 << 20):
             rows = []
             for doc_id, data in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()])):
                 data += closing
