@@ -11,8 +11,10 @@ only if it is linked to complementary parts: a key needs an identifier, an
 identifier or an endpoint needs a secret (key or strong finding).
 
 Defined results: a null or empty text has no spans; repeated rows are scanned
-each; very long texts are swept once in order (sorted starts and a moving
-window), no pair list is kept; extra columns are ignored.
+each; very long texts are swept in linear time (each run of characters is read a
+bounded number of times, links come from sorted starts and running ends), no pair
+list is kept; of overlapping endpoints (or identifiers) the one that starts first
+counts, of those the first form listed; extra columns are ignored.
 
 Scale: documents are independent; there is no shuffle.
 """
@@ -35,9 +37,13 @@ from .common import table
 ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss](?:[Ww][Oo][Rr][Dd]|[Ww][Dd])|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-IDENT = re.compile(r"""(?:[Uu][Ss][Ee][Rr](?:[Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd]|[Kk][Ee][Yy]_?[Ii][Dd])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+""")
+NAMED = re.compile(r"""(?:[Uu][Ss][Ee][Rr](?:[Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd]|[Kk][Ee][Yy]_?[Ii][Dd])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}""")
+MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,9}://[^\s\"'<>]+|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?\b|\b(?:[a-z0-9-]+\.)+[a-z]{2,}:[0-9]{2,5}\b")
+URL = re.compile(r"[a-z][a-z0-9+]{1,9}://[^\s\"'<>]++")
+IPV4 = re.compile(r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?\b")
+PORT = re.compile(r"(?<![a-z0-9.-])[a-z0-9.-]++(?=:[0-9]{2,5}\b)")
+HOST = re.compile(r"\b(?:[a-z0-9-]++\.)++[a-z]{2,}:[0-9]{2,5}\b")
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 STRONG = KINDS[:3]
 REACH, ENTROPY = 200, 3.5
@@ -57,12 +63,39 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def weak_parts(text: str) -> list[tuple[int, int, str]]:
     found = [(m.start(), m.end(), "key") for m in KEY.finditer(text) if _mixed(m[0])]
     if ":" in text or "=" in text or "@" in text:
-        found += [(m.start(), m.end(), "id") for m in IDENT.finditer(text)]
+        mails = (m.span() for m in MAIL.finditer(text)) if "@" in text else ()
+        found += [(*m, "id") for m in _leftmost((m.span() for m in NAMED.finditer(text)), mails)]
     if ":" in text or "." in text:
-        found += [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
+        urls = (m.span() for m in URL.finditer(text)) if "://" in text else ()
+        found += [(*m, "endpoint") for m in _leftmost(urls, (m.span() for m in IPV4.finditer(text)), _hosts(text))]
     return found
 
 
+def _leftmost(*forms) -> Iterator[tuple[int, int]]:
+    """Spans that do not overlap, the first to start first; ties by form."""
+    at = 0
+    for s, _, e in sorted((s, k, e) for k, spans in enumerate(forms) for s, e in spans):
+        if s >= at:
+            yield s, e
+            at = e
+
+
+def _hosts(text: str) -> Iterator[tuple[int, int]]:
+    """Host names with ports: a run of their characters before a port is read once;
+    the name starts behind its last empty label, at a word's edge."""
+    if ":" not in text:
+        return
+    for m in PORT.finditer(text):
+        start, end = m.span()
+        run = m[0]
+        last = run.rpartition(".")[2]
+        if "." in run and len(last) > 1 and last.isalpha():
+            empty = run.rfind("..")
+            start += empty + 2 if empty >= 0 else run.startswith(".")
+            if h := HOST.search(text, start, end + 6):
+                yield h.span()
+
+
 def _mixed(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and entropy(s) >= ENTROPY
 
@@ -72,10 +105,24 @@ def _scopes(text: str) -> list[int]:
     return [0, *(m.end() for m in re.finditer(r"\n[ \t]*\n", text))]
 
 
-def _near(span, starts: list[int], spans: list, longest: int, scope) -> bool:
-    """Interval join of one part with sorted parts: any at most REACH away, in the same scope."""
-    lo, hi = bisect_left(starts, span[0] - REACH - longest), bisect_right(starts, span[1] + REACH)
-    return any(o[1] + REACH >= span[0] and scope(o) == scope(span) for o in spans[lo:hi])
+class Parts:
+    """Sorted parts, for interval joins: whether any is at most REACH away from a
+    span, in the same scope. No part goes over the end of a line, so none leaves its
+    scope; the largest end so far in the scope tells of all that start in time."""
+
+    def __init__(self, spans: list, blocks: list[int]):
+        self.blocks, self.starts, self.ends, block = blocks, [s for s, _, _ in spans], [], 0
+        for s, e, _ in spans:
+            own = bisect_right(blocks, s)
+            self.ends.append(max(self.ends[-1], e) if self.ends and own == block else e)
+            block = own
+
+    def near(self, span) -> bool:
+        own = bisect_right(self.blocks, span[0])
+        begin = self.blocks[own - 1]
+        end = self.blocks[own] if own < len(self.blocks) else math.inf
+        k = bisect_right(self.starts, min(span[1] + REACH, end - 1)) - 1
+        return k >= 0 and self.starts[k] >= begin and self.ends[k] + REACH >= span[0]
 
 
 def scan(text: str | None) -> list[tuple[int, int, str]]:
@@ -86,19 +133,15 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
     weak = weak_parts(text)
     if weak and (base or {"id", "key"} <= {w[2] for w in weak}):
         blocks = _scopes(text)
-        scope = lambda s: bisect_right(blocks, s[0])
         covered = sorted(base)
         ends = _running(covered)
         begins = [s for s, _, _ in covered]
         # A weak part inside a strong finding is that finding.
         weak = [w for w in weak if not (i := bisect_left(begins, w[1])) or ends[i - 1] <= w[0]]
-        ids = sorted([w for w in weak if w[2] == "id"] + [b for b in base if b[2] == "access"])
-        by_id = ([s for s, _, _ in ids], ids, max((e - s for s, e, _ in ids), default=0))
-        keys = [w for w in weak if w[2] == "key" and _near(w, *by_id, scope)]
-        hidden = sorted(keys + [b for b in base if b[2] != "access"])
-        by_secret = ([s for s, _, _ in hidden], hidden, max((e - s for s, e, _ in hidden), default=0))
-        linked = [w for w in weak if w[2] != "key" and _near(w, *by_secret, scope)]
-        base = base + keys + linked
+        ids = Parts(sorted([w for w in weak if w[2] == "id"] + [b for b in base if b[2] == "access"]), blocks)
+        keys = [w for w in weak if w[2] == "key" and ids.near(w)]
+        hidden = Parts(sorted(keys + [b for b in base if b[2] != "access"]), blocks)
+        base = base + keys + [w for w in weak if w[2] != "key" and hidden.near(w)]
     return sorted(base, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

@@ -92,6 +92,30 @@ def test_sweep_equals_all_pairs():
         assert sorted(S.scan(text)) == all_pairs(text), text
 
 
+def test_long_texts_take_linear_time():
+    import time
+
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYzq93Kd"
+    n = 1_000_000
+    texts = ["x=1 " + "aB3" * (n // 3), "x.y " + "a." * (n // 2), "x=1 " + "a-" * (n // 2), "user=" + "z" * n + " " + key, "a@" * (n // 2), "a-" * (n // 2) + ":80", "a." * (n // 2) + ":80", "user=alice " + key + " ", "token:" + " " * n, "user " * (n // 5), "a.b:80." * (n // 7), "1." * (n // 2)]
+    texts[7] *= n // len(texts[7])
+    for text in texts:
+        began = time.process_time()
+        S.scan(text)
+        assert time.process_time() - began < 5, text[:20]
+    assert {k for _, _, k in S.scan(texts[3])} == {"id", "key"}
+
+
+def test_weak_forms():
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYzq93Kd"
+    found = lambda text: [(text[s:e], k) for s, e, k in S.weak_parts(text) if k != "key"]
+    assert found(f"mail bob.x+y@mail.example.org, {key}") == [("bob.x+y@mail.example.org", "id")]
+    assert found("a@b a@@b.c x@y.") == [] and found("user=bob@mail.example:x") == [("user=bob@mail.example", "id")]
+    assert found("at db..host.example:5432, .x.y-z.io:80; A.b.example:443 Ab.cd.example:22") == [(h, "endpoint") for h in ("host.example:5432", "x.y-z.io:80", "b.example:443", "cd.example:22")]
+    assert found("h.ex4:80 h:80 host.example: x.y:8 a.bc:123456") == []
+    assert found("http://a.example:80/x?u 10.0.0.1:8080 1.2.3.4.5") == [(x, "endpoint") for x in ("http://a.example:80/x?u", "10.0.0.1:8080", "1.2.3.4")]
+
+
 def test_redaction():
     text = "say token = abcdefgh1234 end"
     assert S.redact(text) == "say [assign] end" and S.redact("clean") == "clean" and S.redact(None) is None
@@ -100,7 +124,6 @@ def test_redaction():
 def test_encoder_equals_the_tokenizer():
     path = public_tokenizers.path(packing.TOKENIZER)
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     texts = ["", " a  b\tc\n", "don't 12,34 ﬁ é é ́x <|endoftext|> 日本語。。 \x01 \x85 \x1c zz q　r", "İstanbul ΑΣ Σ. straße", "x" * 5000, "the the the", "a​b ﻿c d"] * 2
     want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     e = packing.Encoder(path)
@@ -109,9 +132,39 @@ def test_encoder_equals_the_tokenizer():
     assert e.encode(texts) == want
 
 
+def test_special_strings_have_their_ids():
+    path = public_tokenizers.path(packing.TOKENIZER)
+    tok, e = Tokenizer.from_file(path), packing.Encoder(path)
+    texts = ["abc <|startoftext|> def", "<|endoftext|>", "x<|endoftext|>y <|STARTOFTEXT|>", "a < b <| c", "<|startoftext|"]
+    assert np.frombuffer(e.encode(texts)[0], "<u4").tolist() == [5334, 49406, 11649]
+    assert e.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_encoder_on_random_words():
+    import random
+
+    rng = random.Random(12)
+    path = public_tokenizers.path(packing.TOKENIZER)
+    tok, e = Tokenizer.from_file(path), packing.Encoder(path)
+    letters = "abcdeXYZéÄßñœŁſıİĸ09.,;:!?|'$-_<>#\u00a0\u2003\u3000日я́ \n\t"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(4000)]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for i in range(0, 4000, 500):
+        assert e.encode(texts[i : i + 500]) == want[i : i + 500]
+
+
+def test_kept_words_stay_bounded(monkeypatch):
+    path = public_tokenizers.path(packing.TOKENIZER)
+    tok, e = Tokenizer.from_file(path), packing.Encoder(path)
+    monkeypatch.setattr(packing, "CACHE", 50)
+    for i in range(12):
+        texts = [" ".join(f"word{chr(97 + (i * 7 + k) % 26)}{'xyz'[k % 3]}{k if k % 5 else ''}." for k in range(i, i + 30)), "same words here"]
+        assert e.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert len(e.known) <= 80 and len(e.known) == len(e.sizes) and e.sizes.sum() == len(e.flat)
+
+
 def check_packing(spark, rows):
     tok = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    tok.encode_special_tokens = True
     out = packing.pack(spark.createDataFrame(rows, SCHEMA), with_ids=True).collect()
     ids = {r[0]: [*tok.encode(r[1] or "", add_special_tokens=False).ids, 1] for r in rows}
     per, seqs = {}, {}
