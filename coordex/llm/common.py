@@ -16,11 +16,15 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where
-    that setting is absent (tests, single machine)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder named by spark.checkpoint.dir. Only a session on one machine may
+    go without it (tests) and gets a temporary folder; elsewhere that is an error, as
+    executors don't see each other's folders."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir is not set; {master} needs a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="coordex-"))
     return "file://" + _OWN[0]
@@ -59,6 +63,26 @@ def unit(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from all columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int = 64) -> DataFrame:
+    """Left join on keys that are never null, where one key may hold a third of the
+    left rows: they are dealt over ``salts`` parts by ``spread``, and the right
+    row (one a key) meets each part that is there."""
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(F.lit(41), spread), F.lit(salts)))
+    parts = left.select(*keys, "_salt").distinct().join(right, keys)
+    return left.join(parts, [*keys, "_salt"], "left").drop("_salt")
+
+
 def prefix_rank(
     df: DataFrame,
     keys: list[str],

@@ -11,9 +11,9 @@ whole (two of them agree in ALIKE of the coordinates, which counts of random
 bits tell) or ``DEPTH`` is reached: such a bucket is joined to candidates as a
 whole. The whole is repeated in as many
 runs as the target recall needs. Candidates form components, whose members are
-compared exactly on their whole shingle sets, in blocks, so that no task holds
-more than two blocks; counts of links and a spanning forest come out, never
-pairs.
+compared exactly on their whole shingle sets, in blocks of so many nodes and
+shingles, so that no task holds more than two blocks; counts of links and a
+spanning forest come out, never pairs.
 
 Result: doc_id, class_id (least doc_id of the class: documents joined by links),
 n_links (other documents with a similarity of THRESHOLD or more, copies
@@ -21,8 +21,15 @@ counted), copies.
 
 Defined results: null, empty and blank texts have no shingles and no links, each
 row is a class of its own; repeated rows are copies of each other; a null doc_id
-takes part and never names a class that has another; an empty table gives an
-empty table; extra columns are ignored.
+takes part and never names a class that has another; repeated doc_ids are rows of
+their own; a very long text is one node with all its shingles (a block may hold it
+alone); an empty table gives an empty table; extra columns are ignored.
+
+Scale: rows are known by two hashes of their words in order, never by a doc_id that
+may be null or repeated. Counts of a path are written before they are joined to its
+rows, so Spark can split the rows of a hot path. Comparison inside a component
+grows with the square of its different texts, a task for each pair of blocks: the
+links of each document are counted whole.
 """
 
 from __future__ import annotations
@@ -32,10 +39,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rebatched, table
+from .common import materialize, rebatched, table, unused
 from .components import components
 
 THRESHOLD, WORDS = 0.8, 5
@@ -44,7 +51,7 @@ SMALL, DEPTH, RECALL = 128, 5, 0.9999
 SIGNS, ALIKE = 32, 0.5
 #: Of sketches: five standard deviations below the threshold (0.05 each).
 LOOSE = THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SKETCH)
-BLOCK = 2048
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 _R = np.random.default_rng(9)
 SUBST = _R.integers(1, 1 << 63, 256, dtype=np.uint64)
 SEEDS = _R.integers(1, 1 << 31, SKETCH, dtype=np.uint32)
@@ -138,7 +145,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch: list = [None] * len(have)
         for k, i in enumerate(rows.tolist()):
             sketch[i] = s[k].tobytes()
-        yield pa.record_batch([b.column(0), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(sketch, pa.binary())], ["doc_id", "x", "y", "sketch"])
+        yield pa.record_batch([b.column(0), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(have), pa.array(sketch, pa.binary())], ["doc_id", "x", "y", "n", "sketch"])
 
 
 # ---- paths
@@ -250,6 +257,7 @@ def candidates(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
     edges = None
     for depth in range(1, DEPTH + 1):
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), likeness().alias("like")).where("n > 1")
+        sizes = materialize(sizes, "path-sizes")
         live = materialize(level.drop("signs").join(sizes, "path"), "paths-shared")
         small = live.where(F.col("n") <= SMALL).select("path", "node").join(sketched, "node").select("path", "node", "sketch")
         found = small.repartition("path").sortWithinPartitions("path").mapInArrow(_small_buckets, "a long, b long")
@@ -271,16 +279,21 @@ def candidates(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole shingle sets of the nodes' representatives; a row whose words are
-    not the node's (its doc_id occurs twice) is left out."""
+    """Whole shingle sets of the nodes, each once a task."""
+    seen: set[int] = set()
     for b in rebatched(batches, "text", 1 << 20):
-        hashes, have, x, y = shingles(_encoded(b.column(0)))
+        nodes, good = b.column(1).to_pylist(), []
+        for i, node in enumerate(nodes):
+            if node not in seen:
+                seen.add(node)
+                good.append(i)
+        if not good:
+            continue
+        b = b.take(pa.array(good))
+        hashes, have, _, _ = shingles(_encoded(b.column(0)))
         at = np.cumsum(have) - have
-        names = {k: b.column(k) for k in range(1, b.num_columns)}
-        good = np.flatnonzero((b.column(1).to_numpy() == x.view(np.int64)) & (b.column(2).to_numpy() == y.view(np.int64)))
-        sets = [np.unique(hashes[at[i] : at[i] + have[i]]).tobytes() for i in good]
-        take = pa.array(good)
-        yield pa.record_batch([*[names[k].take(take) for k in range(3, b.num_columns)], pa.array(sets, pa.binary())], ["node", "copies", "root", "block", "blocks", "shingles"])
+        sets = [np.unique(hashes[s : s + n]).tobytes() for s, n in zip(at, have)]
+        yield pa.record_batch([*b.columns[1:], pa.array(sets, pa.binary())], ["node", "copies", "root", "block", "blocks", "shingles"])
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -336,18 +349,25 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(x, pa.int64()) for x in (node, root, links)], ["node", "to", "links"])
 
 
+def no_id(c: Column) -> list[Column]:
+    """A doc_id as two columns that are never null."""
+    return [F.coalesce(c, F.lit(0)).alias("_id"), c.isNull().alias("_null")]
+
+
 def _classed(docs: DataFrame, recall: float) -> tuple[DataFrame, DataFrame]:
     """doc_id, x, y, sketch per row; x, y, least, copies, root, class_id, links per text with words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(docs.mapInArrow(_profiles, "doc_id long, x long, y long, sketch binary"), "join-profiles")
-    nodes = rows.where("sketch is not null").groupBy("x", "y", "sketch").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
+    rows = materialize(docs.mapInArrow(_profiles, "doc_id long, x long, y long, n long, sketch binary"), "join-profiles")
+    nodes = rows.where("sketch is not null").groupBy("x", "y", "sketch").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.max("n").alias("n"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
-    likely = components(candidates(nodes, recall))
-    sizes = likely.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    likely = materialize(components(candidates(nodes, recall)).join(nodes.drop("sketch"), "node"), "join-likely")
+    many = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)
+    sizes = materialize(likely.groupBy("root").agg(F.ceil(many).cast("int").alias("blocks")), "join-sizes")
     placed = likely.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    asked = materialize(placed.join(nodes.drop("sketch"), "node").select("least", "x", "y", "node", "copies", "root", "block", "blocks"), "join-asked")
+    asked = materialize(placed.select(*no_id(F.col("least")), F.col("x").alias("_x"), F.col("y").alias("_y"), "node", "copies", "root", "block", "blocks"), "join-asked")
     # Merged at any size: a broadcast of the asked would be for small inputs alone.
-    texts = docs.hint("merge").join(asked, docs.doc_id.eqNullSafe(asked.least)).select("text", "x", "y", "node", "copies", "root", "block", "blocks")
+    texts = _worded(docs).where("_words").select("text", "_x", "_y", *no_id(F.col("doc_id"))).hint("merge").join(asked, ["_id", "_null", "_x", "_y"])
+    texts = texts.select("text", "node", "copies", "root", "block", "blocks")
     sets = texts.mapInArrow(_sets, "node long, copies long, root long, block int, blocks int, shingles binary")
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "copies", "block", "shingles"
@@ -356,7 +376,7 @@ def _classed(docs: DataFrame, recall: float) -> tuple[DataFrame, DataFrame]:
     verdicts = materialize(verdicts, "join-links")
     classes = components(verdicts.select(F.col("node").alias("a"), F.col("to").alias("b")))
     degree = verdicts.groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.drop("sketch").join(classes, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = nodes.drop("sketch", "n").join(classes, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = known.groupBy("root").agg(F.min("least").alias("class_id"))
     return rows, known.join(named, "root")
 
@@ -377,33 +397,35 @@ def op9_jaccard_join(spark, sf_dir):
 def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """One document (all columns) of each class: the one that names it, or of a
     class without any doc_id the one whose words come first by hash. Repeated rows
-    without words are one document."""
+    without words are one document. Columns may have any names."""
     from pyspark.sql.window import Window
 
-    no_id = lambda c: [F.coalesce(c, F.lit(0)).alias("_id"), c.isNull().alias("_null")]
     _, known = _classed(docs, recall)
     lead = F.min(F.struct(F.col("least").isNull(), "least", "x", "y")).alias("lead")
-    leads = known.groupBy("root").agg(lead).select(*no_id(F.col("lead.least")), F.col("lead.x").alias("_x"), F.col("lead.y").alias("_y"), F.lit(True).alias("_leads"))
+    keys = [*unused(docs.columns, "_id", "_null", "_x", "_y")]
+    words, leads_, nth_ = unused([*docs.columns, *keys], "_words", "_leads", "_nth")
+    named = [*no_id(F.col("lead.least")), F.col("lead.x"), F.col("lead.y")]
+    leads = known.groupBy("root").agg(lead).select(*[c.alias(k) for c, k in zip(named, keys)], F.lit(True).alias(leads_))
     leads = materialize(leads, "join-leads")
     # One exchange on doc_id and words serves the join and the window.
-    keys = ["_id", "_null", "_x", "_y"]
-    worded = _worded(docs).select("*", *no_id(F.col("doc_id").cast("long"))).hint("merge").join(leads, keys, "left")
-    blank = F.when(~F.col("_words"), F.col("text").cast("string"))
-    nth = F.row_number().over(Window.partitionBy(*keys, "_words", blank).orderBy("text"))
-    kept = worded.where("_leads or not _words").withColumn("_nth", nth).where("_nth = 1")
+    own = [c.alias(k) for c, k in zip(no_id(F.col("doc_id").cast("long")), keys)]
+    worded = _worded(docs, *keys[2:], words).select("*", *own).hint("merge").join(leads, keys, "left")
+    blank = F.when(~F.col(words), F.col("text").cast("string"))
+    nth = F.row_number().over(Window.partitionBy(*keys, words, blank).orderBy("text"))
+    kept = worded.where(F.col(leads_) | ~F.col(words)).withColumn(nth_, nth).where(F.col(nth_) == 1)
     return kept.select(*docs.columns)
 
 
-def _worded(docs: DataFrame) -> DataFrame:
+def _worded(docs: DataFrame, x: str = "_x", y: str = "_y", words: str = "_words") -> DataFrame:
     """All columns, with what stands for the text's words and whether it has any."""
     from pyspark.sql.types import BooleanType, LongType, StructType
 
-    schema = StructType([*docs.schema.fields]).add("_x", LongType()).add("_y", LongType()).add("_words", BooleanType())
+    schema = StructType([*docs.schema.fields]).add(x, LongType()).add(y, LongType()).add(words, BooleanType())
     at = docs.columns.index("text")
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rebatched(batches, "text", 1 << 20):
-            _, have, x, y = shingles(_encoded(b.column(at)))
-            yield pa.record_batch([*b.columns, pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(have > 0)], [*b.schema.names, "_x", "_y", "_words"])
+            _, have, one, two = shingles(_encoded(b.column(at)))
+            yield pa.record_batch([*b.columns, pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(have > 0)], [*b.schema.names, x, y, words])
 
     return docs.mapInArrow(named, schema)

@@ -106,3 +106,53 @@ def test_overlaps_and_forest():
     like = np.zeros((4, 4), bool)
     like[3, 2] = like[2, 3] = like[0, 3] = like[3, 0] = True
     assert J._forest(like, np.arange(4), np.arange(4))[0].tolist() == [0, 1, 0, 0]
+
+
+def test_rows_without_ids(spark):
+    """Near copies without doc_id are as many links as with one, and no more work."""
+    rng = random.Random(11)
+    base = [f"v{i}" for i in range(120)]
+    rows = [(None, " ".join([*base[:k], f"x{i}", *base[k + 1 :]]), None, None) for i in range(400) for k in [rng.randrange(120)]]
+    out = got(spark.createDataFrame(rows + rows[:50], SCHEMA).repartition(4))
+    assert out == brute(rows + rows[:50])
+
+
+def test_very_long_text_and_small_blocks(spark, monkeypatch):
+    rng = random.Random(13)
+    long = [f"w{rng.randrange(9000)}" for _ in range(150_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:-500], "other"])), (3, "x " * 100_000), (4, "y" * 500_000)]
+    rows = [(a, b, None, None) for a, b in rows] + [(10 + r[0], *r[1:]) for r in rows_of(15)]
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", 300)
+    assert got(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+
+
+def test_helper_names_are_free(spark):
+    schema = "doc_id long, text string, _id long, _x string, _words string, _nth int, _leads int, _null int"
+    rows = [(i, t, 1, "a", "b", 2, 3, 4) for i, t in enumerate(["a b c d e f", "a b c d e f", "one two", ""])]
+    out = J.keep_one(spark.createDataFrame(rows, schema))
+    assert sorted(tuple(r) for r in out.collect()) == [rows[0], rows[2], rows[3]]
+
+
+def test_recall_on_the_documents(spark):
+    """All links of the sf0.1 documents, from an exact join over rare shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()
+    sets, times = [], {}
+    for r in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        s = {hash(tuple(w[i : i + 5])) for i in range(max(1, len(w) - 4))} if w else set()
+        sets.append(s)
+        for x in s:
+            times[x] = times.get(x, 0) + 1
+    posted, links = {}, [0] * len(docs)
+    for i, s in enumerate(sets):
+        rare = sorted(s, key=lambda x: (times[x], x))[: len(s) - -(-8 * len(s) // 10) + 1]
+        for j in {j for x in rare for j in posted.get(x, ())}:
+            if 10 * len(s & sets[j]) >= 8 * len(s | sets[j]):
+                links[i] += 1
+                links[j] += 1
+        for x in rare:
+            posted.setdefault(x, []).append(i)
+    found = {r.doc_id: r.n_links for r in J.op9_jaccard_join(spark, "/root/testdata/sf0.1").collect()}
+    want = {r.doc_id: n for r, n in zip(docs, links)}
+    assert sum(links) > 1000 and sum(min(found[k], n) for k, n in want.items()) >= 0.999 * sum(links)
+    assert all(found[k] <= n for k, n in want.items())
