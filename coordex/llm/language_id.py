@@ -6,16 +6,20 @@ gives a margin; loss-weighted decoding adds up the logistic losses of a codeword
 under all margins and takes the codeword that loses least. A second codeword
 that loses hardly more marks the row as ambiguous.
 
-Learning: from at most ``SAMPLE`` whole texts a language (``SAMPLE_ALL`` over
-all), the least by hash, of labelled documents that are not held out
-(crc32 of doc_id as text, modulo 5, is not 0). Predictions see the text alone.
+Learning: from at most ``SAMPLE`` whole texts and ``SAMPLE_BYTES`` a language
+(``SAMPLE_ALL`` texts over all), the least by hash, of labelled documents that are
+not held out (crc32 of doc_id as text, modulo 5, is not 0); a text that alone is
+larger than ``SAMPLE_BYTES`` is not learned from. Predictions see the text alone.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or
 if nothing was learned; with one learned language every other text is that
-language; repeated rows get equal predictions; an empty table gives an empty
-table; extra columns are ignored.
+language; repeated rows get equal predictions; codewords that lose alike count in
+order of their languages; a very long text is read whole, in a batch of its own; an
+empty table gives an empty table; extra columns are ignored.
 
-Scale: the model (codewords and BITS columns of 2^16 weights) is bounded and
+Scale: documents are counted by language, and only those whose hash lies under a
+bound that leaves about twice the sample are ranked, so a language of a third of all
+rows is not one task; the model (codewords and BITS columns of 2^16 weights) is bounded and
 goes with the task; the rest is one map over the documents without a shuffle.
 """
 
@@ -30,9 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import rebatched, table
+from .common import materialize, rebatched, table
 
-SAMPLE, SAMPLE_ALL = 1000, 20_000
+SAMPLE, SAMPLE_ALL, SAMPLE_BYTES = 1000, 20_000, 4 << 20
 DIMS, GRAMS = 1 << 16, (3, 4)
 AMBIGUOUS = 0.6
 LETTER = regex.compile(r"\p{L}")
@@ -126,13 +130,22 @@ def held_out(doc_id="doc_id"):
 
 
 def learn(docs: DataFrame, per_language: int = SAMPLE, over_all: int = SAMPLE_ALL) -> Model:
-    """The model from a bounded sample; only (doc_id, lang) are ranked, then the
+    """The model from a bounded sample; only (doc_id, lang, size) are ranked, then the
     chosen texts are fetched."""
     able = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id"))
-    ids = able.select("doc_id", "lang").withColumn("r", rank).where(F.col("r") <= per_language).orderBy("r", "lang").limit(over_all)
-    # At most over_all rows, by construction.
-    chosen = [(r.text, r.lang) for r in able.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").orderBy("doc_id", "text").limit(2 * over_all).collect()]
+    able = able.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    counts = able.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    hashed = able.select("doc_id", "lang", F.octet_length("text").alias("bytes"), F.xxhash64(F.lit(3), "doc_id", "text").alias("h")).where(F.col("bytes") <= SAMPLE_BYTES)
+    # The share of the range of hashes that leaves twice the sample, and room for chance.
+    bound = F.lit(-(2.0**63)) + F.lit(2.0**64) * (2 * per_language + 50) / F.col("n")
+    few = hashed.join(counts, "lang").where(F.col("h") < bound)
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    few = few.withColumn("r", F.row_number().over(order)).withColumn("upto", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ids = few.where((F.col("r") <= per_language) & (F.col("upto") <= SAMPLE_BYTES)).orderBy("r", "lang").limit(over_all)
+    # At most over_all rows, by construction; of equal rows one.
+    ids = materialize(ids.select("doc_id", "lang", "h").distinct(), "language-sample")
+    texts = able.withColumn("h", F.xxhash64(F.lit(3), "doc_id", "text")).join(F.broadcast(ids), ["doc_id", "lang", "h"], "left_semi")
+    chosen = [(r.text, r.lang) for r in texts.distinct().orderBy("doc_id", "lang", "text").collect()]
     return train([(t, lang) for t, lang in chosen if LETTER.search(t)])
 
 
@@ -156,13 +169,15 @@ def op1_language_id(spark, sf_dir):
 def drop_unidentified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The documents with a language (all columns); lang is filled in where it is null.
     Only ``und`` goes: ambiguity and score have no effect, and a lang that is there
-    stays even against the prediction."""
+    stays even against the prediction. If nothing was learned (no document has a lang),
+    documents with a letter stay as they are, with a null lang."""
     model = model or learn(docs)
     at, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rebatched(batches, "text", 1 << 20):
-            found = [p[0] for p in model.predict(b.column(at).to_pylist())]
+            texts = b.column(at).to_pylist()
+            found = [p[0] for p in model.predict(texts)] if model.languages else [None if t and LETTER.search(t) else "und" for t in texts]
             filled = pa.array([f if x is None else x for f, x in zip(found, b.column(lang).to_pylist())], b.schema.field(lang).type)
             b = pa.record_batch([filled if i == lang else c for i, c in enumerate(b.columns)], schema=b.schema)
             yield b.filter(pa.array([f != "und" for f in found]))

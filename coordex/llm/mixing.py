@@ -10,8 +10,10 @@ last) share the budget; a target stops at ``epochs`` times its source's words,
 and the excess is shared again by weight until no target is above.
 
 Defined results: null or blank texts have size 0 and are never taken; an empty
-table gives an empty table; sources of no words have target 0; repeated rows are
-separate documents; extra columns are ignored (``mix_rows`` keeps them).
+table gives an empty table; sources of no words have target 0; null doc_ids shuffle
+as "~", with a digest of their texts; ties of finish times go by source, then by
+shuffle; repeated rows are separate documents; a very long text is one document, taken
+whole or not at all; extra columns are ignored (``mix_rows`` keeps them).
 
 Scale: narrow rows only; queue sums are prefix sums over buckets, so neither a
 hot source nor the merged order has to fit into one task. The table of sources
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import buckets_for, materialize, null_last_key, prefix_rank, seeded, table, unit
+from .common import buckets_for, materialize, null_last_key, prefix_rank, seeded, table, unit, unused
 
 EPOCHS, SEED, WEIGHTS = 3, "mix-1", (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,7 +59,7 @@ def _queued(docs: DataFrame, seed: str, extra: list[str]) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         null_last_key(F.col("source")).alias("key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        seeded(seed, F.col("doc_id")).alias("shuffled"),
+        seeded(seed, F.col("doc_id"), F.md5(F.col("text").cast("binary"))).alias("shuffled"),
     )
 
 
@@ -85,7 +87,7 @@ ORACLE = r"""
 WITH rows_ AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 'b' ELSE 'a' || source END AS key,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    md5('mix-1:' || coalesce(doc_id::VARCHAR, '~')) AS shuffled
+    md5('mix-1:' || coalesce(doc_id::VARCHAR, '~') || ':' || coalesce(md5(text), '~')) AS shuffled
   FROM documents
 ), sources AS (SELECT key, sum(size)::BIGINT AS source_size FROM rows_ GROUP BY key),
 weighted AS (
@@ -110,12 +112,15 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, coalesce(
 
 
 def mix_rows(docs: DataFrame, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """The mixed documents themselves (all columns), each as often as it is taken."""
-    row = F.xxhash64("doc_id", "text").alias("_row")
-    taken = mix(docs.select("*", row), epochs, seed, ("_row",)).groupBy("_row", F.col("doc_id").alias("_id")).agg(F.sum("copies").cast("int").alias("_copies"))
-    taken = materialize(taken.where("_copies > 0"), "mix-taken")
-    # One exchange of the rows serves the window and the join; of repeated rows the first stands for all.
-    nth = F.row_number().over(Window.partitionBy("_row", "doc_id").orderBy("source"))
-    first = docs.select("*", row).hint("merge").join(taken.select("_row", "_id", "_copies"), "_row").where(F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    first = first.withColumn("_nth", nth).where("_nth = 1")
-    return first.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The mixed documents themselves (all columns), each as often as it is taken;
+    columns may have any names. Of rows with one doc_id, text and source the first
+    stands for all."""
+    row_, id_, copies_, nth_, copy_ = unused(docs.columns, "_row", "_id", "_copies", "_nth", "_copy")
+    row = F.xxhash64("doc_id", "text", "source").alias(row_)
+    taken = mix(docs.select("doc_id", "text", "source", row), epochs, seed, (row_,)).groupBy(row_, F.col("doc_id").alias(id_)).agg(F.sum("copies").cast("int").alias(copies_))
+    taken = materialize(taken.where(F.col(copies_) > 0), "mix-taken")
+    # One exchange of the rows serves the window and the join.
+    nth = F.row_number().over(Window.partitionBy(row_, "doc_id").orderBy("source"))
+    first = docs.select("*", row).hint("merge").join(taken, row_).where(F.col("doc_id").cast("long").eqNullSafe(F.col(id_)))
+    first = first.withColumn(nth_, nth).where(F.col(nth_) == 1)
+    return first.withColumn(copy_, F.explode(F.sequence(F.lit(1), F.col(copies_)))).select(*docs.columns)

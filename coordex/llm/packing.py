@@ -296,7 +296,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False)
     cut = materialize(pieces(docs, tokenizer, with_ids), "pack-pieces")
     width = F.ceil(F.col("length") / STEP).cast("int")
     keep = ["ids"] if with_ids else []
-    rows = cut.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", *keep, width.alias("width"), seeded(SEED, F.col("doc_id"), F.col("start")).alias("shuffled"))
+    rows = cut.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", *keep, width.alias("width"), seeded(SEED, F.col("doc_id"), F.col("start"), F.col("ids_crc32")).alias("shuffled"))
     demand = {r["width"]: r["count"] for r in rows.groupBy("width").count().collect()}  # CAPACITY / STEP rows at most
     plan = solve(demand, CAPACITY // STEP)
     n = sum(demand.values())

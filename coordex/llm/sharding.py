@@ -7,8 +7,10 @@ Any run of consecutive rows holds each source in proportion, so every shard
 matches the mixture.
 
 Defined results: a null text has no bytes (size 16); a null source is a stratum
-of its own, last in order; null doc_ids shuffle as "~"; repeated rows are ranked
-one after the other; an empty table gives an empty table; extra columns are
+of its own, last in order; null doc_ids shuffle as "~", with their texts' checksums,
+so that many of them are spread; ties of the fractional rank go by source, then by
+shuffle; repeated rows are ranked one after the other; a text of any length is its
+size and checksum only; an empty table gives an empty table; extra columns are
 ignored.
 
 Scale: only narrow rows (no text) are shuffled, by (source, bucket of the
@@ -36,8 +38,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataF
             null_last_key(F.col("source")).alias("key"),
             (F.octet_length(text) + 16).cast("long").alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-            seeded(seed, F.col("doc_id")).alias("shuffled"),
-        ),
+        ).withColumn("shuffled", seeded(seed, F.col("doc_id"), F.col("text_crc32"))),
         "shard-rows",
     )
     n = rows.count()
@@ -77,7 +78,7 @@ bytes AS (
   SELECT doc_id, octet_length(encode(text)) + 16 AS size,
     xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) AS text_crc32,
     CASE WHEN source IS NULL THEN 'b' ELSE 'a' || source END AS key,
-    md5('shard-1:' || coalesce(doc_id::VARCHAR, '~')) AS shuffled
+    md5('shard-1:' || coalesce(doc_id::VARCHAR, '~') || ':' || text_crc32::VARCHAR) AS shuffled
   FROM bytes, crc_table
 ), ranked AS (
   SELECT *, (row_number() OVER (PARTITION BY key ORDER BY shuffled, doc_id NULLS FIRST, text_crc32, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY key) AS fraction FROM rows_

@@ -13,13 +13,15 @@ same content. They end after ``ROTATE`` bytes, and are read back with Spark's
 binaryFile source.
 
 Defined results: null html is an empty payload; a null page_id counts as smaller
-than any; of fully repeated rows one is the response; url may be null (the
-record has no target); an empty table gives no archive and no rows; extra
-columns are ignored.
+than any; of rows with one page_id and payload the one with the largest url is the
+response, of fully repeated rows any one; url may be null (the record has no
+target); a very long page is one record, held whole by the task that writes or
+reads it; an empty table gives no archive and no rows; extra columns are ignored.
 
 Scale: digests are grouped with partial aggregation on narrow rows; a payload
-shared by a third of all rows is one row a task there. Pages move once, dealt by
-their row key. The dictionary is at most ``DICT_SIZE`` bytes and travels with the
+shared by a third of all rows is one row a task there, and what its pages learn of
+their response comes by a salted join. Fully repeated rows are one row a task
+before pages move, which they do once, dealt by page, url and digest. The dictionary is at most ``DICT_SIZE`` bytes and travels with the
 task's code.
 """
 
@@ -29,6 +31,7 @@ import base64
 import hashlib
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, scratch_path, table
+from .common import materialize, salted_join, scratch_path, table
 
 # The magic numbers of the formats.
 SKIPPABLE, DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, b"\x37\xa4\x30\xec", b"\x28\xb5\x2f\xfd"
@@ -107,7 +110,7 @@ class ArchiveWriter:
         from pyarrow import fs
 
         self.files, path = fs.FileSystem.from_uri(uri)
-        self.path, self.part = path, f"{path}.attempt-{hashlib.sha1(hex(id(self)).encode()).hexdigest()[:8]}"
+        self.path, self.part = path, f"{path}.attempt-{uuid.uuid4().hex}"
         self.files.create_dir(path.rpartition("/")[0], recursive=True)
         self.out = self.files.open_output_stream(self.part)
         self.z = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict_data(dictionary) if dictionary else None)
@@ -120,7 +123,12 @@ class ArchiveWriter:
         return self.size - len(frame), len(frame)
 
     def close(self) -> None:
+        from pyarrow.fs import FileType
+
         self.out.close()
+        # Another attempt of the task may have left the same archive already.
+        if self.files.get_file_info(self.path).type == FileType.File:
+            self.files.delete_file(self.path)
         self.files.move(self.part, self.path)
 
 
@@ -147,32 +155,32 @@ def read_archive(content: bytes) -> Iterator[bytes]:
         yield b"".join(out)
 
 
+def _named(pages: DataFrame) -> DataFrame:
+    """Adds ``name``: page_id and url as one string that is never null and tells all of them apart."""
+    return pages.withColumn("name", F.to_json(F.struct("page_id", "url")))
+
+
 def roles(pages: DataFrame) -> DataFrame:
-    """page_id, url, digest, nth -> type and the response's id; narrow rows only."""
+    """name, digest, bytes, times (rows that are the same), leads, to_id (the
+    response's page_id): narrow rows only."""
     html = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = materialize(pages.select("page_id", "url", F.sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("bytes")), "warc-digests")
+    rows = materialize(_named(pages).select("page_id", "url", "name", F.sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("bytes")), "warc-digests")
     # Partial aggregation: a hot payload is one row a task.
-    same = rows.groupBy("digest", "bytes", "page_id", "url").agg(F.count(F.lit(1)).alias("times"))
-    best = F.max(F.struct(F.col("page_id").isNotNull(), "page_id", F.coalesce("url", F.lit(""))))
-    best = same.groupBy("digest", "bytes").agg(best.alias("best"))
-    return same, best
+    same = rows.groupBy("digest", "bytes", "name").agg(F.count(F.lit(1)).alias("times"))
+    best = rows.groupBy("digest", "bytes").agg(F.max(F.struct(F.col("page_id").isNotNull(), "page_id", F.coalesce("url", F.lit("")), "name")).alias("best"))
+    best = best.select("digest", "bytes", F.col("best.page_id").alias("to_id"), F.col("best.name").alias("lead"))
+    return salted_join(same, best, ["digest", "bytes"], F.col("name")).withColumn("leads", F.col("name") == F.col("lead")).drop("lead")
 
 
 def write_archives(pages: DataFrame, path: str, dictionary: bytes) -> DataFrame:
     """Writes all pages below ``path``; returns a row per archive and record:
     archive, position, length, page_id."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    same, best = roles(pages)
-    lead = same.join(best, ["digest", "bytes"]).select(
-        "digest", "page_id", "url", F.col("best.page_id").alias("to_id"),
-        ((F.col("page_id").eqNullSafe(F.col("best.page_id"))) & (F.coalesce("url", F.lit("")) == F.col("best.col3"))).alias("leads"),
-    )
-    html = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    spread = Window.partitionBy("key", "digest").orderBy("url")
-    key = F.xxhash64("page_id", "url", "digest")
-    full = pages.select("page_id", "url", html.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("key", key).drop("digest")
-    lead = lead.withColumn("key", key).drop("page_id", "url")
-    full = full.join(lead, "key").withColumn("nth", F.row_number().over(spread) - 1)
+    payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
+    full = _named(pages).select("page_id", "url", "name", payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
+    # The limit holds in each task before rows move.
+    first = F.row_number().over(Window.partitionBy("name", "digest", "bytes").orderBy("page_id"))
+    full = full.withColumn("nth", first).where("nth = 1").join(roles(pages), ["name", "digest", "bytes"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -180,21 +188,22 @@ def write_archives(pages: DataFrame, path: str, dictionary: bytes) -> DataFrame:
         part, number, archive = TaskContext.get().partitionId(), 0, None
         for b in batches:
             rows = {"archive": [], "position": [], "length": [], "page_id": []}
-            for page_id, url, payload, digest, to_id, leads, nth in zip(*[c.to_pylist() for c in b.columns]):
-                if archive is None:
-                    archive = ArchiveWriter(uri := f"{path}/part-{part:06d}-{number:04d}.warc.zst", dictionary)
-                refers = None if leads and nth == 0 else record_uri(to_id, 0)
-                at, n = archive.add(warc_record(page_id, nth, url, payload, base32(digest), refers))
-                for k, v in zip(rows, (uri, at, n, page_id)):
-                    rows[k].append(v)
-                if archive.size >= ROTATE:
-                    archive.close()
-                    archive, number = None, number + 1
+            for page_id, url, payload, digest, to_id, leads, times in zip(*[c.to_pylist() for c in b.columns]):
+                for nth in range(times):
+                    if archive is None:
+                        archive = ArchiveWriter(uri := f"{path}/part-{part:06d}-{number:04d}.warc.zst", dictionary)
+                    refers = None if leads and nth == 0 else record_uri(to_id, 0)
+                    at, n = archive.add(warc_record(page_id, nth, url, payload, base32(digest), refers))
+                    for k, v in zip(rows, (uri, at, n, page_id)):
+                        rows[k].append(v)
+                    if archive.size >= ROTATE:
+                        archive.close()
+                        archive, number = None, number + 1
             yield pa.record_batch([pa.array(rows["archive"], pa.string()), *[pa.array(rows[k], pa.int64()) for k in ("position", "length", "page_id")]], list(rows))
         if archive is not None:
             archive.close()
 
-    full = full.select("page_id", "url", "payload", "digest", "to_id", "leads", "nth")
+    full = full.select("page_id", "url", "payload", "digest", "to_id", "leads", "times")
     return materialize(full.mapInArrow(write, "archive string, position long, length long, page_id long"), "warc-index")
 
 
@@ -253,9 +262,11 @@ def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
         return spark.createDataFrame([], schema)
     records = read_archives(spark, path).drop("payload")
     records = materialize(records, "warc-read")
-    held = records.where("record_type = 'response'").select(F.col("payload_digest").alias("d"), F.col("record_id").alias("r"), F.col("payload_bytes").alias("full"), F.col("page_id").alias("to"))
+    keys = {"refers_to_id": F.coalesce("refers_to_id", F.lit("")), "payload_digest": F.col("payload_digest")}
+    # Ids of responses are unique with their digests: no page_id is a response twice for one payload.
+    held = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), "payload_digest", F.col("payload_bytes").alias("full"), F.col("page_id").alias("to"))
     # A revisit says whom it refers to; its payload and length are that record's.
-    out = records.join(held, (F.col("refers_to_id") == F.col("r")) & (F.col("payload_digest") == F.col("d")), "left")
+    out = salted_join(records.withColumns(keys), held, list(keys), F.col("record_id"))
     return out.select("page_id", F.coalesce("payload_bytes", "full").alias("payload_bytes"), "payload_digest", "record_type", F.col("to").alias("refers_to"), "url")
 
 

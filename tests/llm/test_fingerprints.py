@@ -37,8 +37,29 @@ def test_empty_one_and_null_ids(spark):
 
 def test_clash_of_digests_is_told_apart(spark):
     same = lambda c: "same"
-    assert fp._pair(same, b"a", b"a") == "same" and fp._pair(same, b"a", b"b") == "same~"
     rows = [(1, "One text", None, None), (2, "two texts", None, None), (3, "one  TEXT", None, None), (4, "three", None, None)]
     got = {r.doc_id: r for r in fp.fingerprint(spark.createDataFrame(rows, SCHEMA), same).collect()}
     assert got[1].fingerprint == got[3].fingerprint and len({r.fingerprint for r in got.values()}) == 3
     assert all(r.near_edited == 0 for r in got.values())
+
+
+def test_names_of_clashing_texts_agree(spark):
+    """With one digest for all: equal canonical forms, and only those, have one
+    fingerprint, edited texts included."""
+    same = lambda c: "same"
+    rows = [(1, "abcd efgh", None, None), (2, "two", None, None), (3, "one  TEXT", None, None), (4, "xxxx", None, None), (5, "x" * 40, None, None), (6, "x" * 40, None, None), (7, "ABCD eTWO", None, None), (None, "", None, None)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    form = {}
+    for k, r in enumerate(order):
+        form[r[0]] = fp.canonical(r[1]), fp.canonical(fp.edit(r[1], order[(k + 1) % len(order)][1]))
+    out = fp.fingerprint(spark.createDataFrame(rows, SCHEMA).repartition(3), same).collect()
+    named = [(form[r.doc_id][0], r.fingerprint) for r in out] + [(form[r.doc_id][1], r.edited_fingerprint) for r in out]
+    assert len({n for _, n in named}) == len({f for f, _ in named}) == len(set(named))
+    assert any(r.near_edited == 1 for r in out) and all((r.near_edited == 1) == (r.fingerprint == r.edited_fingerprint) for r in out)
+
+
+def test_many_rows_without_ids(spark):
+    rows = [(None, f"text {i % 40}", None, None) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    a, b = (sorted(map(str, fp.fingerprint(df.repartition(n)).collect())) for n in (3, 7))
+    assert a == b and len(a) == 400

@@ -63,3 +63,41 @@ def test_batches_do_not_matter(n):
     rows = [("the and of is in with " * 5, "en"), ("der die das und ist ein " * 5, "de")]
     m, texts = L.train(rows), ["the of", "und das", "été"] * n
     assert [m.predict([t])[0][0] for t in texts] == [p[0] for p in m.predict(texts)]
+
+
+def test_decoder_equals_a_plain_one():
+    """Words of one margin a bit, losses by their definition, one text at a time."""
+    import math
+
+    rows = [("the and of is in with " * 5, "en"), ("der die das und ist ein " * 5, "de"), ("le la les et est un " * 5, "fr"), ("el la los y es un " * 5, "es")]
+    m = L.train(rows)
+    texts = ["the und les", "y es", "a" * 300, "één twee", "12 und 12", "X"]
+    for text, got in zip(texts, m.predict(texts)):
+        data = [c if c >= 128 or chr(c).isalpha() else 32 for c in b"   " + text.lower().encode()] + [32] * 4
+        margins = []
+        for w in m.weights:
+            total = 0.0
+            for i in range(len(data) - 4):
+                for n in L.GRAMS:
+                    code = sum(data[i + k] << 8 * k for k in range(n))
+                    total += float(w[(code * int(L.MIX) & 0xFFFFFFFF) >> 16])
+            margins.append(total / (len(L.GRAMS) * math.sqrt(len(data) - 4)))
+        losses = [sum(math.log1p(math.exp(-x * y)) for x, y in zip(margins, word)) for word in m.code]
+        order = sorted(range(len(losses)), key=lambda k: (losses[k], k))
+        share = 1 / sum(math.exp(losses[order[0]] - x) for x in losses)
+        assert got[0] == m.languages[order[0]] and got[3] == m.languages[order[1]] and abs(got[1] - share) < 1e-6
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE_BYTES", 400)
+    seen = {}
+    monkeypatch.setattr(L, "train", lambda rows: seen.update(rows=rows))
+    docs = [(i, f"word{i} and more " * 5, "en" if i % 3 else "de", None, None) for i in range(300)] + [(900, "x " * 5000, "fr", None, None)]
+    L.learn(spark.createDataFrame(docs, SCHEMA), per_language=20)
+    by = {lang: sum(len(t) for t, x in seen["rows"] if x == lang) for lang in ("en", "de", "fr")}
+    assert 200 < by["en"] <= 400 and 200 < by["de"] <= 400 and by["fr"] == 0
+
+
+def test_nothing_learned_keeps_texts(spark):
+    rows = [(1, "abc", None, None, None), (2, "12", None, None, None), (3, None, None, None, None)]
+    assert [r.doc_id for r in L.drop_unidentified(spark.createDataFrame(rows, SCHEMA)).collect()] == [1]

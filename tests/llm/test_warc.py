@@ -63,3 +63,24 @@ def test_format(spark):
 def test_revisits_hold_no_payload():
     r = W.parse_record(W.warc_record(4, 0, None, b"abc", "D", "urn:page:9:0"))
     assert r["WARC-Type"] == "revisit" and r["payload"] == b"" and r["payload_length"] == 3
+
+
+def test_hot_payloads_ties_and_null_ids(spark):
+    rows = [(i, f"http://h/{i}", "hot page", None, None) for i in range(300)] + [(299, "http://h/z", "hot page", None, None), (299, None, "hot page", None, None)]
+    rows += [(None, None, "hot page", None, None)] * 5 + [(None, "a", "nameless", None, None)] * 4 + [(None, "b", "nameless", None, None)]
+    out = W.archive(spark.createDataFrame(rows, SCHEMA).repartition(6)).collect()
+    assert len(out) == len(rows) and {r.payload_bytes for r in out} == {8}
+    one = {k: [r for r in out if r.record_type == "response" and r.payload_digest == W.base32(hashlib.sha1(k.encode()).hexdigest())] for k in ("hot page", "nameless")}
+    assert [(r.page_id, r.url) for r in one["hot page"]] == [(299, "http://h/z")] and [(r.page_id, r.url) for r in one["nameless"]] == [(None, "b")]
+    assert {r.refers_to for r in out if r.record_type == "revisit" and r.page_id is not None} == {299}
+
+
+def test_attempts_do_not_meet(tmp_path):
+    uri = f"file://{tmp_path}/a.warc.zst"
+    one, two = W.ArchiveWriter(uri, b""), W.ArchiveWriter(uri, b"")
+    assert one.part != two.part
+    for w in (one, two):
+        w.add(W.warc_record(1, 0, "u", b"same", "D", None))
+    one.close()
+    two.close()
+    assert [p.name for p in tmp_path.iterdir()] == ["a.warc.zst"] and len(list(W.read_archive((tmp_path / "a.warc.zst").read_bytes()))) == 1
