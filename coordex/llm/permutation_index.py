@@ -1,12 +1,14 @@
 """Approximate nearest neighbours with a permutation index.
 
 Pivots are a bounded sample of the vectors. Each vector is represented by its
-``PREFIX`` nearest pivots in order; every index block posts its vectors in the
-pivots' inverted files, with the pivot's position. A query reads the files of
-its own nearest pivots, candidates are ranked by the footrule distance of the
-orders (a pivot that is missing stands at ``PREFIX``), and those up to the
-distance of the ``SHARE`` best, ties included, are reranked by the exact cosine
-in double precision.
+``PREFIX`` nearest pivots in order, and posted in the inverted files of the first
+``POST`` of them. A query reads the files of its own first ``PROBE`` pivots, and of
+each file the vectors that it has not met in an earlier one. They are ranked by the
+footrule distance of the orders (a pivot that is missing stands at ``PREFIX``), and
+those up to the distance of the ``SHARE`` best of the file, ties included, are
+reranked by the exact cosine in double precision. ``exact=True`` is the way without
+loss: each vector stands in the file of its nearest pivot alone, a query reads all
+files and reranks all they hold.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do vectors of another dimension than the most
@@ -14,26 +16,29 @@ frequent one (ties: the smaller); repeated vectors are indexed once and answer
 with their least ids; a vec_id that is repeated is asked once and answers once,
 at the best cosine of its vectors; null vec_ids take no part; fewer candidates
 than ``k`` give them all; an empty table gives an empty table; extra columns are
-ignored.
-
-Scale: the stated queries (vec_id divisible by 50) meet the index in blocks, a
-task for each pair of blocks; equal vectors are folded before anything moves
-(only their k + 1 least ids can answer), so a vector that fills a third of the
-table is one entry.
+ignored. Columns of text are not read, so their length is of no account.
+
+Scale: index and queries meet by pivot, so a vector moves ``POST`` times and a query
+``PROBE`` times, whatever the size of the table; a file of more than ``FILE_BLOCK``
+vectors is dealt over blocks (a cluster around one pivot may hold a third of all),
+one of more than ``QUERY_BLOCK`` queries likewise. Equal vectors are folded before
+anything moves (only their k + 1 least ids can answer), so a vector that fills a
+third of the table is one entry.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialize, table
 
-PIVOTS, PREFIX, SHARE, LEAST = 128, 32, 0.35, 64
-INDEX_BLOCK, QUERY_BLOCK = 8192, 2048
+PIVOTS, PREFIX, POST, PROBE = 128, 32, 8, 24
+SHARE, LEAST = 0.35, 64
+FILE_BLOCK, QUERY_BLOCK = 8192, 2048
 K = 5
 
 
@@ -75,17 +80,23 @@ def footrule(order: np.ndarray, files: list, rows: int) -> np.ndarray:
     return distance
 
 
-def search_block(ids: list, x: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int, share: float = SHARE) -> list[list[tuple[int, float]]]:
-    """For each query vector the k + 1 best of this block: (vec_id, cosine), nearest first."""
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    norms = np.linalg.norm(x, axis=1)
-    files = inverted(orders(unit, pivots), len(pivots))
-    qn = np.linalg.norm(q, axis=1)
-    keep = min(len(x), max(LEAST, int(np.ceil(share * len(x)))))
-    out = []
-    for v, size, order in zip(q, qn, orders(q / qn[:, None], pivots)):
-        d = footrule(order, files, len(x))
-        near = np.flatnonzero(d <= np.partition(d, keep - 1)[keep - 1])
+def search_file(ids: list, x: np.ndarray, perms: np.ndarray, q: np.ndarray, orders_: np.ndarray, at: np.ndarray, pivots: int, k: int, share: float, post: int) -> list[list[tuple[int, float]]]:
+    """For each query vector (its order, and which of its pivots this file is) the
+    k + 1 best of this file: (vec_id, cosine), nearest first."""
+    norms, sizes = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
+    files, posted, out = inverted(perms, pivots), perms[:, :post], []
+    for v, size, order, nth in zip(q, sizes, orders_, at):
+        met = np.zeros(pivots, bool)
+        met[order[:nth]] = True
+        live = np.flatnonzero(~met[posted].any(1))
+        keep = min(len(live), max(LEAST, int(np.ceil(share * len(live)))))
+        if not keep:
+            out.append([])
+            continue
+        near = live
+        if keep < len(live):
+            d = footrule(order, files, len(x))[live]
+            near = live[d <= np.partition(d, keep - 1)[keep - 1]]
         score = (x[near] * v).sum(1) / (norms[near] * size)
         most = k + 1
         while True:
@@ -102,7 +113,28 @@ def search_block(ids: list, x: np.ndarray, q: np.ndarray, pivots: np.ndarray, k:
     return out
 
 
-def nearest(rows: DataFrame, queries: DataFrame | None = None, k: int = K, share: float = SHARE) -> DataFrame:
+def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy() for c in column.chunks]).reshape(rows, -1)
+
+
+def ordered(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Adds ``perm``, the nearest pivots in order."""
+    schema = rows.schema.simpleString().removeprefix("struct<").removesuffix(">")
+    at = rows.columns.index("v")
+
+    def named(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                x = part.column(at).flatten().to_numpy().reshape(part.num_rows, -1)
+                perms = orders(x / np.linalg.norm(x, axis=1, keepdims=True), pivots).astype(np.int16)
+                cuts = pa.array(np.arange(len(x) + 1) * perms.shape[1], pa.int32())
+                yield part.append_column("perm", pa.ListArray.from_arrays(cuts, pa.array(perms.ravel())))
+
+    return rows.mapInArrow(named, f"{schema},perm:array<smallint>")
+
+
+def nearest(rows: DataFrame, queries: DataFrame | None = None, k: int = K, share: float = SHARE, exact: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score. Queries: the rows whose id is divisible by 50."""
     spark = rows.sparkSession
     rows = materialize(usable(rows).withColumn("key", F.xxhash64("v")), "ann-rows")
@@ -112,36 +144,50 @@ def nearest(rows: DataFrame, queries: DataFrame | None = None, k: int = K, share
     least = Window.partitionBy("key", "v").orderBy("id")
     folded = rows.withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1).groupBy("key", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     folded = materialize(folded, "ann-vectors")
-    n = folded.count()
     schema = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return spark.createDataFrame([], schema)
     chosen = [r.v for r in folded.orderBy(F.xxhash64(F.lit(17), "key"), "v").limit(PIVOTS).collect()]  # PIVOTS rows
+    if not chosen:
+        return spark.createDataFrame([], schema)
     pivots = np.array(chosen)
     pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    n = len(pivots)
     asked = rows.where("id % 50 = 0") if queries is None else usable(queries).withColumn("key", F.xxhash64("v"))
     asked = materialize(asked.select(F.col("id").alias("query_id"), "key", "v").distinct(), "ann-queries")
-    vectors = materialize(asked.select("key", "v").distinct().withColumn("qid", F.monotonically_increasing_id()), "ann-query-vectors")
-    nq = vectors.count()
-    blocks, qblocks = -(-n // INDEX_BLOCK), max(1, -(-nq // QUERY_BLOCK))
-    spread = lambda c, m: F.pmod(F.xxhash64(F.lit(23), c), F.lit(m)).cast("int")
-    index = folded.select("ids", "v", spread("key", blocks).alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))).alias("qb"))
-    probes = vectors.select("qid", "v", spread("qid", qblocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("ib"))
+    vectors = asked.select("key", "v").distinct().withColumn("qid", F.monotonically_increasing_id())
+    index, vectors = (materialize(ordered(t, pivots), name) for t, name in ((folded, "ann-index"), (vectors, "ann-query-vectors")))
+    post = 1 if exact else POST
+    posted = index.select("key", "ids", "v", "perm", F.explode(F.slice("perm", 1, post)).alias("pivot")).withColumn("pivot", F.col("pivot").cast("int"))
+    read = F.sequence(F.lit(0), F.lit(n - 1)) if exact else F.slice("perm", 1, PROBE)
+    probed = vectors.select("qid", "v", "perm", F.posexplode(read).alias("nth", "pivot")).withColumn("pivot", F.col("pivot").cast("int"))
+
+    def parts(t: DataFrame, block: int) -> Column:
+        """How many blocks the rows of each pivot are dealt over: PIVOTS numbers."""
+        count = {r.pivot: r["count"] for r in t.groupBy("pivot").count().collect()}
+        return F.element_at(F.array(*[F.lit(max(1, -(-count.get(p, 0) // block))) for p in range(n)]), F.col("pivot") + 1)
+
+    blocks, qblocks = parts(posted, FILE_BLOCK), parts(probed, QUERY_BLOCK)
+    spread = lambda c, m: F.pmod(F.xxhash64(F.lit(23), c), m).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
+    posted = posted.select("ids", "v", "perm", "pivot", spread("key", blocks).alias("ib"), every(qblocks).alias("qb"))
+    probed = probed.select("qid", "v", "perm", "nth", "pivot", spread("qid", qblocks).alias("qb"), every(blocks).alias("ib"))
+    most = 1.0 if exact else share
 
     def search(block: pa.Table, probe: pa.Table) -> pa.Table:
         kinds = pa.schema([("qid", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not block.num_rows or not probe.num_rows:
             return kinds.empty_table()
-        matrix = lambda t: np.concatenate([c.values.to_numpy() if not c.offset else c.flatten().to_numpy() for c in t.column("v").chunks]).reshape(t.num_rows, -1)
-        found = search_block(block.column("ids").to_pylist(), matrix(block), matrix(probe), pivots, k, share)
+        matrix = lambda t, c: _matrix(t.column(c), t.num_rows)
+        at = np.zeros(probe.num_rows, int) if exact else probe.column("nth").to_numpy()
+        found = search_file(block.column("ids").to_pylist(), matrix(block, "v"), matrix(block, "perm"), matrix(probe, "v"), matrix(probe, "perm"), at, n, k, most, post)
         hits = [(q, i, s) for q, f in zip(probe.column("qid").to_pylist(), found) for i, s in f]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*hits), kinds.types)], schema=kinds)
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*hits), kinds.types)], schema=kinds) if hits else kinds.empty_table()
 
-    hits = index.groupBy("ib", "qb").cogroup(probes.groupBy("ib", "qb")).applyInArrow(search, "qid long, vec_id long, score double")
+    by = ["pivot", "ib", "qb"]
+    hits = posted.groupBy(*by).cogroup(probed.groupBy(*by)).applyInArrow(search, "qid long, vec_id long, score double")
     hits = hits.groupBy("qid", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     hits = hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
-    named = asked.join(vectors, ["key", "v"]).select("query_id", "qid")
+    named = asked.join(vectors.drop("perm"), ["key", "v"]).select("query_id", "qid")
     ranked = named.join(hits, "qid").where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return ranked.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
