@@ -134,7 +134,8 @@ def learn(docs: DataFrame, per_language: int = SAMPLE, over_all: int = SAMPLE_AL
     chosen texts are fetched."""
     able = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     able = able.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = able.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # Written, so that the rows need not move by language where it is small.
+    counts = materialize(able.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-counts")
     hashed = able.select("doc_id", "lang", F.octet_length("text").alias("bytes"), F.xxhash64(F.lit(3), "doc_id", "text").alias("h")).where(F.col("bytes") <= SAMPLE_BYTES)
     # The share of the range of hashes that leaves twice the sample, and room for chance.
     bound = F.lit(-(2.0**63)) + F.lit(2.0**64) * (2 * per_language + 50) / F.col("n")
