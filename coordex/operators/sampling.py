@@ -21,6 +21,18 @@ def split_dataset(items: DataFrame, key: str, n_validation: int, n_test: int, se
     return out.withColumn("subset", subset).drop("_place")
 
 
+def create_dataset(volumes: DataFrame, masks: DataFrame, n_validation: int, n_test: int, seed: int = 1001) -> DataFrame:
+    """Volumes with their masks, split: the inventory's pairs and a subset each.
+    An inventory without pairs is an error."""
+    from coordex.sources.inventory import pairs
+
+    found = pairs(volumes, masks)
+    if not found.limit(1).count():
+        raise ValueError("no volume has a mask")
+    key = F.concat_ws("|", "subject", "session", "run").alias("case")
+    return split_dataset(found.select("*", key), "case", n_validation, n_test, seed)
+
+
 def running_best(metrics: DataFrame, by: tuple[str, ...] = ("run_id", "tag")) -> DataFrame:
     """best: the largest value so far, at least 0; improved: strictly above all before (and 0)."""
     w = Window.partitionBy(*by).orderBy("step")

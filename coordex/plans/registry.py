@@ -462,12 +462,32 @@ def pair_volumes_masks(spark, d):
     return pairs(volumes, masks).select(F.col("subject").cast("long").alias("volume_id"), F.col("session").cast("long").alias("session"))
 
 
-@query("subject_lengths", "SELECT s_suppkey FROM supplier WHERE length('sub-' || s_suppkey) IN (7, 8)")
+@query("subject_lengths", "SELECT p_partkey FROM part WHERE length('sub-' || p_partkey) IN (7, 8)")
 def subject_lengths(spark, d):
     from coordex.sources.inventory import subjects
 
-    s = V.read(spark, d, "supplier").select("s_suppkey", F.col("s_suppkey").cast("string").alias("subject"))
-    return subjects(s).select("s_suppkey")
+    s = V.read(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("subject"))
+    return subjects(s).select("p_partkey")
+
+
+_SCANS = """f AS (
+  SELECT o_custkey % 500 AS subject, CASE WHEN o_orderkey % 3 = 0 THEN 'base' ELSE 's' || (o_orderkey % 4) END AS session,
+    ['T1', 'Petra_Pre', 'Petra_Post'][(o_orderkey // 3) % 3 + 1] AS kind, min(o_orderkey)::VARCHAR AS path FROM orders GROUP BY ALL
+), done AS (SELECT DISTINCT o_custkey % 500 AS subject, 's' || (o_orderkey % 4) AS session FROM orders WHERE o_orderkey % 50 = 1)"""
+
+
+@query("coregistration_jobs", f"WITH {_SCANS} SELECT subject, session, a.path AS pre, b.path AS post, t.path AS reference FROM (SELECT * FROM f WHERE kind = 'Petra_Pre') a FULL JOIN (SELECT * FROM f WHERE kind = 'Petra_Post') b USING (subject, session) JOIN (SELECT * FROM f WHERE kind = 'T1' AND session = 'base') t USING (subject) WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.subject = subject AND done.session = COALESCE(a.session, b.session) AND done.subject = COALESCE(a.subject, b.subject))")
+def coregistration_jobs(spark, d):
+    from coordex.sources.inventory import coregistration_jobs as jobs
+
+    key = F.col("o_orderkey")
+    orders = V.read(spark, d, "orders").select((F.col("o_custkey") % 500).alias("subject"), "o_orderkey")
+    later = F.concat(F.lit("s"), (key % 4).cast("string"))
+    kind = F.element_at(F.array(F.lit("T1"), F.lit("Petra_Pre"), F.lit("Petra_Post")), (F.floor(key / 3) % 3 + 1).cast("int"))
+    files = orders.withColumn("session", F.when(key % 3 == 0, "base").otherwise(later)).withColumn("kind", kind)
+    files = files.groupBy("subject", "session", "kind").agg(F.min("o_orderkey").cast("string").alias("path"))
+    done = orders.where(key % 50 == 1).select("subject", later.alias("session"))
+    return jobs(files, done).select("subject", "session", F.col("Petra_Pre").alias("pre"), F.col("Petra_Post").alias("post"), "reference")
 
 
 @query("unmatched_files", "SELECT a.s_suppkey AS file_id, 'mask' AS missing FROM supplier a WHERE a.s_suppkey % 3 = 0")

@@ -254,3 +254,15 @@ def test_shapes_and_scaling(spark):
     ok, bad = M.matching_shape(meta)
     assert [r.image_id for r in ok.collect()] == ["a"] and bad.count() == 2
     assert M.minmax(vox(spark, [(0, 0, 0)])).first().scaled is None
+
+
+def test_create_dataset(spark):
+    from coordex.operators.sampling import create_dataset
+    from coordex.sources.inventory import with_keys
+
+    volumes = with_keys(spark.createDataFrame([(f"/d/rsub-{i:03d}_ses-1_acq-petra_run-01_PDw.nii",) for i in range(12)], "path string"))
+    masks = with_keys(spark.createDataFrame([(f"/m/sub-{i:03d}_ses-1_run-01/mask.nii.gz",) for i in range(10)], "path string"))
+    out = create_dataset(volumes, masks, 2, 3).collect()
+    assert len(out) == 10 and sorted(r.subset for r in out) == ["test"] * 3 + ["train"] * 5 + ["validation"] * 2
+    with pytest.raises(ValueError):
+        create_dataset(volumes, masks.where("false"), 2, 3)
