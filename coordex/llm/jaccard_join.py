@@ -253,25 +253,27 @@ def likeness():
 def candidates(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
     """Edges (a, b) that join all nodes which may be similar."""
     sketched, row = nodes.select("node", "sketch"), "path long, node long, signs int"
-    level = materialize(sketched.mapInArrow(_roots(runs_for(recall)), row).distinct(), "paths")
+    # A node comes to a path once: paths are hashes of the path before and a token.
+    level = materialize(sketched.mapInArrow(_roots(runs_for(recall)), row), "paths")
     edges = None
     for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), likeness().alias("like")).where("n > 1")
-        sizes = materialize(sizes, "path-sizes")
-        live = materialize(level.drop("signs").join(sizes, "path"), "paths-shared")
+        sizes = materialize(level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1"), "path-sizes")
+        live = materialize(level.join(sizes, "path"), "paths-shared")
         small = live.where(F.col("n") <= SMALL).select("path", "node").join(sketched, "node").select("path", "node", "sketch")
         found = small.repartition("path").sortWithinPartitions("path").mapInArrow(_small_buckets, "a long, b long")
-        large = live.where(F.col("n") > SMALL)
-        # Members that are alike on the whole: no split would part them.
-        whole = large if depth == DEPTH else large.where(F.col("like") >= ALIKE)
-        large = large.where(F.col("like") < ALIKE)
+        whole, split = live.where(F.col("n") > SMALL), None
+        if depth < DEPTH:
+            # Members that are alike on the whole: no split would part them.
+            likes = materialize(whole.groupBy("path").agg(likeness().alias("like")), "path-likeness")
+            split = whole.join(likes.where(F.col("like") < ALIKE), "path")
+            whole = whole.join(likes.where(F.col("like") >= ALIKE), "path")
         found = found.unionByName(whole.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
         found = materialize(found, "path-edges")
         edges = found if edges is None else edges.unionByName(found)
-        if depth == DEPTH or not large.limit(1).count():
+        if split is None or not likes.where(F.col("like") < ALIKE).limit(1).count():
             break
-        deeper = large.select("path", "node").join(sketched, "node").select("path", "node", "sketch")
-        level = materialize(deeper.mapInArrow(_deeper, row).distinct(), "paths")
+        deeper = split.select("path", "node").join(sketched, "node").select("path", "node", "sketch")
+        level = materialize(deeper.mapInArrow(_deeper, row), "paths")
     return edges
 
 

@@ -156,3 +156,30 @@ def test_recall_on_the_documents(spark):
     want = {r.doc_id: n for r, n in zip(docs, links)}
     assert sum(links) > 1000 and sum(min(found[k], n) for k, n in want.items()) >= 0.999 * sum(links)
     assert all(found[k] <= n for k, n in want.items())
+
+
+def test_components_of_chains_stars_and_none(spark):
+    import random
+
+    from coordex.llm.components import components
+
+    rng = random.Random(3)
+    names = rng.sample(range(10_000), 400)
+    edges = [(names[i], names[i + 1]) for i in range(150)]  # one chain
+    edges += [(names[200], names[i]) for i in range(201, 300)]  # one hub
+    edges += [(names[i], names[i + 1]) for i in range(300, 398, 2)] * 2  # pairs, each twice
+    edges += [(names[399], names[399])]  # a loop joins nothing
+    top = {a: a for e in edges for a in e}
+
+    def find(a):
+        while top[a] != a:
+            a = top[a]
+        return a
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        top[b] = a
+    want = {a: find(a) for a in top if a != names[399]}
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(want) and {r.node: r.root for r in got} == want
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
