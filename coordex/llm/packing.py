@@ -1,9 +1,9 @@
 """Packing by cutting-stock column generation.
 
 Documents are tokenized and cut into pieces: whole sequences of ``CAPACITY``
-tokens, and a rest. The histogram of piece lengths (in classes of ``STEP``
-tokens, rounded up) is a cutting-stock problem: a linear program over patterns,
-whose columns are priced by a knapsack dynamic program. The patterns of the
+tokens, and a rest. Short pieces of one length go in bundles of at most ``STEP``.
+The histogram of lengths of bundles and other pieces (in classes of ``STEP`` tokens,
+rounded up) is a cutting-stock problem: a linear program over patterns, whose columns are priced by a knapsack dynamic program. The patterns of the
 final basis are rounded down; what is left is filled largest first. Pieces,
 ranked within their class, are then dealt to the patterns' sequences.
 
@@ -34,6 +34,9 @@ from .common import buckets_for, materialize, prefix_rank, rebatched, seeded, ta
 
 CAPACITY, STEP, CLOSING, SEED = 2048, 8, 1, "pack-1"
 TOKENIZER = "word_bpe_49k.json"
+#: Pieces up to this length are bundled with others of their length, so that
+#: rounding is done once a bundle.
+SHORT = 128
 CACHE = 300_000
 #: Stands between words that are encoded together; texts that hold it, or other
 #: control or rare white space that splits differently, are encoded whole.
@@ -80,23 +83,49 @@ def solve(demand: dict[int, int], capacity: int, gap: float = 1e-3) -> list[tupl
 
 
 def price(dual: np.ndarray, widths: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
-    """Knapsack: the pattern of most worth under the duals."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(int(widths.min()), capacity + 1):
-        fits = widths <= c
-        worth = np.where(fits, dual + best[np.where(fits, c - widths, 0)], -1.0)
-        k = int(np.argmax(worth))
-        best[c], took[c] = (worth[k], k) if worth[k] > best[c - 1] + 1e-12 else (best[c - 1], -1)
+    """Knapsack: the pattern of most worth under the duals. Widths are taken in
+    from the least on; one that is worth no more than what already fits into its
+    room is in no better pattern and is passed over."""
+    best, steps = np.zeros(capacity + 1), []
+    for i in np.argsort(widths, kind="stable").tolist():
+        w, d = int(widths[i]), float(dual[i])
+        if d <= best[w] + 1e-12:
+            continue
+        # Rooms that differ by multiples of w, one below the other: a copy more a row.
+        layers = -(-(capacity + 1) // w)
+        grid = np.full(layers * w, -np.inf)
+        grid[: capacity + 1] = best
+        worth = (np.arange(layers) * d)[:, None]
+        after = (np.maximum.accumulate(grid.reshape(layers, w) - worth, axis=0) + worth).ravel()[: capacity + 1]
+        steps.append((i, w, best, after))
+        best = after
     pattern, c = np.zeros(len(widths)), capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            pattern[took[c]] += 1
-            c -= int(widths[took[c]])
+    for i, w, before, after in reversed(steps):
+        while c >= w and after[c] > before[c] + 1e-12:
+            pattern[i] += 1
+            c -= w
     return pattern, float(pattern @ dual)
 
 
+def bundles(counts: dict[int, int]) -> tuple[dict[int, int], dict[int, tuple[int, int, int, int, int, int]]]:
+    """Pieces per class -> demand per width, and per class: pieces a bundle, pieces
+    in bundles, the bundles' width and first rank in it, the same of single pieces.
+    Classes up to SHORT are exact lengths; their bundles are of the size of which
+    a sequence holds the most pieces, the least such size."""
+    demand: dict[int, int] = {}
+    items = {}
+    for k, n in sorted(counts.items()):
+        room = lambda j: j * (CAPACITY // STEP // -(-j * k // STEP))  # noqa: B023, E731
+        each = max(range(1, STEP + 1), key=room) if k <= SHORT else 1
+        wide, single = (-(-each * k // STEP), -(-k // STEP)) if k <= SHORT else (k - SHORT, k - SHORT)
+        first = demand.get(wide, 0)
+        demand[wide] = first + n // each
+        rest = demand.get(single, 0)
+        demand[single] = rest + n % each
+        items[k] = (each, n // each * each, wide, first, single, rest)
+    return {w: n for w, n in demand.items() if n}, items
+
+
 def fill(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """The rest of the demand, largest first; like bins are counted once."""
     plan: list[tuple[dict[int, int], int]] = []
@@ -294,14 +323,15 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False)
     sequence_tokens, padded_to (and ids) per piece."""
     spark = docs.sparkSession
     cut = materialize(pieces(docs, tokenizer, with_ids), "pack-pieces")
-    width = F.ceil(F.col("length") / STEP).cast("int")
+    kind = F.when(F.col("length") <= SHORT, F.col("length")).otherwise(F.ceil(F.col("length") / STEP) + SHORT).cast("int")
     keep = ["ids"] if with_ids else []
-    rows = cut.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", *keep, width.alias("width"), seeded(SEED, F.col("doc_id"), F.col("start"), F.col("ids_crc32")).alias("shuffled"))
-    demand = {r["width"]: r["count"] for r in rows.groupBy("width").count().collect()}  # CAPACITY / STEP rows at most
+    rows = cut.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", *keep, kind.alias("kind"), seeded(SEED, F.col("doc_id"), F.col("start"), F.col("ids_crc32")).alias("shuffled"))
+    counts = {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}  # SHORT + CAPACITY / STEP rows at most
+    demand, items = bundles(counts)
     plan = solve(demand, CAPACITY // STEP)
-    n = sum(demand.values())
+    n = sum(counts.values())
     order = ["shuffled", "doc_id", "start", "ids_crc32", "length"]
-    ranked = prefix_rank(rows, ["width"], F.floor(unit(F.col("shuffled")) * buckets_for(n)), order, "place")
+    ranked = prefix_rank(rows, ["kind"], F.floor(unit(F.col("shuffled")) * buckets_for(n)), order, "place")
     # For each width, ranges of ranks: pattern's first sequence, pieces a sequence.
     ranges, first, taken = [], 0, {}
     for used, times in plan:
@@ -316,19 +346,26 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w, place = b.column("width").to_numpy(), b.column("place").to_numpy() - 1
-            out = np.zeros(len(w), np.int64)
-            for x in np.unique(w):
-                low, _, base, each = table_[int(x)]
-                at = w == x
-                k = np.searchsorted(low, place[at], "right") - 1
-                out[at] = base[k] + (place[at] - low[k]) // each[k]
+            kinds, place = b.column("kind").to_numpy(), b.column("place").to_numpy() - 1
+            out = np.zeros(len(kinds), np.int64)
+            for x in np.unique(kinds):
+                each, bundled, wide, first, single, rest = items[int(x)]
+                mine = np.flatnonzero(kinds == x)
+                p = place[mine]
+                for at, w, rank in (
+                    (p < bundled, wide, first + p // each),
+                    (p >= bundled, single, rest + p - bundled),
+                ):
+                    if at.any():
+                        low, _, base, times = table_[w]
+                        k = np.searchsorted(low, rank[at], "right") - 1
+                        out[mine[at]] = base[k] + (rank[at] - low[k]) // times[k]
             yield b.append_column("sequence_id", pa.array(out))
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, " + "ids binary, " * with_ids + "width int, place long, sequence_id long"
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, " + "ids binary, " * with_ids + "kind int, place long, sequence_id long"
     columns = [x.split()[0] for x in schema.split(", ")[:-1]]
     placed = ranked.select(*columns[:-1], F.col("place").cast("long").alias("place")).mapInArrow(deal, schema) if demand else spark.createDataFrame([], schema)
-    inside = Window.partitionBy("sequence_id").orderBy(F.desc("width"), "place")
+    inside = Window.partitionBy("sequence_id").orderBy(F.desc("kind"), "place")
     total = F.sum("length").over(Window.partitionBy("sequence_id"))
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("sequence_tokens", total)
     power = F.col("sequence_tokens").bitwiseAND(F.col("sequence_tokens") - 1) == 0

@@ -196,6 +196,28 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_short_texts_pack_tightly(spark):
+    for text, n in (("a b c d e f g h", 3000), ("a b", 2000), ("x " * 70, 400)):
+        padded, tokens = check_packing(spark, [(i, text, None, 1) for i in range(n)])
+        assert padded <= 0.04 * tokens + 2048
+    mixed = [(i, "word " * (1 + i * 7 % 40), None, 1) for i in range(4000)]
+    padded, tokens = check_packing(spark, mixed)
+    assert padded <= 0.04 * tokens + 2048
+
+
+def test_price_is_the_best_pattern():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        capacity = int(rng.integers(5, 60))
+        widths = np.sort(rng.choice(np.arange(1, capacity + 1), min(capacity, int(rng.integers(1, 9))), replace=False))[::-1]
+        dual = rng.random(len(widths)) * widths - 0.1
+        best = [0.0] * (capacity + 1)
+        for c in range(1, capacity + 1):
+            best[c] = max([best[c - 1], *[best[c - w] + d for w, d in zip(widths.tolist(), dual.tolist()) if w <= c]])
+        pattern, value = packing.price(dual, widths, capacity)
+        assert abs(value - best[capacity]) < 1e-9 and pattern @ widths <= capacity and (pattern >= 0).all()
+
+
 def test_plans_cover_the_demand():
     rng = np.random.default_rng(1)
     for n in (1, 5, 120):
