@@ -258,14 +258,15 @@ def extract_positions(spark, d):
     return p.select(F.col("run").cast("long").alias("image_id"), F.col("anode_mni")[0].alias("ax"), F.col("cathode2_mni")[1].alias("c2y"), F.col("cathode3_mni")[2].alias("c3z"))
 
 
-@query("size_filter", "WITH c AS (SELECT l_suppkey AS image_id, l_linenumber * 10 + CAST(l_partkey % 2 AS INTEGER) AS label, count(*) AS size FROM lineitem WHERE l_quantity < 5 GROUP BY ALL), w AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS n, avg(size) OVER (PARTITION BY image_id) AS mean FROM c) SELECT image_id, label, size FROM w WHERE n <= 4 OR size >= 0.2::DOUBLE * mean")
+@query("size_filter", "WITH c AS (SELECT l_suppkey AS image_id, l_linenumber % (1 + l_suppkey % 7) * 10 + CAST(l_partkey % 7 = 0 AS INTEGER) AS label, count(*) AS size FROM lineitem GROUP BY ALL), w AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS n, avg(size) OVER (PARTITION BY image_id) AS mean FROM c) SELECT image_id, label, size FROM w WHERE n <= 4 OR size >= 0.2::DOUBLE * mean")
 def size_filter(spark, d):
-    rows = V.read(spark, d, "lineitem").where("l_quantity < 5")
-    c = rows.groupBy(F.col("l_suppkey").alias("image_id"), (F.col("l_linenumber") * 10 + (F.col("l_partkey") % 2).cast("int")).alias("label")).agg(F.count(F.lit(1)).alias("size"))
+    rows, image = V.read(spark, d, "lineitem"), F.col("l_suppkey")
+    label = F.col("l_linenumber") % (1 + image % 7) * 10 + (F.col("l_partkey") % 7 == 0).cast("int")
+    c = rows.groupBy(image.alias("image_id"), label.alias("label")).agg(F.count(F.lit(1)).alias("size"))
     return C.filter_clusters(c)
 
 
-_COMPONENTS = f"""vox AS ({V.VOX.format(flag="A")}), n AS (SELECT *, (i * 6 + j) * 4 + k AS id FROM vox),
+_COMPONENTS = f"""vox AS ({V.VOX.format(flag="A")}), n AS (SELECT *, (i * 12 + j) * 8 + k AS id FROM vox),
 edge AS (SELECT a.image_id, a.id AS s, b.id AS t FROM n a JOIN n b ON a.image_id = b.image_id AND abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1),
 walk AS (SELECT image_id, id, id AS root FROM n UNION SELECT w.image_id, e.t, w.root FROM walk w JOIN edge e ON w.image_id = e.image_id AND w.id = e.s),
 lab AS (SELECT image_id, id, dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS label FROM (SELECT image_id, id, min(root) AS root FROM walk GROUP BY ALL)),

@@ -58,8 +58,11 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def voxels(spark: SparkSession, sf_dir: str, flag: str = "A") -> DataFrame:
-    v = read(spark, sf_dir, "lineitem").where((F.col("l_returnflag") == flag) & (F.col("l_linenumber") <= 3))
-    return v.select(F.col("l_suppkey").alias("image_id"), (F.col("l_partkey") % 6).cast("int").alias("i"), (F.col("l_orderkey") % 6).cast("int").alias("j"), F.col("l_linenumber").alias("k")).distinct()
+    """All lines of a flag as voxels. Images have sides of 4 to 12, so some are
+    dense (one cluster) and some sparse (many)."""
+    v = read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag)
+    side = 4 + 2 * (F.col("l_suppkey") % 5)
+    return v.select(F.col("l_suppkey").alias("image_id"), (F.col("l_partkey") % side).cast("int").alias("i"), (F.col("l_orderkey") % side).cast("int").alias("j"), F.col("l_linenumber").alias("k")).distinct()
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,4 +111,4 @@ def pair_sql(coi: str, m1: str, m2: str, name: str = "pr", source: str = "vn") -
 )"""
 
 
-VOX = "SELECT DISTINCT l_suppkey AS image_id, CAST(l_partkey % 6 AS INTEGER) AS i, CAST(l_orderkey % 6 AS INTEGER) AS j, l_linenumber AS k FROM lineitem WHERE l_returnflag = '{flag}' AND l_linenumber <= 3"
+VOX = "SELECT DISTINCT l_suppkey AS image_id, CAST(l_partkey % (4 + 2 * (l_suppkey % 5)) AS INTEGER) AS i, CAST(l_orderkey % (4 + 2 * (l_suppkey % 5)) AS INTEGER) AS j, l_linenumber AS k FROM lineitem WHERE l_returnflag = '{flag}'"
