@@ -51,3 +51,13 @@ def file_name(path: Column) -> Column:
 
 def parent(path: Column, up: int = 1) -> Column:
     return F.element_at(F.split(path, "/"), -1 - up)
+
+
+def log_stamp(time: Column) -> Column:
+    """A time as log lines begin with it."""
+    return F.date_format(time, "yyyy-MM-dd HH:mm:ss,SSS")
+
+
+def name_stamp(time: Column) -> Column:
+    """A time as file names hold it."""
+    return F.date_format(time, "yyyyMMdd_HHmmss")

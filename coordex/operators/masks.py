@@ -110,3 +110,23 @@ def busiest_slice(voxels: DataFrame, axis: str = "k") -> DataFrame:
     sums = voxels.groupBy("image_id", axis).agg(F.sum("v").alias("total"))
     best = F.max_by(F.struct(axis, "total"), F.struct("total", -F.col(axis)))
     return sums.groupBy("image_id").agg(best.alias("b")).select("image_id", f"b.{axis}", "b.total")
+
+
+def orthogonal_slices(voxels: DataFrame, points: DataFrame) -> DataFrame:
+    """The three planes through each image's point, a quarter turned to the left as
+    they are shown: image_id, plane, row, col and the voxels' other columns.
+
+    points: image_id, i, j, k and the shape of the volume, a row an image.
+    """
+    rest = [c for c in voxels.columns if c not in ("image_id", *VOXEL)]
+    at = points.select("image_id", *[F.col(c).alias(f"_{c}") for c in VOXEL], F.col("shape").alias("_shape"))
+    # plane, fixed axis, axes of rows and columns before the turn
+    sides = (("axial", 2, 0, 1), ("sagittal", 1, 0, 2), ("coronal", 0, 1, 2))
+
+    def side(plane: str, fixed: int, row: int, col: int):
+        turned = F.get("_shape", F.lit(col)) - 1 - F.col(VOXEL[col])
+        cell = F.struct(F.lit(plane).alias("plane"), turned.cast("long").alias("row"), F.col(VOXEL[row]).cast("long").alias("col"))
+        return F.when(F.col(VOXEL[fixed]) == F.col(f"_{VOXEL[fixed]}"), cell)
+
+    cells = F.explode(F.array_compact(F.array(*[side(*s) for s in sides]))).alias("_cell")
+    return voxels.join(at, "image_id").select("image_id", cells, *rest).select("image_id", "_cell.*", *rest)

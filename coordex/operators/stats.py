@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def icc11(pairs: DataFrame, a: str = "m1", b: str = "m2", by: tuple[str, ...] = ()) -> DataFrame:
@@ -20,6 +22,65 @@ def icc11(pairs: DataFrame, a: str = "m1", b: str = "m2", by: tuple[str, ...] =
     return out.withColumn("icc", (F.col("msb") - F.col("msw")) / F.nullif(F.col("msb") + F.col("msw"), F.lit(0.0))).withColumn("f", F.col("msb") / F.nullif(F.col("msw"), F.lit(0.0)))
 
 
+def beta_share(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, up, down = 1e-300, 1.0, 0.0
+    value, k = 1.0, 0
+    while True:
+        m = k // 2
+        if k == 0:
+            term = 1.0
+        elif k % 2:
+            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        down = 1 / (1 + term * down or tiny)
+        up = 1 + term / up or tiny
+        value *= up * down
+        k += 1
+        if k > 2 and abs(up * down - 1) < 1e-14:
+            return front * (value - 1)
+
+
+def f_share(f: float, d1: float, d2: float) -> float:
+    """Share of an F distribution above ``f``."""
+    return beta_share(d2 / (d2 + d1 * f), d2 / 2, d1 / 2)
+
+
+def f_quantile(share: float, d1: float, d2: float) -> float:
+    """The value below which ``share`` of an F distribution lies, by halving."""
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        x = (low + high) / 2
+        low, high = (x, high) if beta_share(x, d1 / 2, d2 / 2) < share else (low, x)
+    return d2 / d1 * low / (1 - low) if low < 1 else math.inf
+
+
+def icc_interval(icc: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """Rows of ``icc11`` (one a group) with the p value of its F test and the bounds
+    of its confidence interval; null where F is (fewer than two pairs, no spread)."""
+    schema = StructType([*icc.schema.fields, *[StructField(c, DoubleType()) for c in ("p_value", "lower", "upper")]])
+    share = 1 - (1 - confidence) / 2
+
+    def bounds(n: int, f: float | None) -> tuple[float | None, ...]:
+        if f is None or n < 2:
+            return None, None, None
+        low, high = f / f_quantile(share, n - 1, n), f * f_quantile(share, n, n - 1)
+        return f_share(f, n - 1, n), (low - 1) / (low + 1), (high - 1) / (high + 1)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [bounds(n, f) for n, f in zip(b.column("n").to_pylist(), b.column("f").to_pylist())]
+            yield pa.record_batch([*b.columns, *[pa.array([x[k] for x in found], pa.float64()) for k in range(3)]], schema.fieldNames())
+
+    return icc.mapInArrow(add, schema)
+
+
 def ks_normal(df: DataFrame, column: str) -> DataFrame:
     """Kolmogorov-Smirnov test of the raw column against N(0, 1): p_value, statistic."""
     from pyspark.ml.stat import KolmogorovSmirnovTest

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -226,7 +228,15 @@ def excluded_rater(spark, d):
     return K.without_raters(m, ("human_a",)).groupBy("Method").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("assign_match")
+def _assigned_sql() -> str:
+    ways = []
+    for i, p in enumerate(permutations(range(4))):
+        total = " + ".join(_dist(e + 1, c + 1) for e, c in enumerate(p))
+        ways.append(f"{{'d': {total}, 'i': {i}, 'to': {list(p)}}}")
+    return f"WITH {_GREEDY}, w AS (SELECT Subject, Session, run, list_sort([{', '.join(ways)}])[1] AS best FROM s0) SELECT Subject, Session, run, best.to[1] AS t1, best.to[2] AS t2, best.to[3] AS t3, best.to[4] AS t4 FROM w"
+
+
+@query("assign_match", _assigned_sql())
 def assign_match(spark, d):
     m = K.matching(V.measurements(spark, d), mode="assignment")
     return m.select("Subject", "Session", "run", *[F.col("to")[k].alias(f"t{k + 1}") for k in range(4)])
@@ -314,6 +324,11 @@ def icc_subsets(spark, d):
     return rounded(T.icc11(_pairs(spark, d, "X", SEMI, MANUAL), by=("Area", "Electrode")), "msb", "msw", "icc", "f")
 
 
+@query("icc_interval")
+def icc_interval(spark, d):
+    return T.icc_interval(T.icc11(_pairs(spark, d, "X", SEMI, MANUAL), by=("Area", "Electrode")))
+
+
 @query("qq_points", "SELECT event_type, value, (row_number() OVER (PARTITION BY event_type ORDER BY value) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY event_type) AS position FROM events WHERE value IS NOT NULL")
 def qq_points(spark, d):
     return T.qq_points(V.read(spark, d, "events"), "value", "event_type")
@@ -360,6 +375,21 @@ def busiest_slice(spark, d):
     return M.busiest_slice(V.voxels(spark, d).withColumn("v", (F.col("i") + F.col("j")).cast("double")))
 
 
+_SIDES = "SELECT image_id, 'axial' AS plane, 11 - j AS row, i AS col FROM v WHERE k = 3 UNION ALL SELECT image_id, 'sagittal', 7 - k, i FROM v WHERE j = image_id % 4 UNION ALL SELECT image_id, 'coronal', 7 - k, j FROM v WHERE i = image_id % 3"
+
+
+@query("orthogonal_slices", f"WITH v AS ({V.VOX.format(flag='A')}) {_SIDES}")
+def orthogonal_slices(spark, d):
+    image = F.col("image_id")
+    points = V.images(spark, d).select(image, (image % 3).alias("i"), (image % 4).alias("j"), F.lit(3).alias("k"), F.array(*[F.lit(n) for n in (12, 12, 8)]).alias("shape"))
+    return M.orthogonal_slices(V.voxels(spark, d), points)
+
+
+@query("stamps", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || ',' || printf('%03d', millisecond(ts) % 1000) AS logged, strftime(ts, '%Y%m%d_%H%M%S') AS named FROM events")
+def stamps(spark, d):
+    return V.read(spark, d, "events").select("event_id", X.log_stamp(F.col("ts")).alias("logged"), X.name_stamp(F.col("ts")).alias("named"))
+
+
 @query("sphere_voxels", "SELECT s_suppkey AS image_id, s_suppkey % 7 + a AS i, s_suppkey % 5 + b AS j, s_suppkey % 9 + c AS k FROM supplier, (SELECT unnest(range(-2, 3)) AS a), (SELECT unnest(range(-2, 3)) AS b), (SELECT unnest(range(-2, 3)) AS c) WHERE a * a + b * b + c * c <= 4 AND s_suppkey % 7 + a BETWEEN 0 AND 7 AND s_suppkey % 5 + b BETWEEN 0 AND 7 AND s_suppkey % 9 + c BETWEEN 0 AND 7")
 def sphere_voxels(spark, d):
     s = V.read(spark, d, "supplier")

@@ -162,6 +162,45 @@ def test_icc(spark):
     assert T.icc11(df, "m2", "m1").first().icc == pytest.approx(r.icc)
 
 
+def f_density(d1, d2):
+    z = np.linspace(0, 1, 2_000_001)[1:-1]
+    log = (d1 / 2 - 1) * np.log(z) + (d2 / 2 - 1) * np.log1p(-z) + math.lgamma((d1 + d2) / 2) - math.lgamma(d1 / 2) - math.lgamma(d2 / 2)
+    return d2 * z / (d1 * (1 - z)), np.exp(log) * (z[1] - z[0])
+
+
+def test_f_distribution():
+    for d1, d2 in ((3, 4), (19, 20), (2, 7), (124, 125)):
+        values, mass = f_density(d1, d2)
+        for f in (0.3, 1.0, 2.5):
+            assert T.f_share(f, d1, d2) == pytest.approx(mass[values > f].sum(), abs=1e-4)
+        for share in (0.025, 0.5, 0.975):
+            assert T.f_share(T.f_quantile(share, d1, d2), d1, d2) == pytest.approx(1 - share, abs=1e-9)
+    assert T.f_share(3.0, 2, 10) == pytest.approx((1 + 2 * 3 / 10) ** -5)  # closed form for two degrees
+    assert T.f_share(1.0, 10**7, 10**7) == pytest.approx(0.5, abs=1e-6)
+
+
+def test_icc_interval(spark):
+    df = spark.createDataFrame([*zip("aaaa", [1.0, 2.0, 3.0, 4.0], [1.5, 2.0, 2.5, 4.5]), ("b", 1.0, 2.0), ("c", 1.0, 1.0), ("c", 2.0, 2.0)], "g string, m1 double, m2 double")
+    r = {x.g: x for x in T.icc_interval(T.icc11(df, by=("g",))).collect()}
+    a = r["a"]
+    assert a.lower < a.icc < a.upper and 0 < a.p_value < 0.01
+    low = a.f / T.f_quantile(0.975, 3, 4)
+    assert a.lower == pytest.approx((low - 1) / (low + 1))
+    assert (r["b"].p_value, r["b"].lower, r["c"].lower, r["c"].upper) == (None, None, None, None)
+    assert T.icc_interval(T.icc11(df.where("g = 'x'"), by=("g",))).count() == 0
+
+
+def test_orthogonal_slices_are_turned_left(spark):
+    rng = np.random.default_rng(8)
+    volume = rng.random((4, 5, 6))
+    rows = [("s", int(i), int(j), int(k), float(v)) for (i, j, k), v in np.ndenumerate(volume)]
+    points = spark.createDataFrame([("s", 1, 2, 3, [4, 5, 6]), ("none", 0, 0, 0, [1, 1, 1])], "image_id string, i int, j int, k int, shape array<int>")
+    got = M.orthogonal_slices(spark.createDataFrame(rows, "image_id string, i int, j int, k int, v double"), points).collect()
+    planes = {"axial": volume[:, :, 3], "sagittal": volume[:, 2, :], "coronal": volume[1, :, :]}
+    want = {("s", p, r, c, v) for p, m in planes.items() for (r, c), v in np.ndenumerate(np.rot90(m))}
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
 def test_shapiro_tells_normal_from_skewed():
     rng = np.random.default_rng(1)
     assert T.shapiro_wilk(rng.normal(size=200))[1] > 0.05
