@@ -27,8 +27,8 @@ def brute(rows, every=50, positives=5, negatives=3):
     return sorted(out)
 
 
-def mined(spark, rows, **kw):
-    df = spark.createDataFrame(rows, SCHEMA)
+def mined(spark, table, **kw):
+    df = spark.createDataFrame(table, SCHEMA)
     return sorted(tuple(r) for r in H.mine(df, **kw).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect())
 
 
