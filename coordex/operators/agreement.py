@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from coordex.config import AREAS, AUTO_RATER, BASELINE, COORDINATES_OF_INTEREST, DIMENSIONS, FULL, GROUP, HALF, IQR_LIMIT, MANUAL, PLACEHOLDER, SD_LIMIT, SEMI
 from coordex.functions.geometry import norm
+from coordex.operators.ranks import quantiles, same
 
 PAIRS = ((FULL, SEMI), (FULL, MANUAL), (SEMI, MANUAL))
 PAIR_KEYS = [*GROUP, "Area", "Electrode"]
@@ -77,21 +78,20 @@ def paired_methods(v: DataFrame, coi: str, m1: str, m2: str, area_only: str | No
     return out.withColumn("Difference", F.col("m1") - F.col("m2")).withColumn("Mean", (F.col("m1") + F.col("m2")) / 2)
 
 
-def limits(by: tuple[str, ...] = (), robust: bool = False) -> list[Column]:
-    """Aggregates: bias and reported limits (mean, standard deviation), and the
-    centre and limits that are drawn (median and interquartile range for axes)."""
+def bland_altman(pairs: DataFrame, coi: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Bias and reported limits (mean, standard deviation), and the centre and limits that
+    are drawn: for axes from the exact median and interquartile range, found without
+    holding a group's values."""
     d = F.col("Difference")
     bias, sd = F.avg(d), F.stddev_samp(d)
-    out = [F.count(d).alias("n"), bias.alias("bias"), sd.alias("sd"), (bias + SD_LIMIT * sd).alias("loa_hi"), (bias - SD_LIMIT * sd).alias("loa_lo")]
-    if robust:
-        centre, spread = F.median(d), IQR_LIMIT * (F.percentile(d, 0.75) - F.percentile(d, 0.25))
-    else:
-        centre, spread = bias, SD_LIMIT * sd
-    return [*out, centre.alias("centre"), (centre + spread).alias("limit_hi"), (centre - spread).alias("limit_lo")]
-
-
-def bland_altman(pairs: DataFrame, coi: str, by: tuple[str, ...] = ()) -> DataFrame:
-    return pairs.groupBy(*by).agg(*limits(by, robust=not coi.startswith("Euclidean_Norm")))
+    reported = [F.count(d).alias("n"), bias.alias("bias"), sd.alias("sd"), (bias + SD_LIMIT * sd).alias("loa_hi"), (bias - SD_LIMIT * sd).alias("loa_lo")]
+    out = pairs.groupBy(*by).agg(*reported)
+    if coi.startswith("Euclidean_Norm"):
+        return out.withColumns({"centre": F.col("bias"), "limit_hi": F.col("bias") + SD_LIMIT * F.col("sd"), "limit_lo": F.col("bias") - SD_LIMIT * F.col("sd")})
+    drawn = quantiles(pairs, "Difference", {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}, by)
+    spread = IQR_LIMIT * (F.col("q._q3") - F.col("q._q1"))
+    joined = out.alias("o").join(drawn.alias("q"), same("o", "q", list(by)), "left")
+    return joined.select("o.*", F.col("q._q2").alias("centre"), (F.col("q._q2") + spread).alias("limit_hi"), (F.col("q._q2") - spread).alias("limit_lo"))
 
 
 def with_limits(pairs: DataFrame, coi: str, by: tuple[str, ...] = ()) -> DataFrame:

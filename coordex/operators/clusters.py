@@ -10,15 +10,20 @@ from pyspark.sql.window import Window
 
 from coordex.config import FAR, N_CLUSTERS, NEAR, SIZE_SHARE, WIDE
 from coordex.functions.geometry import apply_affine, distance
+from coordex.operators.ranks import ranked
+from coordex.written import materialize
 
 CLASSES = {0: "no_clusters", 1: "one_cluster", 2: "two_clusters", 3: "three_clusters", 4: "four_clusters"}
+#: Voxels a side of a tile that one task labels.
+TILE = 64
+_SHIFT = 1 << 20
 
 
 def component_labels(i: np.ndarray, j: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Face-connected components of distinct voxels, numbered from 1 by their
     first voxel in (i, j, k) order. Least-label propagation with pointer jumping."""
     order = np.lexsort((k, j, i))
-    i, j, k = (x[order].astype(np.int64) for x in (i, j, k))
+    i, j, k = (x[order].astype(np.int64) - x.min(initial=0) for x in (i, j, k))
     nj, nk = int(j.max(initial=0)) + 2, int(k.max(initial=0)) + 2
     key = (i * nj + j) * nk + k
     edges = []
@@ -43,20 +48,66 @@ def component_labels(i: np.ndarray, j: np.ndarray, k: np.ndarray) -> np.ndarray:
     return out
 
 
-def label_components(voxels: DataFrame) -> DataFrame:
-    """voxels (image_id, i, j, k) of the foreground -> with label. A task holds one
-    image at a time, whose size the volume's shape bounds."""
+def united(edges: DataFrame) -> DataFrame:
+    """edges (image_id, a, b) -> image_id, node, root: the least node of its component,
+    for every node of an edge. Stars are contracted until each component is one star."""
+    e = edges.where("a <> b").select("image_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e = materialize(e, "united")
+    while True:
+        ends = e.select("image_id", F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(e.select("image_id", F.col("b").alias("node"), F.lit(0).alias("up")))
+        seen = ends.groupBy("image_id", "node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+        if seen.where("ups > 1 or (ups = 1 and least = 0)").isEmpty():
+            break
+        both = e.unionByName(e.select("image_id", F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("image_id", "a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        large = both.join(low, ["image_id", "a"]).where("b > a").select("image_id", F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("image_id", "a").agg(F.min("b").alias("m"))
+        star = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")
+        e = materialize(large.join(low, ["image_id", "a"]).select("image_id", star).select("image_id", "x.*").where("a <> b").distinct(), "united")
+    roots = e.select("image_id", F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots.unionByName(e.select("image_id", F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def label_components(voxels: DataFrame, tile: int = TILE) -> DataFrame:
+    """voxels (image_id, i, j, k) of the foreground -> with label, numbered from 1 by
+    each component's first voxel in (i, j, k) order. Rows without an image_id go.
+
+    A task labels one tile of ``tile`` voxels a side; components of tiles that touch are
+    united by their face pairs, which are a thin share of the voxels. A component is
+    known by its first voxel's code: 21 bits a coordinate, from -2^20 on.
+    """
     fields = {f.name: f.dataType.simpleString() for f in voxels.schema}
 
-    def label(image: pa.Table) -> pa.Table:
-        labels = component_labels(*[image.column(c).to_numpy() for c in "ijk"])
-        return image.select(["image_id", "i", "j", "k"]).append_column("label", pa.array(labels, pa.int32()))
+    def local(part: pa.Table) -> pa.Table:
+        i, j, k = (part.column(c).to_numpy().astype(np.int64) for c in "ijk")
+        labels = component_labels(i, j, k)
+        code = (((i + _SHIFT) << 21) + j + _SHIFT << 21) + k + _SHIFT
+        first = np.full(labels.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, labels, code)
+        return part.select(["image_id", "i", "j", "k"]).append_column("root", pa.array(first[labels]))
 
     able = voxels.where("v > 0") if "v" in fields else voxels
-    # Dealt by image once: the same exchange serves distinct and the labelling.
-    able = able.select("image_id", "i", "j", "k").repartition("image_id").distinct()
-    schema = f"image_id {fields['image_id']}, i {fields['i']}, j {fields['j']}, k {fields['k']}, label int"
-    return able.groupBy("image_id").applyInArrow(label, schema)
+    cells = [F.floor(F.col(c) / tile).alias(f"_{c}") for c in "ijk"]
+    # Dealt by tile once: the same exchange serves distinct and the labelling.
+    at = ["image_id", "_i", "_j", "_k"]
+    able = able.where("image_id is not null").select("image_id", "i", "j", "k", *cells).repartition(*at).distinct()
+    schema = f"image_id {fields['image_id']}, i {fields['i']}, j {fields['j']}, k {fields['k']}, root long"
+    parts = materialize(able.groupBy(*at).applyInArrow(local, schema), "tiles")
+
+    last = [F.pmod(F.col(c), F.lit(tile)) == tile - 1 for c in "ijk"]
+    first = [F.pmod(F.col(c), F.lit(tile)) == 0 for c in "ijk"]
+    beyond = F.array_compact(F.array(*[F.when(on, F.struct(*[(F.col(c) + (1 if c == d else 0)).alias(c) for c in "ijk"])) for d, on in zip("ijk", last)]))
+    upper = parts.where(last[0] | last[1] | last[2]).select("image_id", F.col("root").alias("a"), F.explode(beyond).alias("x")).select("image_id", "x.*", "a")
+    lower = parts.where(first[0] | first[1] | first[2]).select("image_id", "i", "j", "k", F.col("root").alias("b"))
+    whole = united(upper.join(lower, ["image_id", "i", "j", "k"]).select("image_id", "a", "b"))
+
+    roots = parts.select("image_id", "root").distinct()
+    named = roots.join(whole.select("image_id", F.col("node").alias("root"), F.col("root").alias("_to")), ["image_id", "root"], "left").withColumn("_to", F.coalesce("_to", "root"))
+    named = materialize(named, "tile-roots")
+    numbers = ranked(named.select("image_id", "_to").distinct(), ["image_id"], ["_to"], "label")
+    # Joined by the tile's own component, which one tile bounds, and not by the whole one.
+    labels = named.join(numbers, ["image_id", "_to"]).select("image_id", "root", F.col("label").cast("int").alias("label"))
+    return parts.join(labels, ["image_id", "root"]).select("image_id", "i", "j", "k", "label")
 
 
 def cluster_stats(labelled: DataFrame) -> DataFrame:

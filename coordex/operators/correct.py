@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +33,71 @@ def _greedy(h: Column, f: Column) -> Column:
     return F.aggregate(every, F.struct(none.alias("used"), none.alias("to")), step, lambda acc: acc["to"])
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), where the value is computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def assigned(cost: Column, n: int) -> Column:
+    """cost: n rows of n or more columns -> for each row its column (from 0) in an
+    assignment of least total cost. Shortest augmenting paths with potentials: rows come in
+    one by one, and each step of a path settles the nearest free column. Place 0 of the
+    column arrays stands for the row that comes in."""
+    wide = F.size(F.get(cost, 0)) + 1
+    every = F.sequence(F.lit(0), wide - 1)
+    filled = lambda x, size: F.array_repeat(F.lit(x), size)
+
+    def settle(s: Column, _: Column) -> Column:
+        row = F.get(s["row_of"], s["at"])
+        used = F.transform(every, lambda j: F.get(s["used"], j) | (j == s["at"]))
+
+        def reach(x: Column) -> Column:  # x: used, row
+            price = lambda j: F.get(F.get(cost, x["row"] - 1), j - 1) - F.get(s["u"], x["row"]) - F.get(s["v"], j)
+            step = lambda j: F.when((j > 0) & ~F.get(x["used"], j) & (price(j) < F.get(s["far"], j)), F.struct(price(j).alias("far"), s["at"].alias("way")))
+            old = lambda j: F.struct(F.get(s["far"], j).alias("far"), F.get(s["way"], j).alias("way"))
+            return _let(F.transform(every, lambda j: F.coalesce(step(j), old(j))), lambda reached: nearest(x, reached))
+
+        def nearest(x: Column, reached: Column) -> Column:
+            free = F.filter(every, lambda j: ~F.get(x["used"], j))
+            best = F.array_min(F.transform(free, lambda j: F.struct(F.get(reached, j)["far"].alias("d"), j.alias("j"))))
+            return _let(best, lambda b: move(x, reached, b))
+
+        def move(x: Column, reached: Column, b: Column) -> Column:
+            on = F.transform(F.filter(every, lambda j: F.get(x["used"], j)), lambda j: F.get(s["row_of"], j))
+            return F.struct(
+                F.transform(s["u"], lambda u, r: F.when(F.array_contains(on, r), u + b["d"]).otherwise(u)).alias("u"),
+                F.transform(s["v"], lambda v, j: F.when(F.get(x["used"], j), v - b["d"]).otherwise(v)).alias("v"),
+                s["row_of"].alias("row_of"), x["used"].alias("used"),
+                F.transform(reached, lambda r, j: F.when(F.get(x["used"], j), r["far"]).otherwise(r["far"] - b["d"])).alias("far"),
+                F.transform(reached, lambda r: r["way"]).alias("way"), b["j"].alias("at"),
+            )
+
+        moved = _let(F.struct(used.alias("used"), row.alias("row")), reach)
+        return F.when(row == 0, s).otherwise(moved)
+
+    def turn(s: Column, _: Column) -> Column:
+        """One step back along the path: the column gets the row of the column before it."""
+        back = F.get(s["way"], s["at"])
+        rows = F.transform(s["row_of"], lambda r, j: F.when(j == s["at"], F.get(s["row_of"], back)).otherwise(r))
+        return F.when(s["at"] == 0, s).otherwise(F.struct(rows.alias("row_of"), s["way"].alias("way"), back.alias("at")))
+
+    def enter(acc: Column, i: Column) -> Column:
+        start = F.struct(
+            acc["u"].alias("u"), acc["v"].alias("v"), F.transform(acc["row_of"], lambda r, j: F.when(j == 0, i).otherwise(r)).alias("row_of"),
+            filled(False, wide).alias("used"), filled(float("inf"), wide).alias("far"), filled(0, wide).alias("way"), F.lit(0).alias("at"),
+        )
+        path = F.aggregate(every, start, settle)
+        ends = lambda p: F.aggregate(every, F.struct(p["row_of"].alias("row_of"), p["way"].alias("way"), p["at"].alias("at")), turn)
+        return _let(path, lambda p: F.struct(p["u"].alias("u"), p["v"].alias("v"), ends(p)["row_of"].alias("row_of")))
+
+    none = F.struct(filled(0.0, n + 1).alias("u"), filled(0.0, wide).alias("v"), filled(0, wide).alias("row_of"))
+    rows = F.aggregate(F.sequence(F.lit(1), F.lit(n)), none, enter, lambda acc: acc["row_of"])
+    return _let(rows, lambda r: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.array_position(F.slice(r, 2, F.size(r)), i).cast("int") - 1))
+
+
 def _assigned(h: Column, f: Column) -> Column:
-    """The permutation of least total distance; ties to the first in order."""
-    d = [[distance(h[e], f[c]) for c in range(_N)] for e in range(_N)]
-    total = lambda p: sum((d[e][c] for e, c in enumerate(p)), F.lit(0.0))
-    ways = [F.struct(total(p).alias("d"), F.lit(i).alias("i"), F.array(*[F.lit(c) for c in p]).alias("to")) for i, p in enumerate(permutations(range(_N)))]
-    return F.array_min(F.array(*ways))["to"]
+    """The permutation of least total distance."""
+    return _let(F.transform(h, lambda a: F.transform(f, lambda b: distance(a, b))), lambda cost: assigned(cost, _N))
 
 
 def matching(measurements: DataFrame, mode: str = "reference", full: str = FULL, half: str = HALF) -> DataFrame:

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from coordex.operators.ranks import running_max
+
 
 def split_dataset(items: DataFrame, key: str, n_validation: int, n_test: int, seed: int = 1001) -> DataFrame:
     """Exact sizes: the first by a seeded hash are validation, the next test, the rest train.
 
     Only validation and test members are ordered (a distributed top-k); the rest
     is told apart by a join, so no task sorts the whole table."""
-    h = F.xxhash64(F.lit(seed), F.col(key))
+    h = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))  # an order that any engine can repeat
     head = items.select(key).distinct().orderBy(h, key).limit(n_validation + n_test)
     place = F.row_number().over(Window.orderBy(h, key))  # n_validation + n_test rows
     head = head.withColumn("_place", place)
@@ -34,10 +36,11 @@ def create_dataset(volumes: DataFrame, masks: DataFrame, n_validation: int, n_te
 
 
 def running_best(metrics: DataFrame, by: tuple[str, ...] = ("run_id", "tag")) -> DataFrame:
-    """best: the largest value so far, at least 0; improved: strictly above all before (and 0)."""
-    w = Window.partitionBy(*by).orderBy("step")
-    before = F.greatest(F.coalesce(F.max("value").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), F.lit(0.0))
-    return metrics.withColumn("best", F.greatest(before, F.col("value"))).withColumn("improved", F.col("value") > before)
+    """best: the largest value so far, at least 0; improved: strictly above all before (and 0).
+    A tag's steps are cut into ranges, so a tag with all rows is spread."""
+    seen = running_max(metrics, list(by), "step", "value", "_before")
+    before = F.greatest(F.coalesce("_before", F.lit(0.0)), F.lit(0.0))
+    return seen.withColumn("best", F.greatest(before, F.col("value"))).withColumn("improved", F.col("value") > before).drop("_before")
 
 
 def best_step(metrics: DataFrame, by: tuple[str, ...] = ("run_id", "tag")) -> DataFrame:

@@ -7,7 +7,7 @@ from itertools import permutations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coordex.config import AREAS, FULL, HALF, MANUAL, SEMI
+from coordex.config import AREAS, FULL, HALF, MANUAL, PLACEHOLDER, SEMI
 from coordex.functions import geometry as G
 from coordex.functions import text as X
 from coordex.operators import agreement as A
@@ -17,6 +17,7 @@ from coordex.operators import masks as M
 from coordex.operators import reshape as R
 from coordex.operators import sampling as S
 from coordex.operators import stats as T
+from coordex.operators import volumes as W
 from coordex.plans import views as V
 
 QUERIES: dict = {}
@@ -164,6 +165,23 @@ def baseline_repeat(spark, d):
     return rounded(A.repeat_baseline(_with_baseline(spark, d)).select("Subject", "Session", "run", "Area", "Electrode", "Method", "X"), "X")
 
 
+@query("baseline_pairs", f"WITH {V.V}, b AS (SELECT * REPLACE (CASE WHEN Method = 'manually' AND Session = 'ses-1' AND run = 'run-01' THEN 'baseline' ELSE Method END AS Method) FROM vn WHERE Rater <> 'Network'), s AS (SELECT * FROM b WHERE Method = 'semi-automated'), {V.pair_sql('Euclidean_Norm', 'baseline', SEMI, source='(SELECT Subject, Session, run, Area, Electrode, Method, Euclidean_Norm FROM s UNION ALL SELECT s.Subject, s.Session, s.run, s.Area, s.Electrode, b.Method, b.Euclidean_Norm FROM s JOIN b ON b.Subject = s.Subject AND b.Area = s.Area AND b.Electrode = s.Electrode AND b.Method = $$baseline$$)')} SELECT Subject, Session, run, Area, Electrode, {sql_rounded('m1', 'm2', 'Difference')} FROM pr")
+def baseline_pairs(spark, d):
+    m = A.recode_methods(V.measurements(spark, d))
+    first = (F.col("Method") == MANUAL) & (F.col("Session") == "ses-1") & (F.col("run") == "run-01")
+    m = m.withColumn("Method", F.when(first, "baseline").otherwise(F.col("Method")))
+    ((*_, found),) = A.agreement_sequence(m, V.HUMAN, pairs=(("baseline", SEMI),), coi=("Euclidean_Norm",))
+    return rounded(found.select("Subject", "Session", "run", "Area", "Electrode", "m1", "m2", "Difference"), "m1", "m2", "Difference")
+
+
+@query("normalize_measurements", f"WITH {V.M} SELECT Experiment, Subject, Session, CASE WHEN Session = 'ses-1' AND run = 'run-01' THEN 'baseline' ELSE run END AS run, Rater, CASE WHEN Session = 'ses-1' AND run = 'run-01' THEN 'baseline' WHEN Method = 'half-automated' THEN 'semi-automated' ELSE Method END AS Method, Electrode, Dimension, Coordinates FROM ml")
+def normalize_measurements(spark, d):
+    first = (F.col("Session") == "ses-1") & (F.col("run") == "run-01")
+    m = V.measurements(spark, d).withColumn("run", F.when(first, "baseline").otherwise(F.col("run")))
+    m = m.withColumn("Experiment", F.when(F.col("Session") == "ses-2", PLACEHOLDER).otherwise(F.col("Experiment")))
+    return A.normalize_measurements(m.withColumn("Unnamed: 0", F.lit(1)).withColumn("date", F.lit("2020")))
+
+
 @query("experiment_backfill", "SELECT event_id, user_id, CASE WHEN e = 'YourExperimentName' THEN min(CASE WHEN e LIKE 'P%' THEN e END) OVER (PARTITION BY user_id) ELSE e END AS Experiment FROM (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN 'YourExperimentName' WHEN event_id % 3 = 1 THEN 'P' || (event_id % 7) ELSE event_type END AS e FROM events)")
 def experiment_backfill(spark, d):
     e = F.when(F.col("event_id") % 3 == 0, "YourExperimentName").when(F.col("event_id") % 3 == 1, F.concat(F.lit("P"), (F.col("event_id") % 7).cast("string"))).otherwise(F.col("event_type"))
@@ -268,6 +286,18 @@ def extract_positions(spark, d):
     return p.select(F.col("run").cast("long").alias("image_id"), F.col("anode_mni")[0].alias("ax"), F.col("cathode2_mni")[1].alias("c2y"), F.col("cathode3_mni")[2].alias("c3z"))
 
 
+_ALL12 = [(e, n, k) for e, n in enumerate(("anode", "cathode1", "cathode2", "cathode3")) for k in range(3)]
+
+
+@query("positions_extracted", f"WITH {_HUB}, ok AS (SELECT image FROM hubs GROUP BY image HAVING bool_or(ok)) SELECT image AS image_id, {', '.join(f'max(CASE WHEN idx = {e} THEN ' + ('90 - c[1]', 'c[2] - 126', 'c[3] - 72')[k] + f' END) AS {n}_{c}' for (e, n, k), c in zip(_ALL12, 'xyz' * 4))} FROM e1 JOIN ok USING (image) GROUP BY image")
+def positions_extracted(spark, d):
+    checked = _checked(spark, d)
+    affine = F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in _AFFINE])
+    meta = checked.select("image_id", F.lit("s").alias("subject"), F.lit("1").alias("session"), F.col("image_id").cast("string").alias("run"), affine.alias("affine"))
+    p = C.extract_positions(checked, meta)
+    return p.select(F.col("run").cast("long").alias("image_id"), *[F.col(f"{n}_mni")[k].alias(f"{n}_{c}") for (_, n, k), c in zip(_ALL12, "xyz" * 4)])
+
+
 @query("size_filter", "WITH c AS (SELECT l_suppkey AS image_id, l_linenumber % (1 + l_suppkey % 7) * 10 + CAST(l_partkey % 7 = 0 AS INTEGER) AS label, count(*) AS size FROM lineitem GROUP BY ALL), w AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS n, avg(size) OVER (PARTITION BY image_id) AS mean FROM c) SELECT image_id, label, size FROM w WHERE n <= 4 OR size >= 0.2::DOUBLE * mean")
 def size_filter(spark, d):
     rows, image = V.read(spark, d, "lineitem"), F.col("l_suppkey")
@@ -344,6 +374,28 @@ def shapiro(spark, d):
     return T.shapiro(_pairs(spark, d), "Difference", "Electrode")
 
 
+def _shapiro_sql() -> str:
+    poly = lambda c: " + ".join(f"{k!r}::DOUBLE * pow(1 / sqrt(n), {p})" for p, k in enumerate(c) if k)
+    return f"""WITH {V.V}, {V.pair_sql('Euclidean_Norm', FULL, SEMI)},
+x AS (SELECT Electrode, Difference - avg(Difference) OVER (PARTITION BY Electrode) AS d, row_number() OVER (PARTITION BY Electrode ORDER BY Difference) AS k, count(*) OVER (PARTITION BY Electrode) AS n FROM pr),
+y AS (SELECT *, {T.normal_score("((k - 0.375e0) / (n + 0.25e0))")} AS m FROM x),
+g AS (SELECT Electrode, n, sum(m * m) AS total, sum(m * d) AS md, sum(d * d) AS dd, max(m) FILTER (k = n) AS m1, max(m) FILTER (k = n - 1) AS m2,
+  max(d) FILTER (k = n) - max(d) FILTER (k = 1) AS s1, max(d) FILTER (k = n - 1) - max(d) FILTER (k = 2) AS s2 FROM y GROUP BY Electrode, n),
+t AS (SELECT *, {poly(T._C1)} + m1 / sqrt(total) AS t1, {poly(T._C2)} + m2 / sqrt(total) AS t2 FROM g),
+b AS (SELECT *, (md - m1 * s1 - m2 * s2) / sqrt((total - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * t1 * t1 - 2 * t2 * t2)) + t1 * s1 + t2 * s2 AS b FROM t)
+SELECT Electrode, round(b * b / dd, 6) AS w, n FROM b"""
+
+
+@query("shapiro_w", _shapiro_sql())
+def shapiro_w(spark, d):
+    return rounded(T.shapiro_sums(_pairs(spark, d), "Difference", "Electrode"), "w")
+
+
+@query("ks_statistic", f"WITH {V.V}, {V.pair_sql('Euclidean_Norm', FULL, SEMI)}, x AS (SELECT Electrode, {T.normal_share('Difference')} AS share, row_number() OVER (PARTITION BY Electrode ORDER BY Difference) AS k, count(*) OVER (PARTITION BY Electrode) AS n FROM pr) SELECT Electrode, n, round(max(greatest(k / n - share, share - (k - 1) / n)), 6) AS statistic FROM x GROUP BY Electrode, n")
+def ks_statistic(spark, d):
+    return rounded(T.ks_statistic(_pairs(spark, d), "Difference", ("Electrode",)), "statistic")
+
+
 # ---- masks and volumes
 
 
@@ -458,6 +510,47 @@ def split_sizes(spark, d):
     return S.split_dataset(V.read(spark, d, "documents").select("doc_id"), "doc_id", 8, 8).groupBy("subset").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("split_members", "SELECT doc_id, CASE WHEN n <= 8 THEN 'validation' WHEN n <= 16 THEN 'test' ELSE 'train' END AS subset FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('1001:' || doc_id), doc_id) AS n FROM documents)")
+def split_members(spark, d):
+    return S.split_dataset(V.read(spark, d, "documents").select("doc_id"), "doc_id", 8, 8)
+
+
+# ---- volumes in new grids
+
+
+def _valued(spark, d, flag="A"):
+    return V.voxels(spark, d, flag).withColumn("v", (F.col("i") + 2 * F.col("j") + F.col("k")).cast("double"))
+
+
+_VALUED = f"v AS (SELECT *, (i + 2 * j + k)::DOUBLE AS v FROM ({V.VOX.format(flag='A')})), m AS (SELECT *, (i + 2 * j + k)::DOUBLE AS v FROM ({V.VOX.format(flag='R')}))"
+_CORNERS = "(SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b), (SELECT unnest([0, 1]) AS c)"
+_WEIGHT = " * ".join(f"CASE {u} WHEN 1 THEN {x} - floor({x}) ELSE 1 - {x} + floor({x}) END" for u, x in zip("abc", "xyz"))
+
+
+@query("resample_affine", f"WITH {_VALUED}, g AS (SELECT image_id, p, q, r, 0.5::DOUBLE * p + 0.25 AS x, 0.5::DOUBLE * q AS y, 0.25::DOUBLE * q + 0.5 * r + 0.5 AS z FROM (SELECT DISTINCT image_id FROM v), (SELECT unnest(range(20)) AS p), (SELECT unnest(range(16)) AS q), (SELECT unnest(range(10)) AS r)), n AS (SELECT image_id, p, q, r, floor(x) + a AS i, floor(y) + b AS j, floor(z) + c AS k, {_WEIGHT} AS w FROM g, {_CORNERS}) SELECT image_id, p::INTEGER AS i, q::INTEGER AS j, r::INTEGER AS k, sum(w * v) AS v FROM n JOIN v USING (image_id, i, j, k) WHERE w > 0 GROUP BY ALL")
+def resample_affine(spark, d):
+    return W.resample(_valued(spark, d), ((0.5, 0, 0, 0.25), (0, 0.5, 0, 0), (0, 0.25, 0.5, 0.5)), (20, 16, 10), block=8)
+
+
+def _area_sql(c: str, n: int, m: int) -> str:
+    return f"(SELECT o AS o{c}, unnest(range(o * {n} // {m}, ((o + 1) * {n} + {m} - 1) // {m})) AS {c}, ((o + 1) * {n} + {m} - 1) // {m} - o * {n} // {m} AS n{c} FROM (SELECT unnest(range({m})) AS o)) {c}s"
+
+
+@query("resize_area", f"WITH {_VALUED} SELECT image_id, oi::INTEGER AS i, oj::INTEGER AS j, ok::INTEGER AS k, round(sum(v / (ni * nj * nk)), 6) AS v FROM v JOIN {_area_sql('i', 12, 5)} USING (i) JOIN {_area_sql('j', 12, 18)} USING (j) JOIN {_area_sql('k', 8, 3)} USING (k) GROUP BY ALL")
+def resize_area(spark, d):
+    return rounded(W.resize_area(_valued(spark, d), (12, 12, 8), (5, 18, 3)), "v")
+
+
+def _level(name: str) -> str:
+    return f"(SELECT image_id, i, j, k, least(floor(coalesce((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 0) * 8), 7) AS level FROM {name} WINDOW w AS (PARTITION BY image_id))"
+
+
+@query("mutual_information", f"WITH {_VALUED}, f AS (SELECT image_id, level AS la, i + 0.25::DOUBLE AS x, j::DOUBLE AS y, k::DOUBLE AS z FROM {_level('v')}), n AS (SELECT image_id, la, floor(x) + a AS i, floor(y) + b AS j, floor(z) + c AS k, {_WEIGHT} AS w FROM f, {_CORNERS}), h AS (SELECT image_id, la, level AS lb, sum(w) AS w FROM n JOIN {_level('m')} USING (image_id, i, j, k) WHERE w > 0 GROUP BY ALL), e AS (SELECT image_id, 'a' AS o, sum(w) AS w FROM h GROUP BY image_id, la UNION ALL SELECT image_id, 'b', sum(w) FROM h GROUP BY image_id, lb UNION ALL SELECT image_id, 'ab', w FROM h), s AS (SELECT image_id, o, sum(w) AS total, log2(sum(w)) - sum(w * log2(w)) / sum(w) AS entropy FROM e GROUP BY ALL), t AS (SELECT image_id, max(total) AS weight, max(entropy) FILTER (o = 'ab') AS hab, sum(entropy) FILTER (o <> 'ab') AS h FROM s GROUP BY image_id) SELECT image_id, weight, CASE WHEN hab > 1e-12 THEN round(h / hab, 6) END AS nmi FROM t")
+def mutual_information(spark, d):
+    found = W.mutual_information(_valued(spark, d), _valued(spark, d, "R"), ((1, 0, 0, 0.25), (0, 1, 0, 0), (0, 0, 1, 0)), bins=8)
+    return rounded(found, "nmi")
+
+
 # ---- inventories
 
 
@@ -507,7 +600,7 @@ _SCANS = """f AS (
 ), done AS (SELECT DISTINCT o_custkey % 500 AS subject, 's' || (o_orderkey % 4) AS session FROM orders WHERE o_orderkey % 50 = 1)"""
 
 
-@query("coregistration_jobs", f"WITH {_SCANS} SELECT subject, session, a.path AS pre, b.path AS post, t.path AS reference FROM (SELECT * FROM f WHERE kind = 'Petra_Pre') a FULL JOIN (SELECT * FROM f WHERE kind = 'Petra_Post') b USING (subject, session) JOIN (SELECT * FROM f WHERE kind = 'T1' AND session = 'base') t USING (subject) WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.subject = subject AND done.session = COALESCE(a.session, b.session) AND done.subject = COALESCE(a.subject, b.subject))")
+@query("coregistration_jobs", f"WITH {_SCANS} SELECT a.subject, a.session, a.path AS pre, b.path AS post, t.path AS reference FROM f a JOIN f t ON t.subject = a.subject AND t.kind = 'T1' AND t.session = 'base' LEFT JOIN f b ON b.subject = a.subject AND b.session = a.session AND b.kind = 'Petra_Post' WHERE a.kind = 'Petra_Pre' AND a.session <> 'base' AND NOT EXISTS (SELECT 1 FROM done WHERE done.subject = a.subject AND done.session = a.session)")
 def coregistration_jobs(spark, d):
     from coordex.sources.inventory import coregistration_jobs as jobs
 

@@ -60,10 +60,13 @@ def to_process(inputs: DataFrame, outputs: DataFrame, keys: list[str], overwrite
 
 
 def coregistration_jobs(files: DataFrame, done: DataFrame, base: str = "base") -> DataFrame:
-    """Sessions with a base T1 of the subject and both scans, without output yet."""
+    """Sessions with a Petra_Pre and a base T1 of their subject, without output yet:
+    Petra_Pre is the source, the T1 the reference, and a Petra_Post, if there is one
+    (else null), is moved along. A session with a Petra_Post alone is no job, nor is the
+    base session itself; two files of one kind give a job each."""
     t1 = files.where((F.col("kind") == "T1") & (F.col("session") == base)).select("subject", F.col("path").alias("reference"))
-    scan = lambda k: files.where(F.col("kind") == k).select("subject", "session", F.col("path").alias(k))
-    jobs = scan("Petra_Pre").join(scan("Petra_Post"), ["subject", "session"], "full").join(t1, "subject")
+    scan = lambda k: files.where((F.col("kind") == k) & (F.col("session") != base)).select("subject", "session", F.col("path").alias(k))
+    jobs = scan("Petra_Pre").join(t1, "subject").join(scan("Petra_Post"), ["subject", "session"], "left")
     return jobs.join(done.select("subject", "session").distinct(), ["subject", "session"], "left_anti")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,8 @@ def _quaternion(b: float, c: float, d: float, offset, pixdim) -> np.ndarray:
     return affine
 
 
-def decode(content: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The volume as stored (scaled where a slope is given) and its 4 x 4 affine."""
-    data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+def header(data: bytes) -> tuple[tuple[int, ...], np.ndarray, np.dtype, int, float, float]:
+    """shape, affine, data type, where the data start, slope and intercept, from the first 352 bytes."""
     if len(data) < 352:
         raise ValueError("too short for a NIfTI-1 file")
     order = next((o for o in "<>" if struct.unpack_from(o + "i", data)[0] == 348), None)
@@ -46,9 +46,6 @@ def decode(content: bytes) -> tuple[np.ndarray, np.ndarray]:
     if code not in DTYPES:
         raise ValueError(f"data type {code}")
     pixdim, (start, slope, inter) = get("8f", 76), get("3f", 108)
-    volume = np.frombuffer(data, np.dtype(DTYPES[code]).newbyteorder(order), int(np.prod(shape)), int(start)).reshape(shape, order="F")
-    if slope not in (0.0, 1.0) or (slope and inter):
-        volume = volume * (slope or 1.0) + inter
     qform, sform = get("2h", 252)
     if sform > 0:
         affine = np.vstack([np.array(get("12f", 280), float).reshape(3, 4), [0, 0, 0, 1]])
@@ -56,6 +53,16 @@ def decode(content: bytes) -> tuple[np.ndarray, np.ndarray]:
         affine = _quaternion(*get("3f", 256), get("3f", 268), pixdim)
     else:
         affine = np.diag([pixdim[1] or 1.0, pixdim[2] or 1.0, pixdim[3] or 1.0, 1.0])
+    return shape, affine, np.dtype(DTYPES[code]).newbyteorder(order), int(start), slope, inter
+
+
+def decode(content: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The volume as stored (scaled where a slope is given) and its 4 x 4 affine."""
+    data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+    shape, affine, dtype, start, slope, inter = header(data)
+    volume = np.frombuffer(data, dtype, int(np.prod(shape)), start).reshape(shape, order="F")
+    if slope not in (0.0, 1.0) or (slope and inter):
+        volume = volume * (slope or 1.0) + inter
     return volume, affine
 
 
@@ -154,9 +161,10 @@ def write_masks(voxels: DataFrame, image_meta: DataFrame, folder: str, suffix: s
         name = "_".join(f"{k}-{r[f]}" for k, f in (("sub", "subject"), ("ses", "session"), ("run", "run")) if r[f]) or r["image_id"].rpartition("/")[2]
         files.create_dir(base, recursive=True)
         path = f"{base}/{name}{suffix}"
-        with files.open_output_stream(path + ".attempt") as out:
+        attempt = f"{path}.{uuid.uuid4().hex}.attempt"  # two attempts of a task write files of their own
+        with files.open_output_stream(attempt) as out:
             out.write(encode(volume, np.array(r["affine"])))
-        files.move(path + ".attempt", path)
+        files.move(attempt, path)
         return pa.table({"image_id": [r["image_id"]], "path": [path]})
 
     return voxels.groupBy("image_id").cogroup(image_meta.groupBy("image_id")).applyInArrow(write, "image_id string, path string")
