@@ -533,7 +533,7 @@ def resample_affine(spark, d):
 
 
 def _area_sql(c: str, n: int, m: int) -> str:
-    return f"(SELECT o AS o{c}, unnest(range(o * {n} // {m}, ((o + 1) * {n} + {m} - 1) // {m})) AS {c}, ((o + 1) * {n} + {m} - 1) // {m} - o * {n} // {m} AS n{c} FROM (SELECT unnest(range({m})) AS o)) {c}s"
+    return f"(SELECT o AS o{c}, unnest(range(o * {n} // {m}, ((o + 1) * {n} + {m} - 1) // {m})) AS {c}, ((o + 1) * {n} + {m} - 1) // {m} - o * {n} // {m} AS n{c} FROM (SELECT unnest(range({m})) AS o)) side_{c}"
 
 
 @query("resize_area", f"WITH {_VALUED} SELECT image_id, oi::INTEGER AS i, oj::INTEGER AS j, ok::INTEGER AS k, round(sum(v / (ni * nj * nk)), 6) AS v FROM v JOIN {_area_sql('i', 12, 5)} USING (i) JOIN {_area_sql('j', 12, 18)} USING (j) JOIN {_area_sql('k', 8, 3)} USING (k) GROUP BY ALL")
