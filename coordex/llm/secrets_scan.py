@@ -5,10 +5,11 @@ are parts of a credential: identifiers (``id``: user, login, account, client or
 key ids, their names in any case, and mail addresses), keys (``key``: mixed runs
 of 20 or more letters and digits, high in entropy, bare or behind ``NAME=``) and
 endpoints (``endpoint``: URLs, host names with ports, IPv4 addresses). Parts are
-linked by an interval join inside a scope: a line block (text between blank
-lines) and at most ``REACH`` code points apart. A weak candidate is reported
-only if it is linked to complementary parts: a key needs an identifier, an
-identifier or an endpoint needs a secret (key or strong finding).
+linked by an interval join inside a scope, a line block (text between blank lines);
+with ``reach`` they are also at most so many code points apart, by default anywhere in
+the block. A weak candidate is reported only if it is linked to complementary parts: a
+key needs an identifier or an endpoint, these need a secret (a linked key, or a strong
+finding that is no access identifier).
 
 Defined results: a null or empty text has no spans; repeated rows are scanned
 each; very long texts are swept in linear time (each run of characters is read a
@@ -46,7 +47,7 @@ PORT = re.compile(r"(?<![a-z0-9.-])[a-z0-9.-]++(?=:[0-9]{2,5}\b)")
 HOST = re.compile(r"\b(?:[a-z0-9-]++\.)++[a-z]{2,}:[0-9]{2,5}\b")
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 STRONG = KINDS[:3]
-REACH, ENTROPY = 200, 3.5
+ENTROPY = 3.5
 
 
 def entropy(s: str) -> float:
@@ -106,11 +107,12 @@ def _scopes(text: str) -> list[int]:
 
 
 class Parts:
-    """Sorted parts, for interval joins: whether any is at most REACH away from a
+    """Sorted parts, for interval joins: whether any is at most ``reach`` away from a
     span, in the same scope. No part goes over the end of a line, so none leaves its
     scope; the largest end so far in the scope tells of all that start in time."""
 
-    def __init__(self, spans: list, blocks: list[int]):
+    def __init__(self, spans: list, blocks: list[int], reach: float):
+        self.reach = reach
         self.blocks, self.starts, self.ends, block = blocks, [s for s, _, _ in spans], [], 0
         for s, e, _ in spans:
             own = bisect_right(blocks, s)
@@ -121,26 +123,27 @@ class Parts:
         own = bisect_right(self.blocks, span[0])
         begin = self.blocks[own - 1]
         end = self.blocks[own] if own < len(self.blocks) else math.inf
-        k = bisect_right(self.starts, min(span[1] + REACH, end - 1)) - 1
-        return k >= 0 and self.starts[k] >= begin and self.ends[k] + REACH >= span[0]
+        k = bisect_right(self.starts, min(span[1] + self.reach, end - 1)) - 1
+        return k >= 0 and self.starts[k] >= begin and self.ends[k] + self.reach >= span[0]
 
 
-def scan(text: str | None) -> list[tuple[int, int, str]]:
+def scan(text: str | None, reach: float = math.inf) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) by start, then kind as listed; code points, end exclusive."""
     if not text:
         return []
     base = base_spans(text)
     weak = weak_parts(text)
-    if weak and (base or {"id", "key"} <= {w[2] for w in weak}):
+    kinds = {w[2] for w in weak}
+    if weak and (base or "key" in kinds and len(kinds) > 1):
         blocks = _scopes(text)
         covered = sorted(base)
         ends = _running(covered)
         begins = [s for s, _, _ in covered]
         # A weak part inside a strong finding is that finding.
         weak = [w for w in weak if not (i := bisect_left(begins, w[1])) or ends[i - 1] <= w[0]]
-        ids = Parts(sorted([w for w in weak if w[2] == "id"] + [b for b in base if b[2] == "access"]), blocks)
-        keys = [w for w in weak if w[2] == "key" and ids.near(w)]
-        hidden = Parts(sorted(keys + [b for b in base if b[2] != "access"]), blocks)
+        others = Parts(sorted([w for w in weak if w[2] != "key"] + [b for b in base if b[2] == "access"]), blocks, reach)
+        keys = [w for w in weak if w[2] == "key" and others.near(w)]
+        hidden = Parts(sorted(keys + [b for b in base if b[2] != "access"]), blocks, reach)
         base = base + keys + [w for w in weak if w[2] != "key" and hidden.near(w)]
     return sorted(base, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
