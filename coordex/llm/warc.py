@@ -174,7 +174,8 @@ def roles(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, dictionary: bytes) -> DataFrame:
     """Writes all pages below ``path``; returns a row per archive and record:
-    archive, position, length, page_id."""
+    archive, position, length, page_id. Only archives of this index are whole: an attempt
+    that died may leave files in the folder which are in none."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     full = _named(pages).select("page_id", "url", "name", payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
@@ -191,7 +192,8 @@ def write_archives(pages: DataFrame, path: str, dictionary: bytes) -> DataFrame:
             for page_id, url, payload, digest, to_id, leads, times in zip(*[c.to_pylist() for c in b.columns]):
                 for nth in range(times):
                     if archive is None:
-                        archive = ArchiveWriter(uri := f"{path}/part-{part:06d}-{number:04d}.warc.zst", dictionary)
+                        # A name of this attempt's own: what a lost attempt leaves is in no index.
+                        archive = ArchiveWriter(uri := f"{path}/part-{part:06d}-{number:04d}-{uuid.uuid4().hex}.warc.zst", dictionary)
                     refers = None if leads and nth == 0 else record_uri(to_id, 0)
                     at, n = archive.add(warc_record(page_id, nth, url, payload, base32(digest), refers))
                     for k, v in zip(rows, (uri, at, n, page_id)):
@@ -203,12 +205,12 @@ def write_archives(pages: DataFrame, path: str, dictionary: bytes) -> DataFrame:
         if archive is not None:
             archive.close()
 
-    full = full.select("page_id", "url", "payload", "digest", "to_id", "leads", "times")
+    full = full.sortWithinPartitions("name", "digest", "bytes").select("page_id", "url", "payload", "digest", "to_id", "leads", "times")
     return materialize(full.mapInArrow(write, "archive string, position long, length long, page_id long"), "warc-index")
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record: record_id, page_id, record_type, url, payload_digest,
+def read_archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Of all archives of a folder, or of the named ones, a row per record: record_id, page_id, record_type, url, payload_digest,
     refers_to_id, payload (null in revisits), payload_bytes of what is held."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,9 +239,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dictionary_of(pages: DataFrame, limit: int = SAMPLE) -> bytes:
-    """From ``limit`` pages at most, the least by hash over all of them, and of
+    """From ``limit`` different pages at most, the least by hash over all of them, and of
     those as many as fit into SAMPLE_BYTES, each whole."""
-    ids = pages.select("page_id", F.octet_length("html").alias("n"), F.xxhash64(F.lit(7), "page_id", "url").alias("h")).where("n > 0").orderBy("h", "page_id").limit(limit).collect()
+    h = F.xxhash64(F.lit(7), "page_id", "url", F.xxhash64("html"))
+    sized = pages.select("page_id", F.octet_length("html").alias("n"), h.alias("h")).where("n > 0")
+    # Equal rows are one: a hash that many rows share is chosen once.
+    ids = sized.groupBy("h").agg(F.max("n").alias("n")).orderBy("h").limit(limit).collect()
     chosen, held = [], 0
     for r in ids:
         if held + r.n <= SAMPLE_BYTES:
@@ -247,8 +252,8 @@ def dictionary_of(pages: DataFrame, limit: int = SAMPLE) -> bytes:
             held += r.n
     if not chosen:
         return b""
-    least = pages.where(F.xxhash64(F.lit(7), "page_id", "url").isin(chosen)).select("page_id", "url", "html")
-    return train_dictionary([warc_record(r.page_id, 0, r.url, r.html.encode(), "A" * 32, None) for r in least.orderBy("page_id", "url").limit(limit).collect() if r.html])
+    least = pages.select("page_id", "url", "html", h.alias("h")).where(F.col("h").isin(chosen)).dropDuplicates(["h"])
+    return train_dictionary([warc_record(r.page_id, 0, r.url, r.html.encode(), "A" * 32, None) for r in least.orderBy("h").collect() if r.html])
 
 
 def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
@@ -260,7 +265,9 @@ def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
     if not index.limit(1).count():
         return spark.createDataFrame([], schema)
-    records = read_archives(spark, path).drop("payload")
+    # As many names as a scan of the folder would list: a file of ROTATE bytes each.
+    names = [r.archive for r in index.select("archive").distinct().collect()]
+    records = read_archives(spark, names).drop("payload")
     records = materialize(records, "warc-read")
     keys = {"refers_to_id": F.coalesce("refers_to_id", F.lit("")), "payload_digest": F.col("payload_digest")}
     # Ids of responses are unique with their digests: no page_id is a response twice for one payload.

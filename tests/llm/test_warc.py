@@ -84,3 +84,20 @@ def test_attempts_do_not_meet(tmp_path):
     one.close()
     two.close()
     assert [p.name for p in tmp_path.iterdir()] == ["a.warc.zst"] and len(list(W.read_archive((tmp_path / "a.warc.zst").read_bytes()))) == 1
+
+
+def test_what_a_lost_attempt_leaves_is_not_read(spark, tmp_path):
+    path = "file://" + str(tmp_path / "w")
+    df = spark.createDataFrame([(i, f"u{i}", "page " * i, None, None) for i in range(40)], SCHEMA)
+    dead = W.ArchiveWriter(f"{path}/part-000000-0000-{'0' * 32}.warc.zst", b"")
+    dead.add(W.warc_record(7, 0, "u7", b"other payload", "A" * 32, None))
+    dead.close()
+    rows = W.archive(df, path).collect()
+    assert sorted(r.page_id for r in rows) == list(range(40)) and {r.record_type for r in rows} == {"response"}
+    assert len({p.name for p in (tmp_path / "w").iterdir() if p.name.endswith(".warc.zst")}) > 1
+
+
+def test_a_page_that_comes_thousands_of_times_is_one_of_the_sample(spark):
+    df = spark.range(5000).selectExpr("cast(null as long) page_id", "cast(null as string) url", "repeat('same words here ', 2000) html")
+    other = spark.createDataFrame([(i, f"u{i}", f"page {i} " * 50) for i in range(30)], "page_id long, url string, html string")
+    assert len(W.dictionary_of(df.unionByName(other))) < W.SAMPLE_BYTES
