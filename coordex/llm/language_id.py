@@ -7,7 +7,7 @@ under all margins and takes the codeword that loses least. A second codeword
 that loses hardly more marks the row as ambiguous.
 
 Learning: from at most ``SAMPLE`` whole texts and ``SAMPLE_BYTES`` a language
-(``SAMPLE_ALL`` texts over all), the least by hash, of labelled documents that are
+(``SAMPLE_ALL`` texts and ``ALL_BYTES`` over all), the least by hash, of labelled documents that are
 not held out (crc32 of doc_id as text, modulo 5, is not 0); a text that alone is
 larger than ``SAMPLE_BYTES`` is not learned from. Predictions see the text alone.
 
@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from .common import materialize, rebatched, table
 
-SAMPLE, SAMPLE_ALL, SAMPLE_BYTES = 1000, 20_000, 4 << 20
+SAMPLE, SAMPLE_ALL, SAMPLE_BYTES, ALL_BYTES = 1000, 20_000, 4 << 20, 128 << 20
 DIMS, GRAMS = 1 << 16, (3, 4)
 AMBIGUOUS = 0.6
 LETTER = regex.compile(r"\p{L}")
@@ -129,7 +129,7 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, per_language: int = SAMPLE, over_all: int = SAMPLE_ALL) -> Model:
+def learn(docs: DataFrame, per_language: int = SAMPLE, over_all: int = SAMPLE_ALL, all_bytes: int = ALL_BYTES) -> Model:
     """The model from a bounded sample; only (doc_id, lang, size) are ranked, then the
     chosen texts are fetched."""
     able = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
@@ -143,7 +143,9 @@ def learn(docs: DataFrame, per_language: int = SAMPLE, over_all: int = SAMPLE_AL
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     few = few.withColumn("r", F.row_number().over(order)).withColumn("upto", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     ids = few.where((F.col("r") <= per_language) & (F.col("upto") <= SAMPLE_BYTES)).orderBy("r", "lang").limit(over_all)
-    # At most over_all rows, by construction; of equal rows one.
+    # At most over_all rows, by construction; of equal rows one. Languages take turns, so
+    # the bound on all bytes cuts each language's last ones.
+    ids = ids.withColumn("all", F.sum("bytes").over(Window.orderBy("r", "lang").rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("all") <= all_bytes)
     ids = materialize(ids.select("doc_id", "lang", "h").distinct(), "language-sample")
     texts = able.withColumn("h", F.xxhash64(F.lit(3), "doc_id", "text")).join(F.broadcast(ids), ["doc_id", "lang", "h"], "left_semi")
     chosen = [(r.text, r.lang) for r in texts.distinct().orderBy("doc_id", "lang", "text").collect()]

@@ -101,3 +101,18 @@ def test_sample_is_bounded(spark, monkeypatch):
 def test_nothing_learned_keeps_texts(spark):
     rows = [(1, "abc", None, None, None), (2, "12", None, None, None), (3, None, None, None, None)]
     assert [r.doc_id for r in L.drop_unidentified(spark.createDataFrame(rows, SCHEMA)).collect()] == [1]
+
+
+def test_all_bytes_bound_the_sample(spark):
+    rows = [(i, f"word{i % 7} " * 50, f"l{i % 40}") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    from coordex.llm import language_id as L
+
+    seen = []
+    old = L.train
+    L.train = lambda chosen: seen.append(chosen) or old(chosen)
+    try:
+        L.learn(df, all_bytes=20_000)
+    finally:
+        L.train = old
+    assert 0 < sum(len(t) for t, _ in seen[0]) <= 20_000 and len({lang for _, lang in seen[0]}) == 40
