@@ -79,3 +79,18 @@ def test_mix_odd_rows(spark):
     assert all(r.taken == 0 and r.target == 0 for r in out) and len(out) == 3
     same = mixing.mix(spark.createDataFrame([(5, "a b", "s", None, None, None)] * 4, SCHEMA)).collect()
     assert [r.taken for r in same] == [2] * 4
+
+
+def test_thousands_of_rows_without_id_in_one_source(spark):
+    df = spark.range(6000).selectExpr("cast(null as long) doc_id", "concat(repeat('w ', cast(id % 9 as int)), id) text", "'hot' source", "'a' size", "'b' key", "1 target")
+    out = sharding.interleave(df).groupBy("shard").count().collect()
+    assert sum(r["count"] for r in out) == 6000 and max(r["count"] for r in out) - min(r["count"] for r in out) <= 1
+    mixed = mixing.mix(df).collect()
+    assert len(mixed) == 6000 and sum(r.taken for r in mixed) <= sum(r["size"] for r in mixed) and all(r.source_size == mixed[0].source_size for r in mixed)
+
+
+def test_rows_that_differ_in_other_columns_alone_are_the_first_of_them(spark):
+    rows = [(1, "a b c", "s", x, None, 1) for x in ("x", "y", "z")] + [(2, "d e", "t", "x", None, 1)]
+    out = mixing.mix_rows(spark.createDataFrame(rows, SCHEMA)).collect()
+    taken = sum(r.taken for r in mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert len({r["size"] for r in out if r.doc_id == 1}) == 1 and sum(len(r.text.split()) for r in out) == taken
