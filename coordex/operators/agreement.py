@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from coordex.config import AREAS, AUTO_RATER, BASELINE, COORDINATES_OF_INTEREST, DIMENSIONS, FULL, GROUP, HALF, IQR_LIMIT, MANUAL, PLACEHOLDER, SD_LIMIT, SEMI
 from coordex.functions.geometry import norm
 from coordex.operators.ranks import quantiles, same
+from coordex.written import materialize
 
 PAIRS = ((FULL, SEMI), (FULL, MANUAL), (SEMI, MANUAL))
 PAIR_KEYS = [*GROUP, "Area", "Electrode"]
@@ -123,6 +124,12 @@ def loa_report(pairs: DataFrame, coi: str, by: tuple[str, ...] = (), marked_area
     return out.withColumn("within_percent", F.col("within_n") * 100.0 / F.col("total"))
 
 
+def displayed(summary: DataFrame, by: tuple[str, ...] = (), digits: int = 4) -> DataFrame:
+    """The drawn values as they are shown: n, bias, upper and lower limit, rounded."""
+    shown = {"bias": "centre", "upper": "limit_hi", "lower": "limit_lo"}
+    return summary.select(*by, "n", *[F.round(c, digits).alias(n) for n, c in shown.items()])
+
+
 def report_text(report: DataFrame) -> DataFrame:
     """The report as lines of text."""
     return report.select(F.explode(F.array(
@@ -132,7 +139,8 @@ def report_text(report: DataFrame) -> DataFrame:
 
 def agreement_sequence(df: DataFrame, human: tuple[str, ...], pairs=PAIRS, coi=COORDINATES_OF_INTEREST, chained: bool = True) -> list[tuple[str, str, str, DataFrame]]:
     """(coordinate, method, method, pairs) in order. Chained, each step sees only
-    the (Subject, Session, run) that the step before kept, so keys shrink."""
+    the (Subject, Session, run) that the step before kept, so keys shrink; kept keys are
+    written, so that no step plans the steps before it again."""
     out, kept = [], None
     for c in coi:
         for m1, m2 in pairs:
@@ -144,7 +152,8 @@ def agreement_sequence(df: DataFrame, human: tuple[str, ...], pairs=PAIRS, coi=C
                 rows = rows.join(kept, same, "left_semi")
             found = paired_methods(repeat_baseline(vectors(rows)) if BASELINE in (m1, m2) else vectors(rows), c, m1, m2)
             out.append((c, m1, m2, found))
-            kept = found.select(*[F.col(k).alias(f"_{k}") for k in GROUP]).distinct()
+            if chained:
+                kept = materialize(found.select(*[F.col(k).alias(f"_{k}") for k in GROUP]).distinct(), "kept")
     return out
 
 

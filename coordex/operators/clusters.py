@@ -151,10 +151,15 @@ def extraction_report(checked: DataFrame) -> DataFrame:
     return counts.unpivot([], counts.columns, "counter", "value")
 
 
+def extraction_id_rows(checked: DataFrame) -> DataFrame:
+    """class, image_id: a row for each image of another class than that of four."""
+    return checked.where(F.col("class") != "four_clusters").select("class", "image_id")
+
+
 def extraction_ids(checked: DataFrame) -> DataFrame:
-    """class, ids: the images of each class but that of four, in order."""
-    rows = checked.where(F.col("class") != "four_clusters")
-    return rows.groupBy("class").agg(F.array_join(F.sort_array(F.collect_list(F.col("image_id").cast("string"))), ",").alias("ids"))
+    """class, ids: the images of each class but that of four, in order, as one line of a log
+    a class; ``extraction_id_rows`` has them as rows, for inventories beyond a log."""
+    return extraction_id_rows(checked).groupBy("class").agg(F.array_join(F.sort_array(F.collect_list(F.col("image_id").cast("string"))), ",").alias("ids"))
 
 
 def extract_positions(checked: DataFrame, image_meta: DataFrame) -> DataFrame:

@@ -113,6 +113,11 @@ def bland_altman_by_electrode(spark, d):
 _LIMITED = f"{V.V}, {V.pair_sql('Euclidean_Norm', FULL, SEMI)}, s AS (SELECT {_LOA} FROM pr)"
 
 
+@query("displayed_limits", f"WITH {V.V}, {V.pair_sql('X', FULL, MANUAL)}, s AS (SELECT {_LOA}, {_ROBUST} FROM pr) SELECT n, round(centre, 4) AS bias, round(limit_hi, 4) AS upper, round(limit_lo, 4) AS lower FROM s")
+def displayed_limits(spark, d):
+    return A.displayed(A.bland_altman(_pairs(spark, d, "X", FULL, MANUAL), "X"))
+
+
 @query("loa_outliers", f"WITH {_LIMITED} SELECT Subject, Session, run, Area, Electrode, {sql_rounded('m1', 'm2', 'Difference')} FROM pr, s WHERE NOT (Difference BETWEEN loa_lo AND loa_hi)")
 def loa_outliers(spark, d):
     return rounded(A.outliers(_pairs(spark, d), "Euclidean_Norm"), "m1", "m2", "Difference")
@@ -306,7 +311,7 @@ def size_filter(spark, d):
     return C.filter_clusters(c)
 
 
-_COMPONENTS = f"""vox AS ({V.VOX.format(flag="A")}), n AS (SELECT *, (i * 12 + j) * 8 + k AS id FROM vox),
+_COMPONENTS = f"""vox AS ({V.EVERY_VOX}), n AS (SELECT *, (i * 12 + j) * 8 + k AS id FROM vox),
 edge AS (SELECT a.image_id, a.id AS s, b.id AS t FROM n a JOIN n b ON a.image_id = b.image_id AND abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1),
 walk AS (SELECT image_id, id, id AS root FROM n UNION SELECT w.image_id, e.t, w.root FROM walk w JOIN edge e ON w.image_id = e.image_id AND w.id = e.s),
 lab AS (SELECT image_id, id, dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS label FROM (SELECT image_id, id, min(root) AS root FROM walk GROUP BY ALL)),
@@ -320,7 +325,7 @@ def components(spark, d):
     return s.select("image_id", "label", "size", *[F.round(F.col("com")[c], 6).alias(f"c{c}") for c in "ijk"])
 
 
-_CLASSED = f"""{_COMPONENTS}, img AS (SELECT s_suppkey AS image_id FROM supplier UNION ALL SELECT -1), per AS (SELECT image_id, count(*) AS n FROM kept GROUP BY image_id),
+_CLASSED = f"""{_COMPONENTS}, img AS (SELECT s_suppkey * 4 + f AS image_id FROM supplier, (SELECT unnest([0, 1, 2]) AS f) UNION ALL SELECT -1), per AS (SELECT image_id, count(*) AS n FROM kept GROUP BY image_id),
 far AS (SELECT a.image_id, a.label, bool_and(sqrt((a.ci - b.ci) * (a.ci - b.ci) + (a.cj - b.cj) * (a.cj - b.cj) + (a.ck - b.ck) * (a.ck - b.ck)) BETWEEN 1.5 AND 70) AS ok FROM kept a JOIN kept b ON a.image_id = b.image_id AND a.label <> b.label GROUP BY ALL),
 ch AS (SELECT img.image_id, coalesce(n, 0) AS n, coalesce(n = 4 AND (SELECT bool_or(ok) FROM far WHERE far.image_id = img.image_id), FALSE) AS valid,
   CASE coalesce(n, 0) WHEN 0 THEN 'no_clusters' WHEN 1 THEN 'one_cluster' WHEN 2 THEN 'two_clusters' WHEN 3 THEN 'three_clusters' WHEN 4 THEN 'four_clusters' ELSE 'more_than_four' END AS class FROM img LEFT JOIN per USING (image_id))"""
@@ -341,6 +346,11 @@ def extraction_ids(spark, d):
     return C.extraction_ids(_classed(spark, d))
 
 
+@query("extraction_id_rows", f"WITH RECURSIVE {_CLASSED} SELECT class, image_id FROM ch WHERE class <> 'four_clusters'")
+def extraction_id_rows(spark, d):
+    return C.extraction_id_rows(_classed(spark, d))
+
+
 # ---- statistics
 
 
@@ -422,7 +432,7 @@ def binarise(spark, d):
     return M.binarise(V.read(spark, d, "events").select("event_id", (F.col("value") - 50).alias("v")))
 
 
-@query("busiest_slice", f"WITH v AS ({V.VOX.format(flag='A')}), s AS (SELECT image_id, k, sum(i + j)::DOUBLE AS total FROM v GROUP BY ALL) SELECT image_id, k, total FROM s QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY total DESC, k) = 1")
+@query("busiest_slice", f"WITH v AS ({V.EVERY_VOX}), s AS (SELECT image_id, k, sum(i + j)::DOUBLE AS total FROM v GROUP BY ALL) SELECT image_id, k, total FROM s QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY total DESC, k) = 1")
 def busiest_slice(spark, d):
     return M.busiest_slice(V.voxels(spark, d).withColumn("v", (F.col("i") + F.col("j")).cast("double")))
 
@@ -430,7 +440,7 @@ def busiest_slice(spark, d):
 _SIDES = "SELECT image_id, 'axial' AS plane, 11 - j AS row, i AS col FROM v WHERE k = 3 UNION ALL SELECT image_id, 'sagittal', 7 - k, i FROM v WHERE j = image_id % 4 UNION ALL SELECT image_id, 'coronal', 7 - k, j FROM v WHERE i = image_id % 3"
 
 
-@query("orthogonal_slices", f"WITH v AS ({V.VOX.format(flag='A')}) {_SIDES}")
+@query("orthogonal_slices", f"WITH v AS ({V.EVERY_VOX}) {_SIDES}")
 def orthogonal_slices(spark, d):
     image = F.col("image_id")
     points = V.images(spark, d).select(image, (image % 3).alias("i"), (image % 4).alias("j"), F.lit(3).alias("k"), F.array(*[F.lit(n) for n in (12, 12, 8)]).alias("shape"))
@@ -457,7 +467,7 @@ def in_volume(spark, d):
 
 @query("overlay", f"WITH v AS ({V.VOX.format(flag='A')}), s AS ({V.VOX.format(flag='R')}) SELECT v.image_id, v.i, v.j, v.k, CASE WHEN s.i IS NULL THEN v.k ELSE v.k * 0.5::DOUBLE + 0.5 END AS r, CASE WHEN s.i IS NULL THEN v.k ELSE v.k * 0.5::DOUBLE END AS g, CASE WHEN s.i IS NULL THEN v.k ELSE v.k * 0.5::DOUBLE END AS b FROM v LEFT JOIN s USING (image_id, i, j, k)")
 def overlay(spark, d):
-    return M.overlay(V.voxels(spark, d).withColumn("v", F.col("k").cast("double")), V.voxels(spark, d, "R"))
+    return M.overlay(V.voxels(spark, d, "A").withColumn("v", F.col("k").cast("double")), V.voxels(spark, d, "R"))
 
 
 _AFFINE = ((-1, 0, 0, 90), (0, 1, 0, -126), (0, 0, 1, -72), (0, 0, 0, 1))
@@ -518,16 +528,17 @@ def split_members(spark, d):
 # ---- volumes in new grids
 
 
-def _valued(spark, d, flag="A"):
+def _valued(spark, d, flag=None):
     return V.voxels(spark, d, flag).withColumn("v", (F.col("i") + 2 * F.col("j") + F.col("k")).cast("double"))
 
 
+_EVERY = f"v AS (SELECT *, (i + 2 * j + k)::DOUBLE AS v FROM ({V.EVERY_VOX}))"
 _VALUED = f"v AS (SELECT *, (i + 2 * j + k)::DOUBLE AS v FROM ({V.VOX.format(flag='A')})), m AS (SELECT *, (i + 2 * j + k)::DOUBLE AS v FROM ({V.VOX.format(flag='R')}))"
 _CORNERS = "(SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b), (SELECT unnest([0, 1]) AS c)"
 _WEIGHT = " * ".join(f"CASE {u} WHEN 1 THEN {x} - floor({x}) ELSE 1 - {x} + floor({x}) END" for u, x in zip("abc", "xyz"))
 
 
-@query("resample_affine", f"WITH {_VALUED}, g AS (SELECT image_id, p, q, r, 0.5::DOUBLE * p + 0.25 AS x, 0.5::DOUBLE * q AS y, 0.25::DOUBLE * q + 0.5 * r + 0.5 AS z FROM (SELECT DISTINCT image_id FROM v), (SELECT unnest(range(20)) AS p), (SELECT unnest(range(16)) AS q), (SELECT unnest(range(10)) AS r)), n AS (SELECT image_id, p, q, r, floor(x) + a AS i, floor(y) + b AS j, floor(z) + c AS k, {_WEIGHT} AS w FROM g, {_CORNERS}) SELECT image_id, p::INTEGER AS i, q::INTEGER AS j, r::INTEGER AS k, sum(w * v) AS v FROM n JOIN v USING (image_id, i, j, k) WHERE w > 0 GROUP BY ALL")
+@query("resample_affine", f"WITH {_EVERY}, g AS (SELECT image_id, p, q, r, 0.5::DOUBLE * p + 0.25 AS x, 0.5::DOUBLE * q AS y, 0.25::DOUBLE * q + 0.5 * r + 0.5 AS z FROM (SELECT DISTINCT image_id FROM v), (SELECT unnest(range(20)) AS p), (SELECT unnest(range(16)) AS q), (SELECT unnest(range(10)) AS r)), n AS (SELECT image_id, p, q, r, floor(x) + a AS i, floor(y) + b AS j, floor(z) + c AS k, {_WEIGHT} AS w FROM g, {_CORNERS}) SELECT image_id, p::INTEGER AS i, q::INTEGER AS j, r::INTEGER AS k, sum(w * v) AS v FROM n JOIN v USING (image_id, i, j, k) WHERE w > 0 GROUP BY ALL")
 def resample_affine(spark, d):
     return W.resample(_valued(spark, d), ((0.5, 0, 0, 0.25), (0, 0.5, 0, 0), (0, 0.25, 0.5, 0.5)), (20, 16, 10), block=8)
 
@@ -536,7 +547,7 @@ def _area_sql(c: str, n: int, m: int) -> str:
     return f"(SELECT o AS o{c}, unnest(range(o * {n} // {m}, ((o + 1) * {n} + {m} - 1) // {m})) AS {c}, ((o + 1) * {n} + {m} - 1) // {m} - o * {n} // {m} AS n{c} FROM (SELECT unnest(range({m})) AS o)) side_{c}"
 
 
-@query("resize_area", f"WITH {_VALUED} SELECT image_id, oi::INTEGER AS i, oj::INTEGER AS j, ok::INTEGER AS k, round(sum(v / (ni * nj * nk)), 6) AS v FROM v JOIN {_area_sql('i', 12, 5)} USING (i) JOIN {_area_sql('j', 12, 18)} USING (j) JOIN {_area_sql('k', 8, 3)} USING (k) GROUP BY ALL")
+@query("resize_area", f"WITH {_EVERY} SELECT image_id, oi::INTEGER AS i, oj::INTEGER AS j, ok::INTEGER AS k, round(sum(v / (ni * nj * nk)), 6) AS v FROM v JOIN {_area_sql('i', 12, 5)} USING (i) JOIN {_area_sql('j', 12, 18)} USING (j) JOIN {_area_sql('k', 8, 3)} USING (k) GROUP BY ALL")
 def resize_area(spark, d):
     return rounded(W.resize_area(_valued(spark, d), (12, 12, 8), (5, 18, 3)), "v")
 
@@ -547,7 +558,7 @@ def _level(name: str) -> str:
 
 @query("mutual_information", f"WITH {_VALUED}, f AS (SELECT image_id, level AS la, i + 0.25::DOUBLE AS x, j::DOUBLE AS y, k::DOUBLE AS z FROM {_level('v')}), n AS (SELECT image_id, la, floor(x) + a AS i, floor(y) + b AS j, floor(z) + c AS k, {_WEIGHT} AS w FROM f, {_CORNERS}), h AS (SELECT image_id, la, level AS lb, sum(w) AS w FROM n JOIN {_level('m')} USING (image_id, i, j, k) WHERE w > 0 GROUP BY ALL), e AS (SELECT image_id, 'a' AS o, sum(w) AS w FROM h GROUP BY image_id, la UNION ALL SELECT image_id, 'b', sum(w) FROM h GROUP BY image_id, lb UNION ALL SELECT image_id, 'ab', w FROM h), s AS (SELECT image_id, o, sum(w) AS total, log2(sum(w)) - sum(w * log2(w)) / sum(w) AS entropy FROM e GROUP BY ALL), t AS (SELECT image_id, max(total) AS weight, max(entropy) FILTER (o = 'ab') AS hab, sum(entropy) FILTER (o <> 'ab') AS h FROM s GROUP BY image_id) SELECT image_id, weight, CASE WHEN hab > 1e-12 THEN round(h / hab, 6) END AS nmi FROM t")
 def mutual_information(spark, d):
-    found = W.mutual_information(_valued(spark, d), _valued(spark, d, "R"), ((1, 0, 0, 0.25), (0, 1, 0, 0), (0, 0, 1, 0)), bins=8)
+    found = W.mutual_information(_valued(spark, d, "A"), _valued(spark, d, "R"), ((1, 0, 0, 0.25), (0, 1, 0, 0), (0, 0, 1, 0)), bins=8)
     return rounded(found, "nmi")
 
 
@@ -571,8 +582,10 @@ def anti_skip(spark, d):
 
 @query("semi_exists", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def semi_exists(spark, d):
+    from coordex.sources.inventory import processed
+
     with_r = V.read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return V.read(spark, d, "orders").select("o_orderkey").join(with_r, "o_orderkey", "left_semi")
+    return processed(V.read(spark, d, "orders").select("o_orderkey"), with_r, ["o_orderkey"])
 
 
 @query("pair_volumes_masks", "SELECT a.s_suppkey AS volume_id, a.s_suppkey % 4 + 1 AS session FROM supplier a WHERE a.s_suppkey % 3 <> 0")

@@ -57,17 +57,23 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed({"Subject": "subject", "Session": "session"})
 
 
-def voxels(spark: SparkSession, sf_dir: str, flag: str = "A") -> DataFrame:
-    """All lines of a flag as voxels. Images have sides of 4 to 12, so some are
-    dense (one cluster) and some sparse (many)."""
-    v = read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag)
+def voxels(spark: SparkSession, sf_dir: str, flag: str | None = None) -> DataFrame:
+    """All lines as voxels: an image for each supplier and return flag; with ``flag`` those
+    of one flag, an image a supplier (the pairs of masks). Images have sides of 4 to 12, so
+    some are dense (one cluster) and some sparse (many)."""
+    v = read(spark, sf_dir, "lineitem")
+    image = F.col("l_suppkey")
+    if flag is None:
+        image = image * 4 + F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    else:
+        v = v.where(F.col("l_returnflag") == flag)
     side = 4 + 2 * (F.col("l_suppkey") % 5)
-    return v.select(F.col("l_suppkey").alias("image_id"), (F.col("l_partkey") % side).cast("int").alias("i"), (F.col("l_orderkey") % side).cast("int").alias("j"), F.col("l_linenumber").alias("k")).distinct()
+    return v.select(image.alias("image_id"), (F.col("l_partkey") % side).cast("int").alias("i"), (F.col("l_orderkey") % side).cast("int").alias("j"), F.col("l_linenumber").alias("k")).distinct()
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All suppliers, and one image that has no voxel."""
-    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"))
+    """The images of all suppliers, and one that has no voxel."""
+    s = read(spark, sf_dir, "supplier").select(F.explode(F.array(*[F.col("s_suppkey") * 4 + k for k in range(3)])).alias("image_id"))
     return s.unionByName(spark.createDataFrame([(-1,)], "image_id long"))
 
 
@@ -111,4 +117,7 @@ def pair_sql(coi: str, m1: str, m2: str, name: str = "pr", source: str = "vn") -
 )"""
 
 
-VOX = "SELECT DISTINCT l_suppkey AS image_id, CAST(l_partkey % (4 + 2 * (l_suppkey % 5)) AS INTEGER) AS i, CAST(l_orderkey % (4 + 2 * (l_suppkey % 5)) AS INTEGER) AS j, l_linenumber AS k FROM lineitem WHERE l_returnflag = '{flag}'"
+_CELL = "CAST(l_partkey % (4 + 2 * (l_suppkey % 5)) AS INTEGER) AS i, CAST(l_orderkey % (4 + 2 * (l_suppkey % 5)) AS INTEGER) AS j, l_linenumber AS k FROM lineitem"
+VOX = "SELECT DISTINCT l_suppkey AS image_id, " + _CELL + " WHERE l_returnflag = '{flag}'"
+#: All lines, an image for each supplier and flag.
+EVERY_VOX = "SELECT DISTINCT l_suppkey * 4 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS image_id, " + _CELL

@@ -59,6 +59,11 @@ def to_process(inputs: DataFrame, outputs: DataFrame, keys: list[str], overwrite
     return inputs if overwrite else inputs.join(outputs, keys, "left_anti")
 
 
+def processed(inputs: DataFrame, outputs: DataFrame, keys: list[str]) -> DataFrame:
+    """Inputs that have an output."""
+    return inputs.join(outputs, keys, "left_semi")
+
+
 def coregistration_jobs(files: DataFrame, done: DataFrame, base: str = "base") -> DataFrame:
     """Sessions with a Petra_Pre and a base T1 of their subject, without output yet:
     Petra_Pre is the source, the T1 the reference, and a Petra_Post, if there is one
