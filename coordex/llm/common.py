@@ -3,8 +3,6 @@ intermediate tables, bucketed global ranks and Arrow batch plumbing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,36 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_OWN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only a session on one machine may
-    go without it (tests) and gets a temporary folder; elsewhere that is an error, as
-    executors don't see each other's folders."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError(f"spark.checkpoint.dir is not set; {master} needs a folder that all executors share")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="coordex-"))
-    return "file://" + _OWN[0]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/coordex/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table once to the shared folder and read it back: cuts lineage,
-    survives lost executors, and later readers see the same rows."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+from coordex.written import clear_scratch, materialize, scratch_path, shared_dir  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,10 +111,3 @@ def _lengths(array: pa.Array) -> list[int]:
     import pyarrow.compute as pc
 
     return pc.fill_null(pc.binary_length(array), 0).to_pylist()
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes what this application has written below the shared folder; results
-    that have not been written elsewhere can't be read afterwards."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/coordex/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

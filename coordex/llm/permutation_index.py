@@ -1,15 +1,21 @@
 """Approximate nearest neighbours with a permutation index.
 
-Pivots are a bounded sample of the vectors. Each vector is represented by its
-``PREFIX`` nearest pivots in order, and posted in the inverted files of the first
-``POST`` of them. A query reads the files of its own first ``PROBE`` pivots, and of
-each file the vectors that it has not met in an earlier one. They are ranked by the
-footrule distance of the orders (a pivot that is missing stands at ``PREFIX``), and
-those up to the distance of the ``SHARE`` best of the file, ties included, are
+Pivots are a sample of the vectors, ``PIVOTS`` of them and more where the table is
+large (they grow with the square root of its size, to ``MOST_PIVOTS``). Each vector is
+represented by its ``PREFIX`` nearest pivots in order, and posted in the inverted files
+of the first ``POST`` of them. A query reads the files of its own first ``PROBE`` pivots,
+and of each file the vectors that it has not met in an earlier one. They are ranked by
+the footrule distance of the orders (a pivot that is missing stands at ``PREFIX``), and
+those up to the distance of the best share of the file, ties included, are
 reranked by the exact cosine in double precision. ``exact=True`` is the way without
 loss: each vector stands in the file of its nearest pivot alone, a query reads all
 files and reranks all they hold.
 
+The share is measured on the table itself: for ``PROBES`` sampled vectors the true
+neighbours are found by a scan of all, then which share of its file has to be reranked to
+reach each; the share that reaches ``AIM`` of them, and MARGIN times as much, is taken. It
+falls as the table grows, as neighbours come closer, and is higher where they are hard to tell.
+
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do vectors of another dimension than the most
 frequent one (ties: the smaller); repeated vectors are indexed once and answer
@@ -37,7 +43,9 @@ from pyspark.sql.window import Window
 from .common import materialize, table
 
 PIVOTS, PREFIX, POST, PROBE = 128, 32, 8, 24
+MOST_PIVOTS, MOST_PREFIX, GROWTH = 1024, 64, 0.57
 SHARE, LEAST = 0.35, 64
+PROBES, AIM, MARGIN = 40, 0.96, 1.15
 FILE_BLOCK, QUERY_BLOCK = 8192, 2048
 K = 5
 
@@ -52,9 +60,16 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d", F.size("v")).join(F.broadcast(dims.select("d")), "d", "left_semi").drop("d")  # one row
 
 
-def orders(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+def layout(vectors: int) -> tuple[int, int, int]:
+    """How many pivots, how many of them in an order, how many files a query reads."""
+    pivots = int(min(MOST_PIVOTS, max(PIVOTS, np.ceil(GROWTH * vectors**0.5))))
+    prefix = min(MOST_PREFIX, max(PREFIX, pivots // 4))
+    return pivots, prefix, prefix * PROBE // PREFIX
+
+
+def orders(x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
     """The nearest pivots of each row (unit vectors), nearest first."""
-    n = min(PREFIX, len(pivots))
+    n = min(prefix, len(pivots))
     near = x @ pivots.T
     top = np.argpartition(-near, n - 1, axis=1)[:, :n] if n < len(pivots) else np.tile(np.arange(n), (len(x), 1))
     sub = np.take_along_axis(near, top, 1)
@@ -117,7 +132,7 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy() for c in column.chunks]).reshape(rows, -1)
 
 
-def ordered(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+def ordered(rows: DataFrame, pivots: np.ndarray, prefix: int = PREFIX) -> DataFrame:
     """Adds ``perm``, the nearest pivots in order."""
     schema = rows.schema.simpleString().removeprefix("struct<").removesuffix(">")
     at = rows.columns.index("v")
@@ -127,15 +142,72 @@ def ordered(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
             for i in range(0, b.num_rows, 4096):
                 part = b.slice(i, 4096)
                 x = part.column(at).flatten().to_numpy().reshape(part.num_rows, -1)
-                perms = orders(x / np.linalg.norm(x, axis=1, keepdims=True), pivots).astype(np.int16)
+                perms = orders(x / np.linalg.norm(x, axis=1, keepdims=True), pivots, prefix).astype(np.int16)
                 cuts = pa.array(np.arange(len(x) + 1) * perms.shape[1], pa.int32())
                 yield part.append_column("perm", pa.ListArray.from_arrays(cuts, pa.array(perms.ravel())))
 
     return rows.mapInArrow(named, f"{schema},perm:array<smallint>")
 
 
-def nearest(rows: DataFrame, queries: DataFrame | None = None, k: int = K, share: float = SHARE, exact: bool = False) -> DataFrame:
-    """query_id, rank, vec_id, score. Queries: the rows whose id is divisible by 50."""
+def placed(perms: np.ndarray, order: np.ndarray, pivots: int, post: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the file of the order's in which it is met first, and its footrule distance."""
+    n = perms.shape[1]
+    at = np.full(pivots, n)
+    at[order] = np.arange(n)
+    return at[perms[:, :post]].min(1), n * (n + 1) - 2 * (n - np.maximum(at[perms], np.arange(n))).sum(1)
+
+
+def measured_share(index: DataFrame, pivots: int, probe: int, k: int = K, probes: int = PROBES, aim: float = AIM) -> float:
+    """The share of a file that has to be reranked, from ``probes`` vectors of the index."""
+    asked = index.orderBy(F.xxhash64(F.lit(29), "key"), "v").limit(probes).select("key", "v", "perm").collect()  # ``probes`` rows
+    keys, q, perms = np.array([r.key for r in asked]), np.array([r.v for r in asked]), np.array([r.perm for r in asked])
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+
+    def opened(b: pa.RecordBatch):
+        x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+        return b.column(0).to_numpy(), x / np.linalg.norm(x, axis=1, keepdims=True), b.column(2).flatten().to_numpy().reshape(b.num_rows, -1).astype(np.int64)
+
+    def top(batches):
+        for b in batches:
+            key, x, perm = opened(b)
+            score = q @ x.T
+            score[keys[:, None] == key[None]] = -2
+            best = np.argsort(-score, 1, kind="stable")[:, :k]
+            who = np.repeat(np.arange(len(q)), best.shape[1])
+            cuts = pa.array(np.arange(len(who) + 1) * perm.shape[1], pa.int32())
+            orders_ = pa.ListArray.from_arrays(cuts, pa.array(perm[best.ravel()].ravel().astype(np.int16)))
+            yield pa.record_batch([pa.array(who), pa.array(np.take_along_axis(score, best, 1).ravel()), pa.array(key[best.ravel()]), orders_], ["who", "score", "key", "perm"])
+
+    rank = F.row_number().over(Window.partitionBy("who").orderBy(F.desc("score"), "key"))
+    near = index.select("key", "v", "perm").mapInArrow(top, "who long, score double, key long, perm array<smallint>")
+    near = near.withColumn("r", rank).where((F.col("r") <= k) & (F.col("score") > -2)).orderBy("who", "r").collect()  # k rows a probe
+    if not near:
+        return 1.0
+    goals = [(r.who, *(int(a[0]) for a in placed(np.array([r.perm], np.int64), perms[r.who], pivots, POST))) for r in near]
+
+    def count(batches):
+        below, held = np.zeros(len(goals), np.int64), np.zeros(len(goals), np.int64)
+        for b in batches:
+            key, _, perm = opened(b)
+            for w in range(len(q)):
+                first, d = placed(perm, perms[w], pivots, POST)
+                own = key == keys[w]
+                for g, (who, nth, far) in enumerate(goals):
+                    if who == w:
+                        same = (first == nth) & ~own
+                        held[g] += same.sum()
+                        below[g] += (same & (d <= far)).sum()
+        yield pa.record_batch([pa.array(np.arange(len(goals))), pa.array(below), pa.array(held)], ["goal", "below", "held"])
+
+    sums = index.select("key", "v", "perm").mapInArrow(count, "goal long, below long, held long").groupBy("goal").agg(F.sum("below").alias("below"), F.sum("held").alias("held"))
+    found = {r.goal: r.below / r.held for r in sums.collect()}  # k rows a probe
+    need = sorted(found[g] if nth < probe else 2.0 for g, (_, nth, _) in enumerate(goals))
+    return min(1.0, MARGIN * need[min(len(need) - 1, int(aim * len(need)))])
+
+
+def nearest(rows: DataFrame, queries: DataFrame | None = None, k: int = K, share: float | None = None, exact: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score. Queries: the rows whose id is divisible by 50.
+    share: of each file that is reranked; by default as measured."""
     spark = rows.sparkSession
     rows = materialize(usable(rows).withColumn("key", F.xxhash64("v")), "ann-rows")
     if rows.groupBy("id").count().where("count > 1").limit(1).count():
@@ -145,7 +217,8 @@ def nearest(rows: DataFrame, queries: DataFrame | None = None, k: int = K, share
     folded = rows.withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1).groupBy("key", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     folded = materialize(folded, "ann-vectors")
     schema = "query_id long, rank int, vec_id long, score double"
-    chosen = [r.v for r in folded.orderBy(F.xxhash64(F.lit(17), "key"), "v").limit(PIVOTS).collect()]  # PIVOTS rows
+    most_pivots, prefix, probe = layout(folded.count())
+    chosen = [r.v for r in folded.orderBy(F.xxhash64(F.lit(17), "key"), "v").limit(most_pivots).collect()]  # at most MOST_PIVOTS rows
     if not chosen:
         return spark.createDataFrame([], schema)
     pivots = np.array(chosen)
@@ -154,14 +227,14 @@ def nearest(rows: DataFrame, queries: DataFrame | None = None, k: int = K, share
     asked = rows.where("id % 50 = 0") if queries is None else usable(queries).withColumn("key", F.xxhash64("v"))
     asked = materialize(asked.select(F.col("id").alias("query_id"), "key", "v").distinct(), "ann-queries")
     vectors = asked.select("key", "v").distinct().withColumn("qid", F.monotonically_increasing_id())
-    index, vectors = (materialize(ordered(t, pivots), name) for t, name in ((folded, "ann-index"), (vectors, "ann-query-vectors")))
+    index, vectors = (materialize(ordered(t, pivots, prefix), name) for t, name in ((folded, "ann-index"), (vectors, "ann-query-vectors")))
     post = 1 if exact else POST
     posted = index.select("key", "ids", "v", "perm", F.explode(F.slice("perm", 1, post)).alias("pivot")).withColumn("pivot", F.col("pivot").cast("int"))
-    read = F.sequence(F.lit(0), F.lit(n - 1)) if exact else F.slice("perm", 1, PROBE)
+    read = F.sequence(F.lit(0), F.lit(n - 1)) if exact else F.slice("perm", 1, probe)
     probed = vectors.select("qid", "v", "perm", F.posexplode(read).alias("nth", "pivot")).withColumn("pivot", F.col("pivot").cast("int"))
 
     def parts(t: DataFrame, block: int) -> Column:
-        """How many blocks the rows of each pivot are dealt over: PIVOTS numbers."""
+        """How many blocks the rows of each pivot are dealt over: a number a pivot."""
         count = {r.pivot: r["count"] for r in t.groupBy("pivot").count().collect()}
         return F.element_at(F.array(*[F.lit(max(1, -(-count.get(p, 0) // block))) for p in range(n)]), F.col("pivot") + 1)
 
@@ -170,7 +243,7 @@ def nearest(rows: DataFrame, queries: DataFrame | None = None, k: int = K, share
     every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
     posted = posted.select("ids", "v", "perm", "pivot", spread("key", blocks).alias("ib"), every(qblocks).alias("qb"))
     probed = probed.select("qid", "v", "perm", "nth", "pivot", spread("qid", qblocks).alias("qb"), every(blocks).alias("ib"))
-    most = 1.0 if exact else share
+    most = 1.0 if exact else measured_share(index, n, probe, k) if share is None else share
 
     def search(block: pa.Table, probe: pa.Table) -> pa.Table:
         kinds = pa.schema([("qid", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])

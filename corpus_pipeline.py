@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from coordex.llm import jaccard_join, language_id, mixing, packing, secrets_scan
 from coordex.llm.common import materialize, table
+from coordex.written import scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the whole documents table. What a stage wrote on its way, and the
+    table before it, go as soon as its own table stands."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as written:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            own = written.pop()
+            written += [before] if before else []
+            before = own
     return STAGES[-1][1](spark, docs, sf_dir)

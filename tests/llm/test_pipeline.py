@@ -1,4 +1,5 @@
 import importlib
+import re
 
 import pytest
 
@@ -48,13 +49,49 @@ def test_redaction(stages):
     assert all(r.n_chars == len(r.text) for r in after)
 
 
-def test_mix_repeats_rows(spark, stages):
+def test_redaction_changes_secrets_alone(spark):
+    """By the base patterns of the tests: all are gone, and what lies between the marks is the old text."""
+    from tests.llm.test_secrets_packing import base
+
+    docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
+    before, after = docs.collect(), pipeline.STAGES[2][1](spark, docs, DATA).collect()
+    old, some = {r.doc_id: r.text for r in before}, 0
+    for r in after:
+        text = old[r.doc_id]
+        some += bool(base(text))
+        assert not base(r.text)
+        at = 0
+        for part in re.split(r"\[(?:assign|access|hex|id|key|endpoint)\]", r.text):
+            at = text.index(part, at) + len(part)
+        assert base(text) or r.text == text or re.search(r"\[(?:id|key|endpoint)\]", r.text)
+    assert some
+
+
+def test_mix_repeats_rows(stages):
+    """Against the SQL of the mix, over the rows that the stage got."""
+    import duckdb
+    import pandas as pd
+
     before, after, *_ = stages[3]
     copies = {}
     for r in after:
         copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
-    want = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(before)).collect() if r.copies}
-    assert copies == want
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(r.doc_id, r.text, r.source) for r in before], columns=["doc_id", "text", "source"]))
+    want = con.sql(f"select doc_id, copies from ({mixing.ORACLE}) where copies > 0").fetchall()
+    assert copies == dict(want)
+
+
+def test_a_run_leaves_its_last_table_alone(spark):
+    from pathlib import Path
+
+    from coordex.written import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "coordex" / spark.sparkContext.applicationId
+    before = set(folder.iterdir()) if folder.exists() else set()
+    out = pipeline.run(spark, DATA)
+    left = {p.name.rpartition("-")[0] for p in set(folder.iterdir()) - before}
+    assert out.count() > 0 and not left & {"pipeline-language", "pipeline-near_duplicates", "pipeline-secrets", "join-profiles", "paths"} and "pipeline-mixing" in left
 
 
 def test_pieces_tile_documents(stages):
