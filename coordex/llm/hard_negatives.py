@@ -226,6 +226,12 @@ def _negatives_of(k: int):
     return fn
 
 
+def _between(blocks: DataFrame, low: Column, high: Column) -> DataFrame:
+    """blocks: a -> a, b for every b from low to high, by thousands first, so that no row lists them all."""
+    thousands = blocks.select("a", low.alias("_low"), high.alias("_high")).withColumn("_k", F.explode(F.sequence(F.expr("_low div 1024"), F.expr("_high div 1024"))))
+    return thousands.select("a", F.explode(F.sequence(F.greatest(F.col("_low"), F.col("_k") * 1024), F.least(F.col("_high"), F.col("_k") * 1024 + 1023))).alias("b"))
+
+
 def _tiles(anchors: DataFrame, rows: DataFrame, cells: DataFrame) -> DataFrame:
     """Partial tiles of the cells (a, b), those of one pair of blocks in one task, by a and b."""
     left = anchors.withColumnRenamed("block", "a").join(cells, "a").groupBy("a", "b", "chunk")
@@ -248,7 +254,7 @@ def mine(
     # Labels lie together, so an anchor block meets its own labels in a range of row blocks.
     spans = able.groupBy("label").agg(F.expr(f"min(place) div {rows}").alias("b0"), F.expr(f"max(place) div {rows}").alias("b1"))
     spans = asked.select("block", "label").distinct().join(spans, "label").groupBy(F.col("block").alias("a")).agg(F.min("b0").alias("b0"), F.max("b1").alias("b1"))
-    cells = materialize(spans.select("a", F.explode(F.sequence("b0", "b1")).alias("b")), "negatives-cells")
+    cells = materialize(_between(spans, F.col("b0"), F.col("b1")), "negatives-cells")
     found = _tiles(panels(asked.withColumn("wins", no_wins), chunk), row_panels, cells).mapInArrow(_positives_of(positives), "place long, positive_id long, score long")
     best = Window.partitionBy("place").orderBy(F.desc("score"), "positive_id")
     wins = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= positives)
@@ -256,7 +262,7 @@ def mine(
     able_anchors = materialize(asked.join(wins, "place"), "negatives-asked")
 
     last = -(-able.count() // rows) - 1
-    cells = able_anchors.select(F.col("block").alias("a")).distinct().select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(last, 0)).cast("long"))).alias("b"))
+    cells = _between(able_anchors.select(F.col("block").alias("a")).distinct(), F.lit(0).cast("long"), F.lit(max(last, 0)).cast("long"))
     kinds = "place long, anchor_id long, times long, nth long, positive_id long, positive_score long, negative_id long, negative_score long"
     found = _tiles(panels(able_anchors, chunk), row_panels, materialize(cells, "negatives-cells")).mapInArrow(_negatives_of(negatives), kinds)
     best = Window.partitionBy("place", "nth").orderBy(F.desc("negative_score"), "negative_id")

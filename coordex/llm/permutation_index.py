@@ -44,7 +44,7 @@ from .common import materialize, table
 
 PIVOTS, PREFIX, POST, PROBE = 128, 32, 8, 24
 MOST_PIVOTS, MOST_PREFIX, GROWTH = 1024, 64, 0.57
-SHARE, LEAST = 0.35, 64
+LEAST = 64
 PROBES, AIM, MARGIN = 40, 0.96, 1.15
 FILE_BLOCK, QUERY_BLOCK = 8192, 2048
 K = 5

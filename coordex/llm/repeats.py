@@ -21,9 +21,12 @@ occurrence, as long as they overlap. Joined occurrences with the same leader and
 length are a group of equal strings (``repeat_occurrences``, ``maximal_repeats``),
 and what they cover, leaders apart, is removed (``remove_repeats``).
 
-Limits of the groups: inside a long repeat whose middle also occurs in an earlier
-document the leader changes, so the long repeat comes in parts, each whole for
-its leader. The bytes removed do not depend on that.
+Limits of the groups: where a part of a long repeat also occurs in an earlier
+document the leader changes. The long repeat then comes in parts, these may be cut at
+the borders of runs and so be no maximal repeats, and of the shorter repeat's occurrences
+those are missing that lost the lead in the longer one. The groups are whole where a
+repeat has the same occurrences over all its length; the bytes removed are right in
+every case, and they are what the query returns.
 
 Defined results: a null or empty text has no bytes; matches never cross
 documents; where doc_id repeats, rows are ordered as they were read; null doc_ids
@@ -543,8 +546,8 @@ def repeat_occurrences(docs: DataFrame) -> DataFrame:
 
 def maximal_repeats(docs: DataFrame) -> DataFrame:
     """length, occurrences (doc_id, start), the leader's own first: a row a group
-    (one string and all places where it occurs, those in longer repeats of the same
-    leader included). ``repeat_occurrences`` gives the same as narrow rows, where
+    (one string and the places where it occurs, those in longer repeats of the same
+    leader included; see the limits above for what is not). ``repeat_occurrences`` gives the same as narrow rows, where
     a group may be too large for one row."""
     rows = materialize(repeat_occurrences(docs), "repeat-occurrences").withColumn("lead", F.coalesce("lead_doc", F.lit(NULL_ID)))
     groups = rows.select("lead", "lead_start", "length").distinct()

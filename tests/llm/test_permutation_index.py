@@ -5,6 +5,7 @@ import numpy as np
 
 from coordex.llm import permutation_index as P
 
+SHARE = 0.35
 SCHEMA = "vec_id long, embedding array<float>, label int, score double, rank int"
 
 
@@ -114,8 +115,8 @@ def test_recall_and_work_on_uniform_and_clustered_vectors():
                 found = {}
                 for nth, p in enumerate(perms[i, : P.PROBE]):
                     f = files[p]
-                    work += (~np.isin(perms[f, : P.POST], perms[i, :nth]).any(1)).sum() * P.SHARE
-                    got_ = P.search_file([[j] for j in f.tolist()], x[f], perms[f], x[[i]], perms[[i]], [nth], P.PIVOTS, 5, P.SHARE, P.POST)[0]
+                    work += (~np.isin(perms[f, : P.POST], perms[i, :nth]).any(1)).sum() * SHARE
+                    got_ = P.search_file([[j] for j in f.tolist()], x[f], perms[f], x[[i]], perms[[i]], [nth], P.PIVOTS, 5, SHARE, P.POST)[0]
                     found.update(got_)
                 found.pop(i, None)
                 hits += len({j for j, _ in sorted(found.items(), key=lambda h: (-h[1], h[0]))[:5]} & set(true.tolist()))
@@ -137,3 +138,27 @@ def test_exact_way(spark, monkeypatch):
     want = brute(f32)
     mine = got(df)
     assert sum(len({j for j, _ in mine[q]} & {j for j, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_measured_share_falls_with_size_and_keeps_recall(spark):
+    from pyspark.sql import functions as F
+
+    rng, shares = np.random.default_rng(4), []
+    for n in (2500, 20_000):
+        x = rng.normal(size=(n, 64))
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<double>").withColumn("key", F.xxhash64("v"))
+        pivots, prefix, probe = P.layout(n)
+        index = P.ordered(df, u[rng.choice(n, pivots, replace=False)], prefix).cache()
+        shares.append(P.measured_share(index, pivots, probe))
+        index.unpersist()
+    assert 0 < shares[1] < shares[0] <= 1
+    asked = spark.createDataFrame([(50 * i, x[50 * i].tolist()) for i in range(60)], "vec_id long, embedding array<double>")
+    found = P.nearest(df.select(F.col("id").alias("vec_id"), F.col("v").alias("embedding")), asked).collect()
+    want = cosines(x, np.arange(60) * 50)
+    assert sum(r.vec_id in set(want[r.query_id // 50].tolist()) for r in found) >= 0.9 * 300
+
+
+def test_layout_grows_with_the_root():
+    assert P.layout(10) == P.layout(40_000) == (P.PIVOTS, P.PREFIX, P.PROBE)
+    assert P.layout(160_000)[0] == 228 and P.layout(10**12) == (P.MOST_PIVOTS, P.MOST_PREFIX, 48)
