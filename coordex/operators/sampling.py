@@ -18,7 +18,7 @@ def split_dataset(items: DataFrame, key: str, n_validation: int, n_test: int, se
     head = items.select(key).distinct().orderBy(h, key).limit(n_validation + n_test)
     place = F.row_number().over(Window.orderBy(h, key))  # n_validation + n_test rows
     head = head.withColumn("_place", place)
-    out = items.join(F.broadcast(head), key, "left")
+    out = items.join(head, key, "left")
     subset = F.when(F.col("_place") <= n_validation, "validation").when(F.col("_place").isNotNull(), "test").otherwise("train")
     return out.withColumn("subset", subset).drop("_place")
 
