@@ -17,21 +17,27 @@ is found one place to the left.
 
 A run is shorter than many repeats, so the occurrences come back to their batch
 and are joined there: neighbours that point to one leader at one distance are one
-occurrence, as long as they overlap. Joined occurrences with the same leader and
-length are a group of equal strings (``repeat_occurrences``, ``maximal_repeats``),
-and what they cover, leaders apart, is removed (``remove_repeats``).
-
-Limits of the groups: where a part of a long repeat also occurs in an earlier
-document the leader changes. The long repeat then comes in parts, these may be cut at
-the borders of runs and so be no maximal repeats, and of the shorter repeat's occurrences
-those are missing that lost the lead in the longer one. The groups are whole where a
-repeat has the same occurrences over all its length; the bytes removed are right in
-every case, and they are what the query returns.
+occurrence, as long as they overlap. What they cover is removed (``remove_repeats``).
+
+Whole groups of maximal repeats (``repeat_occurrences``, ``maximal_repeats``) need every
+occurrence of an interval, not its leader alone, and a passage in a third of all documents
+would bring them all to one suffix array. So they are put together from classes of equal
+windows (128-bit hashes of the windows of shared anchors), counted with map-side combination. A
+class whose windows have different bytes before or after them ends a unit: a stretch that
+is the same wherever one of its windows occurs. A maximal repeat is a row of whole units,
+as the left and right tests of the interval tree hold at units' edges alone. Rows of
+units grow from 1 to 2-3, 4-7 ... units a round, as long as they occur more than once
+and differ to their left; those that also differ to their right are the groups. The
+rounds are the logarithm of the most units in one repeat, and a round makes at most twice as many
+rows as it has proved. The groups of many near copies are as many as the pairs of places
+where the copies part, which no method that lists them avoids; the query asks for the
+bytes removed only.
 
 Defined results: a null or empty text has no bytes; matches never cross
 documents; where doc_id repeats, rows are ordered as they were read; null doc_ids
 come first; a text of any length is handled in one batch of its own; an empty
-table gives an empty table; extra columns are ignored.
+table gives an empty table; extra columns are ignored. In groups every row's occurrences
+count, also those of rows with one doc_id; a text's begin and end differ from all else.
 
 Scale: the batches are written once and dealt out once, as Zstandard frames of
 about ``BATCH`` bytes; anchors are 8 bytes each and unique within a batch, runs
@@ -43,8 +49,10 @@ with the input; nothing but its size is sent to the driver.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +60,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, salted_join, table
 
 LENGTH, GRAM = 100, 32
 BATCH = 2 << 20
@@ -479,12 +487,12 @@ def joined(marks: np.ndarray, starts: np.ndarray, ids: list) -> np.ndarray:
     return out
 
 
-CUT = "doc_id long, n_bytes long, n_removed long, spans array<long>, kept binary, found array<long>"
+CUT = "doc_id long, n_bytes long, n_removed long, spans array<long>, kept binary"
 
 
 def _removed(batch: pa.Table, marks: pa.Table) -> pa.Table:
     numbers = pa.list_(pa.int64())
-    kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", numbers), ("kept", pa.binary()), ("found", numbers)])
+    kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", numbers), ("kept", pa.binary())])
     if not batch.num_rows:
         return kinds.empty_table()
     data, starts, lengths, ids = _opened(batch.to_pylist()[0])
@@ -497,28 +505,33 @@ def _removed(batch: pa.Table, marks: pa.Table) -> pa.Table:
     gone = np.cumsum(cover[:-1]) > 0
     total = np.concatenate([[0], np.cumsum(gone)])
     array = np.frombuffer(data, np.uint8)
-    found = found[np.argsort(found["at"], kind="stable")]
-    first = np.searchsorted(found["at"], np.concatenate([starts, [len(data)]])).tolist()
     rows = []
-    for i, (doc_id, s, n) in enumerate(zip(ids, starts.tolist(), lengths.tolist())):
+    for doc_id, s, n in zip(ids, starts.tolist(), lengths.tolist()):
         k = int(total[s + n] - total[s])
         if not k:
-            rows.append((doc_id, n, 0, [], data[s : s + n], []))
+            rows.append((doc_id, n, 0, [], data[s : s + n]))
             continue
         own = gone[s : s + n]
         edges = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
-        mine = found[first[i] : first[i + 1]]
-        rows.append((doc_id, n, k, edges.tolist(), array[s : s + n][~own].tobytes(), np.stack([mine["at"] - s, mine["n"], mine["doc"], mine["pos"]], 1).ravel().tolist()))
+        rows.append((doc_id, n, k, edges.tolist(), array[s : s + n][~own].tobytes()))
     return _table(rows, kinds)
 
 
-def _cut(docs: DataFrame) -> DataFrame:
-    """A row per document, as remove_repeats, with ``found``: start, length,
-    leader's doc_id and leader's start of each occurrence, one after the other."""
-    batches = batches_of(docs)
-    total = batches.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+def _shared_anchors(batches: DataFrame, total: int) -> DataFrame:
+    """batch_id, hashes, hot: of each batch the anchors that occur elsewhere, written."""
     anchors = batches.mapInArrow(_anchors_by(max(1, -(-total // (32 << 20)))), "place int, batch_id long, several int, hashes binary")
-    shared = materialize(anchors.groupBy("place").applyInArrow(_shared_by(HOT), "batch_id long, hashes binary, hot int"), "repeat-anchors")
+    return materialize(anchors.groupBy("place").applyInArrow(_shared_by(HOT), "batch_id long, hashes binary, hot int"), "repeat-anchors")
+
+
+def _bytes_of(batches: DataFrame) -> int:
+    return batches.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans (start, end, start, end ... of what goes), kept (bytes)."""
+    batches = batches_of(docs)
+    total = _bytes_of(batches)
+    shared = _shared_anchors(batches, total)
     places = max(1, -(-total // (4 << 20)))
     # The batches are dealt out once: both joins below read the same exchange.
     dealt = batches.groupBy("batch_id")
@@ -531,32 +544,159 @@ def _cut(docs: DataFrame) -> DataFrame:
     return dealt.cogroup(marks.groupBy("batch_id")).applyInArrow(_removed, CUT)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (start, end, start, end ... of what goes), kept (bytes)."""
-    return _cut(docs).drop("found")
+# ---- groups of maximal repeats
+
+
+def window_hashes(data: np.ndarray, base: int, length: int = LENGTH) -> np.ndarray:
+    """A 64-bit hash of the ``length`` bytes from each place on, put together from
+    hashes of powers of two of bytes."""
+    h, step, out, have = SUBST[data] * np.uint64(base), 1, None, 0
+    while True:
+        if length & step:
+            m = max(0, len(data) - have - step + 1)
+            out = h[:m] if out is None else out[:m] * np.uint64(pow(base, step, 1 << 64)) + h[have : have + m]
+            have += step
+        if have == length:
+            out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            return (out ^ (out >> np.uint64(32))).view(np.int64)
+        h = h[:-step] * np.uint64(pow(base, step, 1 << 64)) + h[step:]
+        step *= 2
+
+
+BASES = (BASE, 0xD6E8FEB86659FD93)
+CLASSES = pa.schema([("batch_id", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("n", pa.int64()), *[(x, pa.int32()) for x in ("l0", "l1", "r0", "r1")]])
+REGIONS = pa.schema([("batch_id", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("units", pa.list_(pa.binary()))])
+
+
+def _windows(batch: pa.Table, replies: pa.Table) -> pa.Table:
+    """The different windows of a batch under anchors that occur elsewhere: how many, and
+    the least and largest byte before and after them (-1 and 256 at a text's begin and end)."""
+    if not batch.num_rows or not replies.num_rows:
+        return CLASSES.empty_table()
+    row = batch.to_pylist()[0]
+    data, starts, lengths, _ = _opened(row)
+    array = np.frombuffer(data, np.uint8)
+    hashes, at, n = runs(array, starts, lengths)
+    pick = np.isin(hashes, np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in replies.column("hashes")]))
+    at, n = at[pick], n[pick]
+    where = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    doc = np.searchsorted(starts, where, "right") - 1
+    begins, ends = where == starts[doc], where + LENGTH == starts[doc] + lengths[doc]
+    left, right = array[np.maximum(where - 1, 0)].astype(np.int32), array[np.minimum(where + LENGTH, len(array) - 1)].astype(np.int32)
+    h, g = (window_hashes(array, b)[where] for b in BASES)
+    order = np.lexsort((g, h))
+    h, g, left, right, begins, ends = (x[order] for x in (h, g, left, right, begins, ends))
+    cuts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
+    columns = [np.full(len(cuts), row["batch_id"]), h[cuts], g[cuts], np.diff(np.concatenate([cuts, [len(h)]]))]
+    for x, edge in ((left, begins), (right, ends)):
+        columns += [np.minimum.reduceat(np.where(edge, -1, x), cuts), np.maximum.reduceat(np.where(edge, 256, x), cuts)]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, CLASSES.types)], schema=CLASSES)
+
+
+def _units(batch: pa.Table, classes: pa.Table) -> pa.Table:
+    """Stretches of repeated windows of a batch, a row each, with their units."""
+    if not batch.num_rows or not classes.num_rows:
+        return REGIONS.empty_table()
+    row = batch.to_pylist()[0]
+    data, starts, lengths, ids = _opened(row)
+    array = np.frombuffer(data, np.uint8)
+    h, g = (window_hashes(array, b) for b in BASES)
+    ch, cg = classes.column("h").to_numpy(), classes.column("g").to_numpy()
+    where = np.flatnonzero(np.isin(h, ch))
+    doc = np.searchsorted(starts, where, "right") - 1
+    inside = where + LENGTH <= starts[doc] + lengths[doc]
+    where, doc = where[inside], doc[inside]
+    # Classes and windows in one order: a class comes before its windows.
+    order = np.lexsort((np.repeat([0, 1], [len(ch), len(where)]), np.concatenate([cg, g[where]]), np.concatenate([ch, h[where]])))
+    of = np.maximum.accumulate(np.where(order < len(ch), np.arange(len(order)), -1))
+    mine = np.flatnonzero(order >= len(ch))
+    k, w = order[of[mine]], order[mine] - len(ch)
+    same = (of[mine] >= 0) & (ch[k] == h[where[w]]) & (cg[k] == g[where[w]])
+    back = np.argsort(w[same])
+    k, w = k[same][back], w[same][back]
+    where, doc = where[w], doc[w]
+    left, right = classes.column("left").to_numpy()[k].astype(bool), classes.column("right").to_numpy()[k].astype(bool)
+    region = np.concatenate([[True], where[1:] != where[:-1] + 1])[: len(where)]
+    first = np.flatnonzero(region | left | np.concatenate([[True], right[:-1]])[: len(where)])
+    s, e = where[first], where[np.concatenate([first[1:], [len(where)]])[: len(first)] - 1] + LENGTH
+    cuts = np.flatnonzero(region[first]).tolist()
+    rows = []
+    for i, j in zip(cuts, [*cuts[1:], len(first)]):
+        d = int(doc[first[i]])
+        units = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(s[i:j].tolist(), e[i:j].tolist())]
+        rows.append((row["batch_id"], int(s[i]), ids[d], (s[i:j] - starts[d]).tolist(), (e[i:j] - starts[d]).tolist(), units))
+    return _table(rows, REGIONS)
+
+
+GROWN = pa.schema([("node", pa.binary()), ("batch_id", pa.int64()), ("at", pa.int64()), ("i", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("more", pa.bool_()), ("before", pa.int64()), ("after", pa.int64())])
+GROWN_DDL = "node binary, batch_id long, at long, i int, doc_id long, start long, length long, more boolean, before long, after long"
+
+
+def _grown(least: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``least`` to ``most`` units from each living begin of each stretch; a row's
+    node is a digest of its units, ``before`` and ``after`` are the units beside it."""
+    brief = lambda unit: int.from_bytes(unit[:8], "little", signed=True)
+    out: list[tuple] = []
+    for b in batches:
+        for r in b.to_pylist():
+            starts, ends, units = r["starts"], r["ends"], r["units"]
+            for x in r["living"] if least > 1 else [{"i": i, "node": b""} for i in range(len(units))]:
+                i, node = x["i"], x["node"]
+                before = brief(units[i - 1]) if i else None
+                for j in range(i + least - 1, min(i + most, len(units))):
+                    node = hashlib.blake2b(node + units[j], digest_size=16).digest()
+                    after = brief(units[j + 1]) if j + 1 < len(units) else None
+                    out.append((node, r["batch_id"], r["at"], i, r["doc_id"], starts[i], ends[j] - starts[i], j == i + most - 1 and after is not None, before, after))
+                if len(out) > 20_000:
+                    yield from _table(out, GROWN).to_batches()
+                    out = []
+    if out:
+        yield from _table(out, GROWN).to_batches()
+
+
+def _stretches(docs: DataFrame) -> DataFrame:
+    batches = batches_of(docs)
+    shared = _shared_anchors(batches, _bytes_of(batches))
+    dealt = batches.groupBy("batch_id")
+    windows = materialize(dealt.cogroup(shared.groupBy("batch_id")).applyInArrow(_windows, "batch_id long, h long, g long, n long, l0 int, l1 int, r0 int, r1 int"), "repeat-windows")
+    found = windows.groupBy("h", "g").agg(F.sum("n").alias("n"), F.min("l0").alias("l0"), F.max("l1").alias("l1"), F.min("r0").alias("r0"), F.max("r1").alias("r1"))
+    repeated = found.where("n > 1").select("h", "g", F.expr("int(l0 <> l1)").alias("left"), F.expr("int(r0 <> r1)").alias("right"))
+    told = salted_join(windows.select("batch_id", "h", "g"), repeated, ["h", "g"], F.col("batch_id")).where("left is not null")
+    units = dealt.cogroup(told.select("batch_id", "h", "g", "left", "right").groupBy("batch_id"))
+    return materialize(units.applyInArrow(_units, "batch_id long, at long, doc_id long, starts array<long>, ends array<long>, units array<binary>"), "repeat-stretches")
 
 
 def repeat_occurrences(docs: DataFrame) -> DataFrame:
-    """lead_doc, lead_start, length, doc_id, start: each occurrence of each group
-    but its leader's own, a row each."""
-    rows = _cut(docs).where(F.size("found") > 0).select("doc_id", "found", F.explode(F.sequence(F.lit(0), F.size("found") - 1, F.lit(4))).alias("k"))
-    at = lambda i: F.element_at("found", (F.col("k") + i + 1).cast("int"))
-    return rows.select(F.when(at(2) != NULL_ID, at(2)).alias("lead_doc"), at(3).alias("lead_start"), at(1).alias("length"), "doc_id", at(0).alias("start"))
+    """node (binary, the same for equal strings), length, doc_id, start: every occurrence of
+    every maximal repeat of LENGTH bytes or more, a row each."""
+    stretches = _stretches(docs)
+    least = most = 1
+    rows, out = stretches, []
+    while True:
+        grown = materialize(rows.mapInArrow(partial(_grown, least, most), GROWN_DDL), "repeat-grown")
+        sides = [f(x).alias(f"{x}_{f.__name__}") for x in ("before", "after") for f in (F.min, F.max, F.count)]
+        nodes = grown.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *sides)
+        differ = lambda x: F.expr(f"{x}_count < n or {x}_min <> {x}_max")
+        nodes = nodes.where((F.col("n") > 1) & differ("before")).select("node", F.coalesce(differ("after"), F.lit(True)).alias("whole"))
+        kept = materialize(salted_join(grown, nodes, ["node"], F.xxhash64("batch_id", "at", "i")).where("whole is not null"), "repeat-kept")
+        out.append(kept.where("whole").select("node", "length", "doc_id", "start"))
+        living = kept.where("more")
+        if not living.limit(1).count():
+            break
+        living = living.groupBy("batch_id", "at").agg(F.collect_list(F.struct("i", "node")).alias("living"))
+        rows, least, most = stretches.join(living, ["batch_id", "at"]), most + 1, 2 * most + 1
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    return every
 
 
 def maximal_repeats(docs: DataFrame) -> DataFrame:
-    """length, occurrences (doc_id, start), the leader's own first: a row a group
-    (one string and the places where it occurs, those in longer repeats of the same
-    leader included; see the limits above for what is not). ``repeat_occurrences`` gives the same as narrow rows, where
-    a group may be too large for one row."""
-    rows = materialize(repeat_occurrences(docs), "repeat-occurrences").withColumn("lead", F.coalesce("lead_doc", F.lit(NULL_ID)))
-    groups = rows.select("lead", "lead_start", "length").distinct()
-    longer = rows.select("lead", "lead_doc", F.col("lead_start").alias("s"), F.col("length").alias("n"), "doc_id", "start")
-    inside = (F.col("s") <= F.col("lead_start")) & (F.col("s") + F.col("n") >= F.col("lead_start") + F.col("length"))
-    every = groups.join(longer, "lead").where(inside).withColumn("start", F.col("start") + F.col("lead_start") - F.col("s"))
-    hits = F.sort_array(F.collect_set(F.struct("doc_id", "start")))
-    lead = F.array(F.struct(F.first("lead_doc").alias("doc_id"), F.col("lead_start").alias("start")))
-    return every.groupBy("lead", "lead_start", "length").agg(F.concat(lead, hits).alias("occurrences")).select("length", "occurrences")
+    """length, occurrences (doc_id, start; in order, the first leads): a row a group, one
+    string and all places where it occurs. ``repeat_occurrences`` gives the same as narrow
+    rows, where a group may be too large for one row."""
+    groups = repeat_occurrences(docs).groupBy("node", "length").agg(F.sort_array(F.collect_list(F.struct("doc_id", "start"))).alias("occurrences"))
+    return groups.select("length", "occurrences")
 
 
 def op5_repeats(spark, sf_dir):

@@ -95,6 +95,67 @@ def test_groups_are_diverse_to_the_left_and_right(spark):
     assert groups(spark.createDataFrame(rows, SCHEMA)) == {(260, ((1, 1), (2, 1))), (400, ((2, 262), (3, 1), (4, 1)))}
 
 
+def test_a_part_with_an_earlier_leader(spark, monkeypatch):
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = say(1000)
+    rows = [(0, say(36) + "#" + passage[300:600] + "#" + say(50), None, None), (1, "1" + passage + "1", None, None), (2, say(20) + "2" + passage + "2", None, None)]
+    want = {(1000, ((1, 1), (2, 21))), (300, ((0, 37), (1, 301), (2, 321)))}
+    for batch in (R.BATCH, 1100):
+        monkeypatch.setattr(R, "BATCH", batch)
+        assert groups(spark.createDataFrame(rows, SCHEMA).coalesce(1)) == want
+
+
+def brute_groups(rows, length=R.LENGTH):
+    """All substrings that occur more than once and differ to both sides."""
+    places = {}
+    texts = [(doc_id, (text or "").encode()) for doc_id, text, *_ in rows]
+    for d, (_, b) in enumerate(texts):
+        for i in range(len(b)):
+            for j in range(i + length, len(b) + 1):
+                places.setdefault(b[i:j], []).append((d, i))
+    out = set()
+    for w, at in places.items():
+        before = {texts[d][1][i - 1] if i else (d, "begin") for d, i in at}
+        after = {texts[d][1][i + len(w)] if i + len(w) < len(texts[d][1]) else (d, "end") for d, i in at}
+        if len(at) > 1 and len(before) > 1 and len(after) > 1:
+            out.add((len(w), tuple(sorted(((texts[d][0], i) for d, i in at), key=lambda x: (x[0] is not None, x)))))
+    return out
+
+
+def test_groups_match_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    say = lambda n: "".join(rng.choice("abé ") for _ in range(n))
+    passages = [say(rng.randint(90, 170)) for _ in range(4)]
+    passages += [passages[0][:60] + passages[1][20:], "ab" * 70, "z" * 125]
+    rows = []
+    for i in range(24):
+        text = say(rng.randint(0, 20))
+        for _ in range(rng.randint(0, 3)):
+            p, a = rng.choice(passages), rng.choice([0, 0, 5, 17])
+            text += p[a : a + rng.choice([105, 120, 400])] + say(rng.choice([0, 0, 3]))
+        rows.append((i * 2, text, None, None))
+    rows += [(100, rows[3][1], None, None), (None, rows[4][1], None, None), (101, None, None, None), (102, "", None, None), (103, "q" * 100, None, None)]
+    monkeypatch.setattr(R, "BATCH", 900)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    found, want = groups(df), brute_groups(rows)
+    assert len(want) > 50 and found == want
+    # What is removed is what all places of the groups but the first ones cover.
+    text, cover = {r[0]: (r[1] or "").encode() for r in rows}, {}
+    for n, at in found:
+        for doc_id, start in at[1:]:
+            cover.setdefault(doc_id, set()).update(range(start, start + n))
+    assert {r.doc_id: r.n_removed for r in R.remove_repeats(df).collect()} == {d: len(cover.get(d, ())) for d in text}
+
+
+def test_groups_of_repeated_rows_and_of_nothing(spark):
+    rng = random.Random(13)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    assert groups(spark.createDataFrame([(1, text, None, None)] * 3, SCHEMA)) == {(150, ((1, 0),) * 3)}
+    assert groups(spark.createDataFrame([], SCHEMA)) == set()
+    assert groups(spark.createDataFrame([(1, text, None, None), (2, None, None, None)], SCHEMA)) == set()
+
+
 def test_hot_passages_are_split(spark, monkeypatch):
     rng = random.Random(3)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(700))
