@@ -75,3 +75,14 @@ def test_large_scores_and_too_large_ones(spark):
     assert mined(spark, rows, every=10) == brute(rows, every=10)
     with pytest.raises(Exception, match="64 bits"):
         mined(spark, [(i, [1e30] * 4, 1, "x", 0, 0) for i in range(3)])
+
+
+def test_what_moves_grows_with_the_rows(spark):
+    """Panels are shuffled, and not the scores of every anchor and row."""
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    took = []
+    for n in (600, 2400):
+        before = moved()
+        assert mined(spark, some(n, 5, 7, wide=4), every=1)
+        took.append(moved() - before)
+    assert 0 < took[1] < 6 * took[0]
