@@ -15,9 +15,9 @@ def add_missing(df: DataFrame, **constants: str) -> DataFrame:
 
 
 def to_long(positions: DataFrame, experiment: str = PLACEHOLDER, rater: str = AUTO_RATER, method: str = FULL) -> DataFrame:
-    """A row per electrode and dimension, nine columns in order."""
+    """A row per electrode and dimension, nine columns in order; none for an electrode without a vector."""
     rows = positions.unpivot([c for c in positions.columns if c not in WIDE], list(WIDE), "name", "vector")
-    rows = rows.select("*", F.posexplode_outer("vector").alias("at", "Coordinates"))
+    rows = rows.select("*", F.posexplode("vector").alias("at", "Coordinates"))
     rows = add_missing(rows, Experiment=experiment, Rater=rater, Method=method)
     names = F.array(*[F.lit(d) for d in DIMENSIONS])
     return rows.withColumns({
