@@ -16,8 +16,10 @@ def distance(a: Column, b: Column, fields: str = "xyz") -> Column:
 
 
 def apply_affine(affine: Column, v: Column) -> Column:
-    """voxel to world: rows of a 4 x 4 matrix times (i, j, k, 1)."""
-    row = lambda r: r[0] * v[0] + r[1] * v[1] + r[2] * v[2] + r[3]
+    """voxel to world: rows of a 4 x 4 matrix times (i, j, k, 1). A component whose factor is
+    0 has no part in a sum, be it unknown or not."""
+    term = lambda r, k: F.when(r[k] != 0, r[k] * v[k]).otherwise(0.0)
+    row = lambda r: term(r, 0) + term(r, 1) + term(r, 2) + r[3]
     return F.transform(F.slice(affine, 1, 3), row)
 
 
