@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 from math import ceil, floor
 
@@ -12,20 +13,25 @@ from pyspark.sql import functions as F
 
 from coordex.operators.masks import VOXEL
 
+#: Voxels of blocks that a task resamples at once, and parts of the rows that are resized.
+CELLS, PARTS = 1 << 19, 256
 Matrix = tuple[tuple[float, float, float, float], ...]
 
 
 def resize_area(voxels: DataFrame, shape: tuple[int, int, int], new_shape: tuple[int, int, int]) -> DataFrame:
     """image_id, i, j, k, v in a grid of new_shape: each new voxel is the mean of the old
     ones from floor(o n / m) to before ceil((o + 1) n / m) on each axis. Absent voxels count
-    as 0, and what no voxel touches is absent. Sums are made before anything moves."""
+    as 0, and what no voxel touches is absent. Voxels are dealt over ``PARTS`` by image and
+    new i before the other axes multiply them, so a task sums few new voxels."""
     out, size = voxels.select("image_id", *VOXEL, F.col("v").cast("double").alias("v")), F.lit(1)
     for c, n, m in zip(VOXEL, shape, new_shape):
         first, last = F.floor(F.col(c) * m / n), F.ceil((F.col(c) + 1) * m / n) - 1
-        out = out.where(F.col(c).between(0, n - 1)).withColumn(f"_{c}", F.explode(F.sequence(first, last)))
+        out = out.where(F.col(c).between(0, n - 1)).withColumn(f"_{c}", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+        if c == VOXEL[0]:
+            out = out.repartition(PARTS, "image_id", f"_{c}")
     for c, n, m in zip(VOXEL, shape, new_shape):
         size = size * (F.ceil((F.col(f"_{c}") + 1) * n / m) - F.floor(F.col(f"_{c}") * n / m))
-    return out.groupBy("image_id", *[F.col(f"_{c}").cast("int").alias(c) for c in VOXEL]).agg(F.sum(F.col("v") / size).alias("v"))
+    return out.groupBy("image_id", *[f"_{c}" for c in VOXEL]).agg(F.sum(F.col("v") / size).alias("v")).withColumnsRenamed({f"_{c}": c for c in VOXEL})
 
 
 def resample(voxels: DataFrame, matrix: Matrix, new_shape: tuple[int, int, int], block: int = 32) -> DataFrame:
@@ -34,7 +40,9 @@ def resample(voxels: DataFrame, matrix: Matrix, new_shape: tuple[int, int, int],
     outside count as 0; new ones without any old neighbour are absent.
 
     An old voxel goes to the blocks of the new grid that may look at it (its place mapped
-    back, give or take a voxel); a task holds one block of the new grid and its halo.
+    back, give or take a voxel). Blocks of one place are alike in every image, so a task
+    takes that block of many images at once; it holds ``CELLS`` voxels, or one block and its
+    halo, if that is more, and a batch of rows.
     """
     name = voxels.schema["image_id"].dataType.simpleString()
     kind = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[name]
@@ -48,31 +56,80 @@ def resample(voxels: DataFrame, matrix: Matrix, new_shape: tuple[int, int, int],
         blocks = F.when(low <= high, F.sequence(F.floor(low / block), F.floor(high / block)))
         rows = rows.withColumn(f"_{c}", F.explode(blocks))
 
-    def gather(key: tuple, old: pa.Table) -> pa.Table:
-        first = [x.as_py() * block for x in key[1:]]
-        axes = [np.arange(f, min(f + block, n)) for f, n in zip(first, new_shape)]
+    def geometry(at: tuple[int, ...]):
+        """A block's new voxels, and for each corner its places in the box of old ones and its weights."""
+        axes = [np.arange(f * block, min((f + 1) * block, n)) for f, n in zip(at, new_shape)]
         new = np.stack(np.meshgrid(*axes, indexing="ij"), -1).reshape(-1, 3)
         place = new @ part.T + shift
         low = np.floor(place).astype(np.int64)
         share = place - low
-        have = np.stack([old.column(c).to_numpy() for c in VOXEL], 1).astype(np.int64)
-        base, top = have.min(0), have.max(0)
-        box = np.full(top - base + 1, np.nan)
-        box[tuple((have - base).T)] = old.column("v").to_numpy()
-        value, met = np.zeros(len(new)), np.zeros(len(new), bool)
-        for corner in product((0, 1), repeat=3):
-            at = low + corner
-            weight = np.where(corner, share, 1 - share).prod(1)
-            ok = ((at >= base) & (at <= top)).all(1) & (weight > 0)
-            found = np.full(len(new), np.nan)
-            found[ok] = box[tuple((at[ok] - base).T)]
-            some = ~np.isnan(found)
-            value[some] += weight[some] * found[some]
-            met |= some
-        image = [key[0].as_py()] * int(met.sum())
-        return pa.table([pa.array(image, kind), *[pa.array(new[met, a].astype(np.int32)) for a in range(3)], pa.array(value[met])], ["image_id", *VOXEL, "v"])
-
-    return rows.groupBy("image_id", *[f"_{c}" for c in VOXEL]).applyInArrow(gather, f"image_id {name}, i int, j int, k int, v double")
+        base = low.min(0)
+        size = low.max(0) - base + 2
+        corners = [(np.ravel_multi_index((low + c - base).T, size), np.where(c, share, 1 - share).prod(1)) for c in product((0, 1), repeat=3)]
+        return new, base, size, corners
+
+    def images_of(at: tuple[int, ...], old: pa.Table) -> Iterator[pa.RecordBatch]:
+        """All images of one block, as many at a time as fit into ``CELLS``."""
+        new, base, size, corners = geometry(at)
+        names = old.column("image_id").combine_chunks().dictionary_encode()
+        if isinstance(names, pa.ChunkedArray):
+            names = names.combine_chunks()
+        image = names.indices.to_numpy(zero_copy_only=False)
+        cell = np.stack([old.column(c).to_numpy() for c in VOXEL], 1).astype(np.int64) - base
+        value = old.column("v").to_numpy()
+        near = ((cell >= 0) & (cell < size)).all(1)
+        image, flat, value = image[near], np.ravel_multi_index(cell[near].T, size), value[near]
+        many = max(1, CELLS // max(int(size.prod()), len(new)))
+        for start in range(0, len(names.dictionary), many):
+            on = (image >= start) & (image < start + many)
+            lines = min(many, len(names.dictionary) - start)
+            box = np.full((lines, int(size.prod())), np.nan)
+            box[image[on] - start, flat[on]] = value[on]
+            total, met = np.zeros((lines, len(new))), np.zeros((lines, len(new)), bool)
+            for place, weight in corners:
+                able = np.flatnonzero(weight > 0)
+                found = box[:, place[able]]
+                some = ~np.isnan(found)
+                total[:, able] += np.where(some, weight[able] * found, 0)
+                met[:, able] |= some
+            r, c = np.nonzero(met)
+            named = names.dictionary.take(pa.array(r + start))
+            yield pa.record_batch([named.cast(kind), *[pa.array(new[c, x].astype(np.int32)) for x in range(3)], pa.array(total[r, c])], ["image_id", *VOXEL, "v"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by block and image; the last image of a batch waits for its rest."""
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches([batch])])
+            cuts = _changes([held.column(c) for c in (*at, "image_id")])
+            if len(cuts) > 1:
+                yield from blocks_of(held.slice(0, cuts[-1]))
+                held = held.slice(cuts[-1]).combine_chunks()
+        if held is not None:
+            yield from blocks_of(held)
+
+    def blocks_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        cuts = [*_changes([table.column(c) for c in at]), table.num_rows]
+        for first, last in zip(cuts, cuts[1:]):
+            yield from images_of(tuple(int(table.column(c)[first].as_py()) for c in at), table.slice(first, last - first))
+
+    at = [f"_{c}" for c in VOXEL]
+    rows = rows.repartition("image_id", *at).sortWithinPartitions(*at, "image_id")
+    return rows.mapInArrow(gather, f"image_id {name}, i int, j int, k int, v double")
+
+
+def _changes(columns: list[pa.ChunkedArray]) -> list[int]:
+    """Where a row differs from the one before it; the first row does."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        codes = c.combine_chunks().dictionary_encode(null_encoding="encode")
+        codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+        codes = codes.indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new).tolist()
 
 
 def _bins(voxels: DataFrame, bins: int, name: str) -> DataFrame:
